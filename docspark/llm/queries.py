@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, pii, quality_rules, sharding, url_filter
+from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, url_filter
 from .staging import read_table
 
 QUERIES = {
     "op1_mix_sources": lambda spark, d: mixing.report(read_table(spark, d, "documents")),
+    "op2_embedding_neardup": lambda spark, d: embedding_neardup.report(read_table(spark, d, "embeddings")),
     "op3_pii": lambda spark, d: pii.report(read_table(spark, d, "documents")),
     "op4_url_filter": lambda spark, d: url_filter.report(read_table(spark, d, "pages")),
+    "op5_ngram_jaccard_join": lambda spark, d: ngram_join.report(read_table(spark, d, "documents")),
     "op6_hilbert_shards": lambda spark, d: sharding.report(read_table(spark, d, "documents")),
     "op7_best_two_fit": lambda spark, d: packing.report(read_table(spark, d, "documents")),
+    "op8_quality_classifier": lambda spark, d: quality_model.report(read_table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.report(read_table(spark, d, "documents")),
+    "op10_subword_lattice": lambda spark, d: lm_scoring.report(read_table(spark, d, "documents")),
 }
 
 ORACLE_SQL = {
+    "op2_embedding_neardup": embedding_neardup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
