@@ -104,7 +104,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_ellipsis_lines": total("_l", lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*\z")),
         "n_bullet_lines": total("_l", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]")),
     }
-    return step.withColumn("_m", F.struct(*[c.alias(k) for k, c in measures.items()])).drop("_w", "_l", "_h", "_c", "_s", "_r")
+    # a row number is never negative; it keeps a later filter from being moved below, where it would repeat this work
+    once = F.monotonically_increasing_id() >= 0
+    return step.withColumn("_m", F.when(once, F.struct(*[c.alias(k) for k, c in measures.items()]))).drop("_w", "_l", "_h", "_c", "_s", "_r")
 
 
 def base_failed(m: str = "_m") -> Column:
