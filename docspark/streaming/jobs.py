@@ -1,0 +1,57 @@
+"""Continuous jobs."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docspark.operators.chunking import chunk_chars
+from docspark.operators.embedding import embed
+from docspark.operators.runs import TERMINAL
+
+
+def index_batch(docs: DataFrame, max_chars: int = 1200, overlap: int = 200) -> DataFrame:
+    chunks = chunk_chars(docs, max_chars, overlap).withColumnRenamed("doc_id", "index_id")
+    rows = embed(chunks.withColumn("chunk_id", F.sha2(F.concat_ws(":", "index_id", "chunk_index"), 256)))
+    return rows.withColumn("embed_signature", F.lit("hash-64")).select("index_id", "chunk_id", "chunk_index", "text", "embed_signature", "embedding")
+
+
+def stream_index(docs: DataFrame, sink: str, checkpoint: str):
+    """Chunks and embeddings of documents as they arrive. A batch writes its own folder, so a replay replaces what it wrote."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        index_batch(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_run_status(events: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
+    """(run_id, status, cancel_requested, n_events) after each batch of (run_id, seq, status).
+
+    Terminal states are final; CANCEL sets a flag while a run is active.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        status, flag, n = state.get if state.exists else ("PENDING", False, 0)
+        for f in frames:
+            for s in f.sort_values("seq")["status"]:
+                n += 1
+                if status in TERMINAL:
+                    continue
+                if s == "CANCEL":
+                    flag = True
+                else:
+                    status = s
+        state.update((status, flag, n))
+        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "cancel_requested": [flag], "n_events": [n]})
+
+    kind = events.schema["run_id"].dataType.simpleString()
+    return events.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, status string, cancel_requested boolean, n_events long", "status string, flag boolean, n long", "update", timeout)
+
+
+def stream_touch_chats(messages: DataFrame) -> DataFrame:
+    """Newest message time by chat, in update mode."""
+    return messages.groupBy("chat_id").agg(F.max("created_at").alias("updated_at"))
