@@ -1,11 +1 @@
-"""Training-data operators.
-
-Helpers of this subpackage are pickled by value, so executors need no copy of
-the library on their path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Training-data operators."""
