@@ -321,7 +321,7 @@ def f3(spark, d):
     return H.dedupe_rewrites(hybrid(spark, d)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.array_join("matched_by", ",").alias("matched_by"))
 
 
-@register("f4_topk", f"SELECT query_id, chunk_id, round(score, 6) AS score, rank::INTEGER AS rank FROM {_RANKED}")
+@register("f4_topk", f"SELECT query_id, chunk_id, round(round(score, 9), 6) AS score, rank::INTEGER AS rank FROM {_RANKED}")
 def f4(spark, d):
     return ranked(spark, d).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
