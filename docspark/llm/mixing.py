@@ -70,10 +70,6 @@ def allocate(leaves: DataFrame, tree: list[str], budget: Column, max_epochs: flo
     return above.select(*[F.col(k).alias(c) for k, c in zip(keys, tree)], "tokens", "alloc")
 
 
-def _order(seed: int, epoch: Column, id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.lit(seed), epoch.cast("long"), F.col(id_col), F.xxhash64(F.col(text_col)))
-
-
 def mix(
     docs: DataFrame,
     tree: dict[str, Column],
@@ -127,13 +123,13 @@ def mix(
     stop = stop.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], "_stop")
     same_stop = [F.col(f"_p{i}").eqNullSafe(F.col(f"_c{i}")) for i in range(len(names))]
     final = stage(plan.join(stop, same_stop, "left").drop(*[f"_c{i}" for i in range(len(names))]), "mix-cuts")
-    tokens = count_tokens(F.col(text_col))
-    at = docs.withColumns({f"_t{i}": c.cast("string") for i, c in enumerate(tree.values())}).join(hint(final), same)
-    taken = F.col("_whole") + ((F.col("_rest") > 0) & (F.col("_stop").isNull() | (_order(seed, F.col("_whole"), id_col, text_col) < F.col("_stop")))).cast("int")
-    rows = at.withColumn("_taken", taken).where("_taken > 0").withColumn("_tokens", tokens)
+    key, size = F.xxhash64(F.col(text_col)), count_tokens(F.col(text_col))
+    whole = docs.select(F.struct("*").alias("_row"), *[c.alias(k) for k, c in level.items()], F.col(id_col).alias("_id"), key.alias("_text"), size.alias("_tokens"))
+    taken = F.col("_whole") + ((F.col("_rest") > 0) & (F.col("_stop").isNull() | (order < F.col("_stop")))).cast("int")
+    rows = whole.join(hint(final), same).withColumn("_taken", taken).where("_taken > 0")
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken") - 1)))
     mixed = F.struct(*[F.col(f"_t{i}").alias(n) for i, n in enumerate(names)], F.col("_tokens").alias("tokens"), F.col("_epoch").alias("epoch"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], mixed.alias("_mix"))
+    return rows.select("_row.*", mixed.alias("_mix"))
 
 
 def corpus_tree() -> dict[str, Column]:

@@ -58,9 +58,13 @@ class Shingler:
     def _grow(self, n: int) -> None:
         if n > len(self.powers):
             size = 1 << n.bit_length()
-            with np.errstate(over="ignore"):
-                self.powers = np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, _BASE, dtype=np.uint64)]).astype(np.uint64))
-                self.inverses = np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, self.inverse, dtype=np.uint64)]).astype(np.uint64))
+            self.powers, self.inverses = (self._powers_of(x, size) for x in (_BASE, self.inverse))
+
+    @staticmethod
+    def _powers_of(x: int, n: int) -> np.ndarray:
+        out = np.full(n, x, dtype=np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
 
     def word_hashes(self, text: str) -> np.ndarray:
         data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
@@ -317,7 +321,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         from pyspark.sql import Window
 
         order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))).orderBy(F.col("text").asc_nulls_first())
-        left = left.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+        left = left.withColumn("_nth of its id", F.row_number().over(order)).where("`_nth of its id` = 1")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

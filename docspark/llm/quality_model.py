@@ -142,10 +142,10 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 out.append(1 / (1 + np.exp(-np.clip(w[ids] @ value.astype(np.float64) + b, -30, 30))))
             yield pd.DataFrame({"score": np.array(out, dtype=np.float64), "weak_label": np.array([labels[tuple(map(int, p))] for p in zip(*given)], dtype=np.float64)})
 
-    measured = measure(docs, text_col)
+    measured = measure(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text")
     told = F.pandas_udf(scored, "score double, weak_label double")
-    out = measured.withColumn("_q", told(F.col(text_col), *[v.cast("int") for v in votes.values()]))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(F.col("_q.weak_label"), F.col("_q.score"), (F.col("_q.score") >= threshold).alias("kept")).alias("_quality"))
+    out = measured.withColumn("_q", told(F.col("_text"), *[v.cast("int") for v in votes.values()]))
+    return out.select("_row.*", F.struct(F.col("_q.weak_label"), F.col("_q.score"), (F.col("_q.score") >= threshold).alias("kept")).alias("_quality"))
 
 
 def report(docs: DataFrame) -> DataFrame:

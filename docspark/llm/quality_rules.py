@@ -132,7 +132,8 @@ def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFra
 
     Null and empty texts have no words and are rejected; repeated rows are
     judged alike; an empty table gives an empty result. Other columns stay as
-    they are (names ``_m``, ``_broken``, ``_kept`` are the operator's own).
+    they are, but for one-letter names after an underscore, ``_broken`` and
+    ``_kept``; ``filter_quality`` keeps every column whatever its name.
     """
     measured = measure(docs, text_col)
     broken = compile_rules(rules)
@@ -145,7 +146,8 @@ def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFra
 
 def filter_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return apply_rules(docs, rules, text_col).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
+    return apply_rules(whole, rules).where("_kept").select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

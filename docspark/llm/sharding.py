@@ -112,12 +112,14 @@ def assign_shards(docs: DataFrame, n_shards: int, dims: list[Column], bits: int
     ``keys`` break ties within a cell; rows equal in all keys may swap places.
     An empty table gives an empty result; fewer rows than shards leave some empty.
     """
-    placed = with_hilbert(docs, dims, bits)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    ranked = exact_ranks(placed, F.col("hilbert"), [F.col(f"`{k}`").asc_nulls_first() for k in keys], F.xxhash64(*[F.col(f"`{k}`") for k in keys]))
+    names = [f"_y{i}" for i in range(len(keys))]
+    own = [f"_q{i}" for i in range(len(dims))]
+    whole = docs.select(F.struct("*").alias("_row_"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], *[d.alias(n) for d, n in zip(dims, own)])
+    placed = with_hilbert(whole, [F.col(n) for n in own], bits)
+    ranked = exact_ranks(placed, F.col("hilbert"), [F.col(n).asc_nulls_first() for n in names], F.xxhash64(*names))
     shard = F.expr(f"_rank * {n_shards} div _total")
     first = F.expr(f"((_rank * {n_shards} div _total) * _total + {n_shards - 1}) div {n_shards}")
-    return ranked.select(*columns, "hilbert", shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
+    return ranked.select("_row_.*", "hilbert", shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

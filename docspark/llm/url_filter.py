@@ -143,15 +143,15 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     both = model.where(F.col("k") == 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] > 0
     scores = stage(score(ruled, model), "url-scores")
     threshold = calibrate(taught.where("_held").join(scores, "_url")) if both else 0.0
-    scored = pages.withColumns({"_host": host, "_path": path}).withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
-    joined = scored.join(scores.withColumnRenamed("_url", "_scored_url"), F.col(url_col) == F.col("_scored_url"), "left")
+    scored = pages.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url"), host.alias("_host"), path.alias("_path")).withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
+    joined = scored.join(scores.withColumnRenamed("_url", "_scored_url"), F.col("_url") == F.col("_scored_url"), "left")
     value = F.coalesce(F.col("_score"), F.lit(0.0))
     told = F.struct(
         F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"),
         F.coalesce(F.col("_rule.verdict"), F.when(value >= threshold, "allow").otherwise("block")).alias("verdict"),
         value.alias("score"), F.col("_rule").isNotNull().alias("by_rule"),
     )
-    return joined.select(*[F.col(f"`{c}`") for c in pages.columns], told.alias("_url_verdict"))
+    return joined.select("_row.*", told.alias("_url_verdict"))
 
 
 def report(pages: DataFrame) -> DataFrame:
