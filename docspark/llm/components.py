@@ -23,14 +23,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges as before, and a hub's edges are joined, never gathered into one task.
     """
     smaller = F.when(F.col(a) < F.col(b), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))).otherwise(F.struct(F.col(a).alias("u"), F.col(b).alias("v")))
+    # a key that only equals the grouping key makes a join of its own exchanges, which Spark can split at a hub
+    own = lambda c: F.substring(F.col(c), 1, 1 << 30) if kind in ("binary", "string") else F.col(c) + F.lit(0)
+    kind = edges.schema[a].dataType.typeName()
     now = stage(edges.where(F.col(a) != F.col(b)).select(smaller.alias("e")).select("e.u", "e.v").distinct(), "cc")
     state = _state(now)
     while state[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("m", "u").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(own("u").alias("n"), F.least("m", "u").alias("m"))
         large = both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(low.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+        moved = large.join(low.select(own("u").alias("n"), "m"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         after = stage(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         told = _state(after)
         now, same, state = after, told == state, told

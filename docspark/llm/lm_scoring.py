@@ -2,8 +2,9 @@
 
 An existing subword vocabulary spans a lattice over each word: every way to cut
 the word into pieces is a path, weighted by the pieces' unigram probabilities.
-The vocabulary's own scores start the weights; one expectation pass over the
-words of all training documents sets them. A forward recursion in log space
+The vocabulary's own scores start the weights; expectation passes over the most
+frequent words bring them near, and one over the words of all training
+documents sets them. A forward recursion in log space
 sums over all paths, so a document's score is its marginal probability under
 the piece unigram, one word after another, then one end.
 
@@ -31,6 +32,8 @@ FREQUENT = 65_536
 #: Counts added to every piece.
 SMOOTHING = 0.01
 LONG_WORD = 256
+#: Expectation passes over the frequent words only, before the one over all.
+WARM_PASSES = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -185,6 +188,16 @@ class Lattice:
         return out[:-1]
 
 
+def warm_start(pieces: list[bytes], logp: np.ndarray, words: list[bytes], counts: np.ndarray, passes: int = WARM_PASSES) -> np.ndarray:
+    """Log weights after expectation passes over the frequent words; a twentieth of the start stays, so that no piece dies."""
+    start = np.exp(logp)
+    for _ in range(passes if len(words) else 0):
+        e = Lattice(pieces, logp).expected_counts(words, counts)
+        mixed = e + 0.05 * e.sum() * start
+        logp = np.log(mixed / mixed.sum())
+    return logp
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts in a row, A-Z folded, and the text each is of. Null texts have none."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -230,7 +243,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
     pieces, start = load_pieces(piece_path)
-    first = spark.sparkContext.broadcast((pieces, start))
+    # at most FREQUENT words can have this share of all tokens: they bring the starting weights near before the pass over all words
+    top = vocabulary.where(F.col("c") * FREQUENT >= max(total, 1)).orderBy("word").toPandas() if total else pd.DataFrame({"word": [], "c": []})
+    first = spark.sparkContext.broadcast((pieces, warm_start(pieces, start, [b" " + w.encode() for w in top["word"]], top["c"].to_numpy(dtype=np.float64))))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(*first.value)
@@ -257,9 +272,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
             yield pd.Series(lattice.log_probability([b" " + w.encode() for w in b]) / ln10)
 
     table = stage(vocabulary.select("word", "c", F.pandas_udf(lattice_scores, "double")("word").alias("s")), "lm-scores")
-    # at most FREQUENT words can have this share of all tokens
-    top = table.where(F.col("c") * FREQUENT >= max(total, 1)).toPandas() if total else pd.DataFrame({"word": [], "c": [], "s": []})
-    frequent = spark.sparkContext.broadcast((top["word"].tolist(), top["c"].to_numpy(dtype=np.float64), top["s"].to_numpy(dtype=np.float64)))
+    top_scores = Lattice(pieces, logp).log_probability([b" " + w.encode() for w in top["word"]]) / ln10
+    frequent = spark.sparkContext.broadcast((top["word"].tolist(), top["c"].to_numpy(dtype=np.float64), top_scores))
     scale = total + 0.5 * (distinct + 1)
     end_base, end_score, end_known = math.log10((ends + 0.5) / scale), log_end / ln10, int(ends > 0)
 
