@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.functions.stem import stem
+
 # Frequent English words that carry no meaning of their own.
 STOP_WORDS = (
     "a an and are as at be but by for from had has have he her his i in is it its my not of on or our she so that the "
@@ -16,15 +18,16 @@ STOP_WORDS = (
 TERM = r"[\p{L}\p{N}]+"
 
 
-def build_postings(chunks: DataFrame, text=F.coalesce, id_col: str = "chunk_id", stop_words=STOP_WORDS) -> DataFrame:
-    """L1: (chunk_id, term, positions, tf). ``text_norm`` is read where there is one, else ``text``; stop words keep their position."""
+def build_postings(chunks: DataFrame, id_col: str = "chunk_id", stop_words=STOP_WORDS, stemmed: bool = False) -> DataFrame:
+    """L1: (chunk_id, term, positions, tf), terms stemmed on demand. ``text_norm`` is read where there is one, else ``text``; stop words keep their position."""
     source = F.coalesce("text_norm", "text") if "text_norm" in chunks.columns else F.col("text")
     words = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(F.regexp_extract_all(F.lower(source), F.lit(TERM), F.lit(0))).alias("pos", "term"))
     kept = words.where(~F.col("term").isin(*stop_words))
+    kept = kept.withColumn("term", stem(F.col("term"))) if stemmed else kept
     return kept.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"), F.count(F.lit(1)).alias("tf"))
 
 
-def parse_queries(queries: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
+def parse_queries(queries: DataFrame, stop_words=STOP_WORDS, stemmed: bool = False) -> DataFrame:
     """L2: web-search syntax to (query_id, clause, kind, phrase, pos, term).
 
     Words are joined by and, ``or`` opens another clause, a quoted phrase keeps
@@ -37,7 +40,8 @@ def parse_queries(queries: DataFrame, stop_words=STOP_WORDS) -> DataFrame:
     rows = rows.withColumn("clause", clause).where("piece <> 'or'")
     kind = F.when(F.col("piece").startswith("-"), "not").when(F.col("piece").contains('"'), "phrase").otherwise("word")
     terms = rows.select("query_id", F.col("clause").cast("int").alias("clause"), kind.alias("kind"), F.col("n").alias("phrase"), F.posexplode(F.regexp_extract_all("piece", F.lit(TERM), F.lit(0))).alias("pos", "term"))
-    return terms.where(~F.col("term").isin(*stop_words))
+    terms = terms.where(~F.col("term").isin(*stop_words))
+    return terms.withColumn("term", stem(F.col("term"))) if stemmed else terms
 
 
 def fts_match(postings: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -89,8 +93,8 @@ def _rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([cover_density([list(h["positions"]) for h in hits]) for hits in b], dtype="float64")
 
 
-def fts_topk(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+def fts_topk(queries: DataFrame, postings: DataFrame, k: int, stemmed: bool = False) -> DataFrame:
     """L4: query_id, chunk_id, score, rank by cover density, best first; blank queries and k <= 0 give nothing."""
-    scored = fts_match(postings, parse_queries(queries)).withColumn("score", F.round(F.pandas_udf(_rank, "double")("hits"), 6)).drop("hits")
+    scored = fts_match(postings, parse_queries(queries, stemmed=stemmed)).withColumn("score", F.round(F.pandas_udf(_rank, "double")("hits"), 6)).drop("hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))

@@ -87,6 +87,27 @@ def n7(spark, d):
     return t(spark, d, "documents").select("doc_id", N.clip_text(F.col("text"), 500).alias("text"))
 
 
+_KIND = "CASE turn % 5 WHEN 0 THEN 'section_head' WHEN 1 THEN 'equation' WHEN 2 THEN 'list_item' WHEN 3 THEN 'table' ELSE 'paragraph' END"
+
+
+def turns(spark, d):
+    """Turns as blocks of five kinds, one line each."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("section_head", "equation", "list_item", "table", "paragraph")]), (F.col("turn") % 5 + 1).cast("int"))
+    label = F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string"))
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), kind.alias("kind"), label.alias("equation_label"), F.split("text", "\n")[0].alias("text"))
+
+
+@register("n3_by_kind", rf"SELECT conv_id AS doc_id, turn::INTEGER AS pos, trim(regexp_replace(string_split(text, chr(10))[1], '[ \t]{{2,}}', ' ', 'g')) AS text FROM conversations")
+def n3(spark, d):
+    return turns(spark, d).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
+
+
+@register("n5_inline_titles")
+def n5(spark, d):
+    glued = F.concat(F.lit("Start here. The Origin of Species Darwin went on. "), F.col("text"))
+    return t(spark, d, "documents").select("doc_id", N.split_inline_titles(glued).alias("text"))
+
+
 # --- blocks, chunks ----------------------------------------------------------------------------------
 
 
@@ -116,6 +137,32 @@ def x1_tei(spark, d):
     return X.extract_tei(tei(spark, d)).select("doc_id", "kind", "text")
 
 
+@register("c1_render", f"""SELECT doc_id, pos, CASE kind WHEN 'section_head' THEN '## ' || s WHEN 'equation' THEN CASE WHEN pos % 2 = 1 THEN '(' || pos || ') ' ELSE '' END || s WHEN 'list_item' THEN '- ' || s WHEN 'table' THEN 'Table: ' || s ELSE s END AS rendered
+FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, trim(string_split(text, chr(10))[1]) AS s FROM conversations) WHERE s <> ''""")
+def c1(spark, d):
+    return C.render_blocks(turns(spark, d)).where("rendered <> ''").select("doc_id", "pos", "rendered")
+
+
+@register("x4_heads", f"""SELECT doc_id, pos, last_value(CASE WHEN kind = 'section_head' THEN s END IGNORE NULLS) OVER w AS head, greatest(sum((kind = 'section_head')::INTEGER) OVER w - 1, 0)::INTEGER AS div_index
+FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, string_split(text, chr(10))[1] AS s FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def x4(spark, d):
+    return X.propagate_heads(turns(spark, d)).select("doc_id", "pos", "head", "div_index")
+
+
+@register("x2_x3_kinds", """SELECT event_id, (event_id % 3 = 0 OR event_id % 7 = 0) AS is_reference, CASE event_type WHEN 'click' THEN CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 'reference' ELSE 'paragraph' END WHEN 'view' THEN 'figure_caption'
+  WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'footnote' ELSE 'unknown' END WHEN 'signup' THEN 'reference' ELSE 'unknown' END AS kind FROM events""")
+def x2(spark, d):
+    i = F.col("event_id")
+    tags = F.create_map(*[F.lit(x) for pair in {"click": "p", "view": "figure", "error": "note", "signup": "bibl", "purchase": "other"}.items() for x in pair])
+    rows = t(spark, d, "events").select("event_id", tags[F.col("event_type")].alias("tag"), F.when(i % 3 == 0, "References").alias("div_type"), F.when(i % 7 == 0, "Further REFERENCES").alias("head"), F.when(i % 2 == 0, "foot ").alias("place"))
+    return X.classify_blocks(X.flag_reference_sections(rows)).select("event_id", "is_reference", "kind")
+
+
+@register("x6_labels", "SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN turn::VARCHAR ELSE 'n' || conv_id END AS label FROM conversations")
+def x6(spark, d):
+    return turns(spark, d).select(F.col("doc_id").alias("conv_id"), F.col("pos").cast("long").alias("turn"), X.equation_labels(F.col("equation_label"), F.concat(F.lit("n"), "doc_id")).alias("label"))
+
+
 @register("c4_pack_blocks")
 def c4(spark, d):
     out = C.pack_blocks(X.extract_html(t(spark, d, "pages")))
@@ -354,6 +401,11 @@ def f11(spark, d):
     return H.rerank_prompts(packs(spark, d)).select("query_id", "prompt")
 
 
+@register("f9_context_pack", f"SELECT query_id, rank::INTEGER AS rank, chunk_id, round(round(score, 9), 6) AS score, matched_by FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id")
+def f9(spark, d):
+    return packs(spark, d).select("query_id", F.inline("chunks")).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("matched_by", ",").alias("matched_by"))
+
+
 @register("hybrid_context", f"SELECT query_id, substring(string_agg('[' || i || '] ' || text, chr(10) || chr(10) ORDER BY i), 1, 12000) AS context FROM (SELECT r.query_id, d.text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id) GROUP BY query_id")
 def hybrid_context(spark, d):
     """the flagship: rendered context of every benchmark question."""
@@ -519,6 +571,12 @@ def m10(spark, d):
     return M.hydrate_citations(cited(spark, d), chunks).select("message_id", "place", "chunk_id", "score", "text")
 
 
+@register("m9_citations_json", "SELECT conv_id * 1000 + turn AS message_id, 'cosine' AS metric, 2 AS n, conv_id::VARCHAR AS first_chunk FROM conversations WHERE role = 'assistant'")
+def m9(spark, d):
+    again = M.parse_citations(M.serialize_citations(M.parse_citations(cited(spark, d))))
+    return again.select("message_id", "cited.metric", F.size("cited.chunks").alias("n"), F.col("cited.chunks")[0]["chunk_id"].alias("first_chunk"))
+
+
 def metered(spark, d):
     k = F.get_json_object("props", "$.k")
     js = F.when(F.col("event_id") % 5 == 0, "oops").otherwise(F.concat(F.lit('{"prompt": {"system": '), k, F.lit(', "question": 7}, "completion": '), F.col("event_id") % 100, F.lit(', "latency": {"retrieval": 0.5, "generation": 1.25}}')))
@@ -572,3 +630,54 @@ def m17(spark, d):
 def m18(spark, d):
     new = t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_custkey", F.lit("@x")).alias("email"))
     return M.duplicate_users(new, t(spark, d, "customer").where("c_nationkey < 5").select(F.concat("c_custkey", F.lit("@x")).alias("email"))).select("id")
+
+
+# --- streams, run until they have read what there is ---------------------------------------------------------
+
+
+def ran(spark, stream, mode: str = "append") -> DataFrame:
+    """The rows that every batch of a stream gave, from a written table."""
+    import uuid
+
+    at = f"{S.work_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def streamed(spark, d, name: str) -> DataFrame:
+    return spark.readStream.schema(t(spark, d, name).schema).option("recursiveFileLookup", True).parquet(f"{d}/{name}.parque[t]")
+
+
+@register("t1_stream_index", r"""
+SELECT doc_id AS index_id, count(*) AS chunks, sum(length(s))::BIGINT AS chars FROM (
+  SELECT doc_id, trim(substring(text, p + 1, 1200), ' ' || chr(10) || chr(9) || chr(13)) AS s, p, n FROM (
+    SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 1000)) AS p FROM documents) WHERE p = 0 OR p - 1000 + 1200 < n) WHERE s <> '' GROUP BY 1""")
+def t1(spark, d):
+    from docspark.streaming.jobs import index_batch
+
+    rows = index_batch(streamed(spark, d, "documents").select("doc_id", "text"))
+    return ran(spark, rows).groupBy("index_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+
+
+@register("t2_run_status", f"""
+SELECT project_id AS run_id, coalesce(arg_min(status, id) FILTER (status IN ('READY', 'FAILED', 'CANCELLED')), arg_max(status, id)) AS status, count(*) AS n_events FROM {_RUNS} GROUP BY 1""")
+def t2(spark, d):
+    from docspark.streaming.jobs import stream_run_status
+
+    status = F.create_map(*[F.lit(x) for pair in S.STATUS_OF.items() for x in pair])
+    events = streamed(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("seq"), status[F.col("event_type")].alias("status"))
+    told = ran(spark, stream_run_status(events), "update")
+    return told.groupBy("run_id").agg(F.max_by("status", "n_events").alias("status"), F.max("n_events").alias("n_events"))
+
+
+@register("t3_stream_touch", "SELECT conv_id AS chat_id, (conv_id * 3600 + max(turn) * 60)::BIGINT AS seconds FROM conversations GROUP BY 1")
+def t3(spark, d):
+    from docspark.streaming.jobs import stream_touch_chats
+
+    rows = streamed(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.timestamp_seconds(F.lit(1735689600) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"))
+    told = ran(spark, stream_touch_chats(rows), "update").groupBy("chat_id").agg(F.max("updated_at").alias("at"))
+    return told.select("chat_id", (F.unix_timestamp("at") - 1735689600).alias("seconds"))

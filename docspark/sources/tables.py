@@ -99,3 +99,13 @@ def chats(spark: SparkSession, d: str) -> DataFrame:
 
 def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; only a local master gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"

@@ -178,3 +178,13 @@ def test_repartition_invariance(spark, parts):
     got = C.pack_blocks(X.extract_html(docs)).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "chunk_index", "text"))).first()
     base = C.pack_blocks(X.extract_html(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("doc_id", "chunk_index", "text"))).first()
     assert tuple(got) == tuple(base)
+
+
+def test_porter(spark):
+    from docspark.functions.stem import porter
+
+    pairs = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "digitizer": "digit", "hopefulness": "hope", "electrical": "electr", "adoption": "adopt", "probate": "probat", "rate": "rate", "controll": "control"}
+    assert {w: porter(w) for w in pairs} == pairs
+    chunks = spark.createDataFrame([(1, "Foxes were jumping", None)], "chunk_id int, text string, text_norm string")
+    q = spark.createDataFrame([(1, "fox jumps")], "query_id int, query string")
+    assert L.fts_topk(q, L.build_postings(chunks, stemmed=True), 5, stemmed=True).count() == 1
