@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, stars, whole_groups, with_tiles
@@ -66,17 +66,22 @@ class Shingler:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def word_hashes(self, text: str) -> np.ndarray:
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
-        if not len(data):
-            return np.zeros(0, dtype=np.uint64)
-        self._grow(len(data) + 1)
+    @staticmethod
+    def edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a text's bytes begin and end."""
         inside = np.concatenate([[False], ~_SPACE[data], [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edge[::2], edge[1::2]
+        return edge[::2], edge[1::2]
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        self._grow(len(data) + 1)
         total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64)])
         return _mix((total[end] - total[start]) * self.inverses[start] + (end - start).astype(np.uint64))
 
+    def word_hashes(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+        return self.hashes(data, *self.edges(data))
+
     def __call__(self, text: str) -> np.ndarray:
         h = self.word_hashes(text)
         k = min(self.words, len(h))
@@ -308,21 +313,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each group, with the columns of ``docs``: the one with the smallest id.
 
-    Rows that repeat an id are one document; the first by text stays. Of a group
-    whose ids are all null, one row stays.
+    Rows that repeat an id are one document: it goes if none of them is the
+    smallest of its group, and else its first row by text stays. A null id
+    stands behind all others, by the hash of its text.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), threshold)
-    gone = stage(found.where("NOT kept").select("doc_id"), "duplicates").where("doc_id IS NOT NULL").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 OR doc_id IS NULL").select("doc_id").limit(1).count()
-    if twice:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))).orderBy(F.col("text").asc_nulls_first())
-        left = left.withColumn("_nth of its id", F.row_number().over(order)).where("`_nth of its id` = 1")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    known = F.col("doc_id")
+    own = F.coalesce(known, behind) if docs.schema["doc_id"].dataType.typeName() == "long" else F.coalesce(known.cast("string"), F.concat(F.lit("\U0010ffff"), behind))
+    whole = docs.select(F.struct("*").alias("_row"), own.alias("doc_id"), "text")
+    found = near_duplicates(whole.select("doc_id", "text"), threshold)
+    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    ids = stage(ids.where("NOT kept OR n > 1"), "duplicates")
+    gone, many = ids.where("NOT kept").select("doc_id"), ids.where("kept").select("doc_id")
+    sizes = ids.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.count(F.when(F.col("kept"), 1)).alias("many")).first()
+    hint = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
+    left = whole.join(hint(gone, sizes["gone"]), "doc_id", "left_anti")
+    if sizes["many"]:
+        repeated = left.join(hint(many, sizes["many"]), "doc_id", "left_semi")
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.to_json("_row")))
+        once = repeated.withColumn("_nth", first).where("_nth = 1").drop("_nth")
+        left = left.join(hint(many, sizes["many"]), "doc_id", "left_anti").unionByName(once)
+    return left.select("_row.*")
 
 
 def report(docs: DataFrame) -> DataFrame:

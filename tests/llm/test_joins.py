@@ -64,7 +64,7 @@ def test_jaccard_tiles_and_odd_rows(spark, monkeypatch):
 
 def test_keep_one(spark):
     text = " ".join(f"a{i}" for i in range(60))
-    rows = [(1, text, "x"), (1, text, "x"), (2, text + " b", "y"), (3, "other words here", None), (None, "lonely text of a null id", "z")]
+    rows = [(1, text, "x"), (1, text, "x"), (2, text + " b", "y"), (3, "other words here", None), (None, "lonely text of a null id", "z"), (None, text, "n"), (3, text + " c", "late"), (8, text + " c d", None), (None, "lonely text of a null id", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string")
     out = J.keep_one(docs)
     assert out.columns == docs.columns and sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
