@@ -12,11 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import Shingler, _mix
-from .quality_rules import measure
+from .quality_rules import STOP_WORDS
 
 BUCKETS = 1 << 16
 #: Documents at most that train the scorer; the vote model uses all.
@@ -25,23 +25,53 @@ EPOCHS = 6
 GOOD, BAD, NONE = 1, 0, -1
 
 
-def labellers(m: str = "_m") -> dict[str, Column]:
-    """Votes as integers, from the measures of the quality rules; all ratios compare whole numbers."""
-    c = lambda name: F.col(f"{m}.{name}")
-    words, lines = c("n_words"), c("n_lines")
+# The labellers, in the order of their votes.
+LABELLERS = ("length", "symbols", "stop_words", "dup_lines", "repeats", "word_length", "letters", "stutter")
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, BAD).when(good, GOOD).otherwise(NONE)
 
-    return {
-        "length": vote(words < 20, words >= 100),
-        "symbols": vote(10 * c("n_symbols") > words, c("n_symbols") == 0),
-        "stop_words": vote(100 * c("n_stop_words") < 6 * words, 100 * c("n_stop_words") > 12 * words),
-        "dup_lines": vote(100 * c("n_dup_lines") > 30 * lines, (c("n_dup_lines") == 0) & (lines >= 2)),
-        "repeats": vote(100 * c("n_repeat_words") > 30 * words, 100 * c("n_repeat_words") < 8 * words),
-        "word_length": vote((10 * c("word_chars") < 38 * words) | (10 * c("word_chars") > 68 * words), (10 * c("word_chars") > 42 * words) & (10 * c("word_chars") < 60 * words)),
-        "letters": vote(100 * c("n_alpha_words") < 80 * words, 100 * c("n_alpha_words") > 97 * words),
-    }
+def _vote(bad: bool, good: bool) -> int:
+    return BAD if bad else GOOD if good else NONE
+
+
+class Text:
+    """One text as numbers: its bytes, its words' places and their hashes (A-Z folded)."""
+
+    def __init__(self, shingler: Shingler, text: str):
+        self.text = text
+        self.data = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+        self.start, self.end = shingler.edges(self.data)
+        self.words = shingler.hashes(self.data, self.start, self.end)
+        self.stutter = int((self.words[1:] == self.words[:-1]).sum())
+
+
+class Labellers:
+    """Votes of the heuristics on a text; all of them read it whole."""
+
+    def __init__(self):
+        shingler = Shingler()
+        self.stop = np.unique(np.array([shingler.word_hashes(w)[0] for w in STOP_WORDS], dtype=np.uint64))
+        self.symbol, self.letter = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+        self.symbol[list(b"#*$%&|<>")] = True
+        self.letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+    def __call__(self, t: Text) -> tuple[int, ...]:
+        n = len(t.words)
+        chars = int(((t.data & 0xC0) != 0x80).sum()) - int((t.data <= 32).sum())
+        symbols = int(self.symbol[t.data].sum())
+        stop = int(np.isin(t.words, self.stop).sum())
+        lines = [x for x in t.text.split("\n") if x.strip()]
+        dup = len(lines) - len(set(lines))
+        repeats = 0
+        if n >= 3:
+            windows = _mix(_mix(t.words[:-2]) + _mix(t.words[1:-1] ^ np.uint64(1)) * np.uint64(3) + t.words[2:])
+            _, of, count = np.unique(windows, return_inverse=True, return_counts=True)
+            repeats = int((count[of.reshape(-1)] > 1).sum())
+        lettered = int((np.add.reduceat(np.append(self.letter[t.data], False).astype(np.int64), np.stack([t.start, t.end], 1).ravel())[::2] > 0).sum()) if n else 0
+        return (
+            _vote(n < 20, n >= 100), _vote(10 * symbols > n, symbols == 0), _vote(100 * stop < 6 * n, 100 * stop > 12 * n), _vote(100 * dup > 30 * len(lines), dup == 0 and len(lines) >= 2),
+            _vote(100 * repeats > 30 * n, 100 * repeats < 8 * n), _vote(10 * chars < 38 * n or 10 * chars > 68 * n, 42 * n < 10 * chars < 60 * n), _vote(100 * lettered < 80 * n, 100 * lettered > 97 * n),
+            _vote(100 * t.stutter > 6 * n, 100 * t.stutter < 2 * n),
+        )
 
 
 def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -71,13 +101,13 @@ class Features:
         table = np.arange(256)
         table[[*range(65, 91), *range(97, 123), *range(128, 256)]] = ord("a")
         table[48:58] = ord("0")
-        self.shape = bytes(table.astype(np.uint8))
+        self.shape = table.astype(np.uint8)
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        h = self.shingler.word_hashes(text)
-        shapes = self.shingler.word_hashes(text.encode("utf-8", "surrogatepass").translate(self.shape).decode("latin-1"))
+    def __call__(self, t: Text) -> tuple[np.ndarray, np.ndarray]:
+        h, shaped = t.words, self.shape[t.data]
+        shapes = self.shingler.hashes(shaped, t.start, t.end)
         n, different = len(h), len(np.unique(h))
-        steps = np.array([int(10 * different / n) if n else 11, 20 + n.bit_length()], dtype=np.uint64)
+        steps = np.array([int(10 * different / n) if n else 11, 20 + n.bit_length(), 60 + int(50 * t.stutter / n) if n else 59], dtype=np.uint64)
         every = np.concatenate([h, shapes ^ np.uint64(0x5555), _mix(steps + np.uint64(1 << 40))])
         ids, count = np.unique(every & np.uint64(BUCKETS - 1), return_counts=True)
         value = np.log1p(count.astype(np.float64))
@@ -108,43 +138,44 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     repeated rows are judged alike; an empty table gives no rows. ``kept`` is
     ``score >= threshold``.
     """
-    votes = labellers()
-    names = list(votes)
-    voted = measure(docs.select(F.col(id_col).alias("_id"), F.col(text_col)), text_col).select("_id", F.col(text_col).alias("_text"), *[v.alias(k) for k, v in votes.items()])
-    patterns = voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).toPandas()  # at most 3 ** labellers rows
-    post = fit_votes(patterns[names].to_numpy(), patterns["n"].to_numpy(dtype=np.float64)) if len(patterns) else np.zeros(0)
-    labels = {tuple(map(int, p)): float(x) for p, x in zip(patterns[names].to_numpy(), post)}
-    spark = docs.sparkSession
-    total = int(patterns["n"].sum()) if len(patterns) else 0
-    part = min(1.0, TRAIN_ROWS / max(total, 1))
+    source = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def voted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f, shingler = Labellers(), Shingler()
+        for b in batches:
+            yield pd.Series([f(Text(shingler, t if isinstance(t, str) else "")) for t in b], dtype=object)
+
+    pattern = F.pandas_udf(voted, "array<int>")(F.col("_text"))
+    counted = source.select(pattern.alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()  # at most 3 ** labellers rows
+    patterns = np.array([list(r["votes"]) for r in counted]).reshape(-1, len(LABELLERS))
+    labels = {tuple(map(int, p)): float(x) for p, x in zip(patterns, fit_votes(patterns, np.array([r["n"] for r in counted], dtype=np.float64)))} if len(patterns) else {}
+    part = min(1.0, TRAIN_ROWS / max(sum(r["n"] for r in counted), 1))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = Features()
+        f, g, shingler = Features(), Labellers(), Shingler()
         for b in batches:
-            rows = [f(t if isinstance(t, str) else "") for t in b["_text"]]
+            texts = [Text(shingler, t if isinstance(t, str) else "") for t in b["_text"]]
+            rows = [f(t) for t in texts]
             yield pd.DataFrame({
-                "h": b["_h"], "ids": pd.Series([i.tobytes() for i, _ in rows], dtype=object), "value": pd.Series([v.tobytes() for _, v in rows], dtype=object),
-                "y": [labels[tuple(map(int, p))] for p in b[names].to_numpy()],
+                "h": b["_h"], "ids": pd.Series([i.tobytes() for i, _ in rows], dtype=object), "value": pd.Series([v.tobytes() for _, v in rows], dtype=object), "y": [labels[g(t)] for t in texts],
             })
 
-    key = F.xxhash64("_id", "_text")
-    chosen = voted.withColumn("_h", key).where(F.pmod(F.col("_h"), F.lit(1_000_000)) < part * 1_000_000)
-    sample = chosen.select("_h", "_text", *names).mapInPandas(featured, "h long, ids binary, value binary, y double").limit(2 * TRAIN_ROWS).collect()
+    chosen = source.select("_text", F.xxhash64("_id", "_text").alias("_h")).where(F.pmod(F.col("_h"), F.lit(1_000_000)) < part * 1_000_000)
+    sample = chosen.mapInPandas(featured, "h long, ids binary, value binary, y double").collect()
     rows = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["value"], np.float32), r["y"]) for r in sorted(sample, key=lambda r: (r["h"], r["y"]))]
-    model = spark.sparkContext.broadcast(train_scorer(rows))
+    model = docs.sparkSession.sparkContext.broadcast(train_scorer(rows))
 
-    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        f, (w, b) = Features(), model.value
-        for texts, *given in batches:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        f, g, shingler, (w, b) = Features(), Labellers(), Shingler(), model.value
+        for batch in batches:
             out = []
-            for t in texts:
-                ids, value = f(t if isinstance(t, str) else "")
-                out.append(1 / (1 + np.exp(-np.clip(w[ids] @ value.astype(np.float64) + b, -30, 30))))
-            yield pd.DataFrame({"score": np.array(out, dtype=np.float64), "weak_label": np.array([labels[tuple(map(int, p))] for p in zip(*given)], dtype=np.float64)})
-
-    measured = measure(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), "_text")
-    told = F.pandas_udf(scored, "score double, weak_label double")
-    out = measured.withColumn("_q", told(F.col("_text"), *[v.cast("int") for v in votes.values()]))
+            for t in batch:
+                text = Text(shingler, t if isinstance(t, str) else "")
+                ids, value = f(text)
+                out.append((labels[g(text)], 1 / (1 + np.exp(-np.clip(w[ids] @ value.astype(np.float64) + b, -30, 30)))))
+            yield pd.DataFrame(out, columns=["weak_label", "score"], dtype=np.float64)
+
+    out = source.withColumn("_q", F.pandas_udf(scored, "weak_label double, score double")(F.col("_text")))
     return out.select("_row.*", F.struct(F.col("_q.weak_label"), F.col("_q.score"), (F.col("_q.score") >= threshold).alias("kept")).alias("_quality"))
 
 
