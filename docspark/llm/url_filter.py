@@ -139,8 +139,11 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     ruled = pages.select(F.col(url_col).alias("_url")).distinct().withColumn("_rule", rule_of(host_of(F.col("_url")), path_of(F.col("_url")), rules))
     taught = ruled.where(F.col("_rule").isNotNull() & F.col("_url").isNotNull()).select("_url", (F.col("_rule.verdict") == "allow").alias("_good"), (F.pmod(F.xxhash64("_url"), F.lit(HOLD_OUT)) == 0).alias("_held"))
-    model = train(taught.where(~F.col("_held")).select("_url", "_good"))
-    both = model.where(F.col("k") == 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] > 0
+    seen = taught.where(~F.col("_held"))
+    kinds = seen.agg(F.bool_or("_good").alias("good"), F.bool_or(~F.col("_good")).alias("bad")).first()
+    both = bool(kinds["good"] and kinds["bad"])
+    model = train(seen.select("_url", "_good"))
+    model = model if both else model.where(F.lit(False))
     scores = stage(score(ruled, model), "url-scores")
     threshold = calibrate(taught.where("_held").join(scores, "_url")) if both else 0.0
     scored = pages.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url"), host.alias("_host"), path.alias("_path")).withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
