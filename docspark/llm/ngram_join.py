@@ -339,3 +339,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Rows of query ``op5``."""
     return near_duplicates(docs.select("doc_id", "text"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) END) AS s FROM w)),
+z AS (SELECT w.doc_id, coalesce(n, 0) AS n, coalesce(k, '') AS k FROM w LEFT JOIN (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS k FROM g GROUP BY 1) q ON q.doc_id = w.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE 5 * c >= 4 * (x.n + y.n - c)
+      UNION ALL SELECT x.doc_id, y.doc_id FROM z x JOIN z y ON x.n = 0 AND y.n = 0 AND x.doc_id <> y.doc_id),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS c FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT z.doc_id, min(z.doc_id) OVER (PARTITION BY z.k) AS class_id, coalesce(n.n, 0)::BIGINT AS n_links,
+       least(z.doc_id, coalesce(m.c, z.doc_id)) AS component_id, z.doc_id = least(z.doc_id, coalesce(m.c, z.doc_id)) AS kept
+FROM z LEFT JOIN m ON m.a = z.doc_id LEFT JOIN n ON n.a = z.doc_id
+"""
