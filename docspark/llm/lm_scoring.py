@@ -214,11 +214,16 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        words, of = split_words(b["_text"])
-        coded = words.dictionary_encode()
-        train = ~b["_held"].to_numpy(zero_copy_only=False)[of]
-        n = np.bincount(coded.indices.to_numpy()[train], minlength=len(coded.dictionary))
-        yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n, pa.int64())], ["word", "c"])
+        parts = []
+        for piece in _slices([b], 2000):
+            words, of = split_words(piece["_text"])
+            coded = words.dictionary_encode()
+            train = ~piece["_held"].to_numpy(zero_copy_only=False)[of]
+            n = np.bincount(coded.indices.to_numpy()[train], minlength=len(coded.dictionary))
+            parts.append(pa.table({"word": coded.dictionary, "c": pa.array(n, pa.int64())}))
+        if parts:
+            summed = pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            yield from summed.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
 
 def held_out(id_col: str = "doc_id"):
