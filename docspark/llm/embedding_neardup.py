@@ -27,8 +27,8 @@ THRESHOLD = 0.95
 BLOCKS = 4
 #: Vectors whose axes give the rotation; it steers speed only, never the result.
 SAMPLE = 4096
-#: Rows of one side of a comparison.
-TILE = 2048
+#: Rows of one side of a comparison, and rows dealt at a time.
+TILE, DEALT = 8192, 500
 SLACK = 1e-7
 
 
@@ -97,33 +97,28 @@ def _by_dim(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.stack([np.frombuffer(u, dtype=np.float64) for u in b["unit"].iloc[rows]])
 
 
-def pairs_within(a: np.ndarray, b: np.ndarray | None, block: int, frame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``a`` and ``b`` (or of ``a`` alone, i < j) with cosine at least ``threshold`` that ``block`` is the first to find."""
+def pairs_within(a: np.ndarray, b: np.ndarray | None, block: int, frame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and ``b`` (or of ``a`` alone, i < j) with cosine at least ``threshold`` that ``block`` is the first to find, some rows of ``a`` at a time."""
     axes, blocks, parts = frame.of(a.shape[1])
     ra = _rotated(a, axes)
     other, rb = (a, ra) if b is None else (b, _rotated(b, axes))
     c = blocks[block]
     xa, xb = ra[:, c], rb[:, c]
     nb = (xb * xb).sum(1)
-    left, right = [], []
-    for s in range(0, len(a), 256):
-        x = xa[s : s + 256]
-        near = (x * x).sum(1)[:, None] + nb - 2 * (x @ xb.T) <= parts[block] + 2 * SLACK
-        i, j = np.nonzero(near)
+    for s in range(0, len(a), 128):
+        x = xa[s : s + 128]
+        i, j = np.nonzero((x * x).sum(1)[:, None] + nb - 2 * (x @ xb.T) <= parts[block] + 2 * SLACK)
         i += s
         if b is None:
             i, j = i[i < j], j[i < j]
-        for t in range(0, len(i), 65536):
-            p, q = i[t : t + 65536], j[t : t + 65536]
+        good = np.zeros(len(i), dtype=bool)
+        for t in range(0, len(i), 16384):
+            p, q = i[t : t + 16384], j[t : t + 16384]
             gap = (ra[p] - rb[q]) ** 2
             within = np.stack([gap[:, k].sum(1) <= e + SLACK for k, e in zip(blocks, parts)])
-            mine = within[block] & ~within[:block].any(0)
-            p, q = p[mine], q[mine]
-            good = np.einsum("ij,ij->i", a[p], other[q]) >= threshold
-            left.append(p[good])
-            right.append(q[good])
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+            good[t : t + 16384] = within[block] & ~within[:block].any(0) & (np.einsum("ij,ij->i", a[p], other[q]) >= threshold)
+        if good.any():
+            yield i[good], j[good]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -158,25 +153,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     tiles = {(r["d"], r["block"], r["slice"]): -(-r["n"] // TILE) for r in counted.collect()}  # blocks times slices, bounded by the radius
 
     def deal(batches):
-        for b in batches:
-            out = {"job": [], "side": [], "row": []}
+        for b in (whole.iloc[at : at + DEALT] for whole in batches for at in range(0, len(whole), DEALT)):
+            jobs, sides, row = [], [], []
             own = np.array([int.from_bytes(k[:8], "little") for k in b["key"]], dtype=np.uint64)
             for rows_, units in _by_dim(b):
                 d = units.shape[1]
                 for block, s in enumerate(frame.slices(units)):
-                    for row, x in zip(rows_, s):
+                    for r, x in zip(rows_, s):
                         x = int(x)
                         g = tiles[d, block, x]
-                        i = int(own[row] % np.uint64(g))
-                        jobs = [(x, x, min(i, j), max(i, j), 0 if i <= j else 1) for j in range(g)]
-                        jobs += [(x, x + 1, i, j, 0) for j in range(tiles.get((d, block, x + 1), 0))]
-                        jobs += [(x - 1, x, j, i, 1) for j in range(tiles.get((d, block, x - 1), 0))]
-                        for p, q, ti, tj, side in jobs:
-                            out["job"].append(f"{d},{block},{p},{q},{ti},{tj}")
-                            out["side"].append(side)
-                            out["row"].append(row)
-            pick = b.iloc[out["row"]]
-            yield pd.DataFrame({"job": pd.Series(out["job"], dtype=object), "side": pd.Series(out["side"], dtype="int32"), "key": pick["key"].to_numpy(), "n": pick["n"].to_numpy(), "unit": pick["unit"].to_numpy()})
+                        i = int(own[r] % np.uint64(g))
+                        to = [(x, x, min(i, j), max(i, j), 0 if i <= j else 1) for j in range(g)]
+                        to += [(x, x + 1, i, j, 0) for j in range(tiles.get((d, block, x + 1), 0))]
+                        to += [(x - 1, x, j, i, 1) for j in range(tiles.get((d, block, x - 1), 0))]
+                        jobs += [f"{d},{block},{p},{q},{ti},{tj}" for p, q, ti, tj, _ in to]
+                        sides += [side for *_, side in to]
+                        row += [r] * len(to)
+            pick = b.iloc[row]
+            yield pd.DataFrame({"job": pd.Series(jobs, dtype=object), "side": pd.Series(sides, dtype="int32"), "key": pick["key"].to_numpy(), "n": pick["n"].to_numpy(), "unit": pick["unit"].to_numpy()})
 
     def join(key, group):
         _, block, p, q, ti, tj = map(int, key[0].split(","))
@@ -187,18 +181,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
             return empty
         ua = np.stack([np.frombuffer(u, dtype=np.float64) for u in a["unit"]])
         ub = None if one else np.stack([np.frombuffer(u, dtype=np.float64) for u in b["unit"]])
-        i, j = pairs_within(ua, ub, block, frame, threshold)
-        if not len(i):
-            return empty
         keys = a["key"].to_numpy() if one else np.concatenate([a["key"].to_numpy(), b["key"].to_numpy()])
         n = a["n"].to_numpy() if one else np.concatenate([a["n"].to_numpy(), b["n"].to_numpy()])
-        if not one:
-            j = j + len(a)
-        links = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(links, i, n[j])
-        np.add.at(links, j, n[i])
+        links, every = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        label = every
+        for i, j in pairs_within(ua, ub, block, frame, threshold):
+            if not one:
+                j = j + len(a)
+            np.add.at(links, i, n[j])
+            np.add.at(links, j, n[i])
+            label = stars(len(keys), np.concatenate([every, i]), np.concatenate([label, j]))
         some = np.flatnonzero(links)
-        return pd.DataFrame({"key": keys[some], "other": keys[stars(len(keys), i, j)][some], "links": links[some]})
+        if not len(some):
+            return empty
+        return pd.DataFrame({"key": keys[some], "other": keys[label[some]], "links": links[some]})
 
     dealt = classes.select("key", "n", "unit").mapInPandas(deal, "job string, side int, key binary, n long, unit binary")
     found = stage(dealt.groupBy("job").applyInPandas(join, "key binary, other binary, links long"), "vector-links")
