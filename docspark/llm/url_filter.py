@@ -24,14 +24,14 @@ RULES = (
 )
 #: Longest context in characters.
 ORDER = 4
-#: A gram stays in a model if at least one in so many of its order's counts is its own: at most so many grams an order.
-SUPPORT = 16_384
+#: A gram that makes up one in so many of the scored characters is joined by broadcast, so at most so many are; all others by a shuffle.
+FREQUENT = 16_384
 #: Weight of the shorter context in every smoothed probability, in counts.
 BACKOFF = 4.0
 #: One URL in so many is left out of the training, to calibrate.
 HOLD_OUT = 5
-#: Score range and bins of the calibration.
-LOW, HIGH, BINS = -4.0, 4.0, 800
+#: Score range and bins of the calibration; five orders of counts up to 10**12 stay inside.
+LOW, HIGH, BINS = -160.0, 160.0, 32_000
 #: Size of the alphabet that the order below 0 spreads evenly over.
 ALPHABET = 256
 
@@ -67,53 +67,62 @@ def _grams(urls: DataFrame) -> DataFrame:
 
 
 def train(urls: DataFrame) -> DataFrame:
-    """Log-probability difference by gram (``gram``, ``llr``) from ``urls`` (``_url``, ``_good`` boolean).
+    """Counts by class (``gram``, ``is_context``, ``g``, ``b``) from ``urls`` (``_url``, ``_good`` boolean).
 
-    Counts cover every URL. A gram of k+1 characters is kept while it has
-    1/SUPPORT of its class's counts, so a model holds at most SUPPORT grams per
-    order and class, whatever the input; contexts that are not kept back off.
+    Every gram of 1 to ORDER + 1 characters is there, and every context with
+    the counts of all characters that follow it.
     """
     full = _grams(urls).groupBy("_gram", "_good").agg(F.count(F.lit(1)).alias("n"))
     lengths = F.array(*[F.lit(k) for k in range(1, ORDER + 2)])
-    cut = full.withColumn("k", F.explode(lengths)).select(F.expr("right(_gram, k)").alias("gram"), "k", "_good", "n")
-    counts = cut.groupBy("gram", "k").agg(
+    cut = full.withColumn("k", F.explode(lengths)).select(F.expr("right(_gram, k)").alias("gram"), "_good", "n")
+    counts = stage(cut.groupBy("gram").agg(
         F.sum(F.when(F.col("_good"), F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("_good"), 0).otherwise(F.col("n"))).alias("b")
-    )
-    totals = full.agg(F.sum(F.when(F.col("_good"), F.col("n"))).alias("tg"), F.sum(F.when(~F.col("_good"), F.col("n"))).alias("tb")).first()
-    tg, tb = totals["tg"] or 0, totals["tb"] or 0
-    context = counts.withColumn("ctx", F.expr("left(gram, k - 1)")).withColumns({
-        "cg": F.sum("g").over(Window.partitionBy("ctx", "k")), "cb": F.sum("b").over(Window.partitionBy("ctx", "k")),
-    })
-    kept = stage(context.where((F.col("g") * SUPPORT >= max(tg, 1)) | (F.col("b") * SUPPORT >= max(tb, 1))), "url-grams")
-    model = None
+    ), "url-grams")
+    contexts = counts.groupBy(F.expr("left(gram, length(gram) - 1)").alias("gram")).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    contexts = stage(contexts, "url-contexts")
+    return counts.select("gram", F.lit(False).alias("is_context"), "g", "b").unionByName(contexts.select("gram", F.lit(True).alias("is_context"), "g", "b"))
+
+
+def log_ratios(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(``gram``, ``llr``) for the distinct ``_gram``: log-probability difference of its last character after the others.
+
+    Both smoothed probabilities are worked out order by order for the grams
+    asked, seen or not: an unseen gram counts 0 and still pays its context's
+    back-off factor. A join key has at most one row per character of the alphabet.
+    """
+    below = None
     for k in range(1, ORDER + 2):
-        own = kept.where(F.col("k") == k)
-        if model is None:
-            lower = own.withColumns({"pg0": F.lit(1.0 / ALPHABET), "pb0": F.lit(1.0 / ALPHABET)})
+        level = grams.select(F.expr(f"right(_gram, {k})").alias("gram")).distinct()
+        own = model.where(~F.col("is_context") & (F.length("gram") == k)).select("gram", "g", "b")
+        context = model.where(F.col("is_context") & (F.length("gram") == k - 1)).select(F.col("gram").alias("_c"), F.col("g").alias("cg"), F.col("b").alias("cb"))
+        level = level.join(own, "gram", "left").withColumn("_c", F.expr(f"left(gram, {k - 1})")).join(context, "_c", "left").na.fill(0, ["g", "b", "cg", "cb"])
+        if below is None:
+            level = level.withColumns({"pg0": F.lit(1.0 / ALPHABET), "pb0": F.lit(1.0 / ALPHABET)})
         else:
-            below = model.where(F.col("k") == k - 1).select(F.col("gram").alias("_s"), F.col("pg").alias("pg0"), F.col("pb").alias("pb0"))
-            # every suffix of a kept gram has at least its counts, so it is kept too
-            lower = own.withColumn("_s", F.expr("right(gram, k - 1)")).join(below, "_s").drop("_s")
-        level = lower.withColumns({
-            "pg": (F.col("g") + BACKOFF * F.col("pg0")) / (F.col("cg") + BACKOFF), "pb": (F.col("b") + BACKOFF * F.col("pb0")) / (F.col("cb") + BACKOFF),
-        }).select("gram", "k", "pg", "pb")
-        model = level if model is None else model.unionByName(level)
-    return stage(model.select("gram", "k", F.round(F.log("pg") - F.log("pb"), 9).alias("llr")), "url-model")
+            level = level.withColumn("_s", F.expr(f"right(gram, {k - 1})")).join(below, "_s")
+        level = level.select("gram", *[((F.col(c) + BACKOFF * F.col(f"p{c}0")) / (F.col(f"c{c}") + BACKOFF)).alias(f"p{c}") for c in "gb"])
+        below = level.select(F.col("gram").alias("_s"), F.col("pg").alias("pg0"), F.col("pb").alias("pb0"))
+    return level.select("gram", (F.log("pg") - F.log("pb")).alias("llr"))
 
 
 def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     """Mean log-likelihood difference per character for each distinct ``_url``.
 
-    Each character takes the longest gram that the model holds; the model's
-    size is bounded by ORDER, SUPPORT and the two classes, so it is broadcast.
+    Each distinct gram is looked up once. The frequent ones meet the URLs by
+    broadcast, where a key would gather too many rows, all others by a shuffle
+    of the URL's hash. Sums are of whole billionths, so they do not depend on the order.
     """
-    rows = _grams(urls.select("_url").where(F.col("_url").isNotNull()).distinct())
-    found = []
-    for k in range(ORDER + 1, 0, -1):
-        part = model.where(F.col("k") == k).select(F.col("gram").alias(f"_g{k}"), F.col("llr").alias(f"_l{k}"))
-        rows = rows.withColumn(f"_g{k}", F.expr(f"right(_gram, {k})")).join(F.broadcast(part), f"_g{k}", "left").drop(f"_g{k}")
-        found.append(F.col(f"_l{k}"))
-    return rows.groupBy("_url").agg(F.avg(F.coalesce(*found, F.lit(0.0))).alias("_score"))
+    texts = urls.select("_url").where(F.col("_url").isNotNull()).distinct().withColumn("_id", F.unhex(F.md5("_url")))
+    asked = stage(_grams(texts).groupBy("_gram").agg(F.count(F.lit(1)).alias("n")), "url-asked")
+    total = asked.agg(F.sum("n")).first()[0] or 0
+    told = log_ratios(asked, model).select(F.col("gram").alias("_gram"), F.round(F.col("llr") * 1e9).cast("long").alias("_nano"))
+    told = stage(asked.join(told, "_gram"), "url-ratios")
+    frequent = F.col("n") * FREQUENT >= total
+    rows = _grams(texts).select("_id", "_gram").join(F.broadcast(told.where(frequent).select("_gram", "_nano")), "_gram", "left")
+    rare = rows.where(F.col("_nano").isNull()).drop("_nano").join(told.where(~frequent).select("_gram", "_nano"), "_gram")
+    sums = rows.where(F.col("_nano").isNotNull()).select("_id", "_nano").unionByName(rare.select("_id", "_nano"))
+    sums = sums.groupBy("_id").agg((F.sum("_nano") / F.count(F.lit(1)) / 1e9).alias("_score"))
+    return texts.join(sums, "_id").select("_url", "_score")
 
 
 def calibrate(scored: DataFrame) -> float:

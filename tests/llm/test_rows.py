@@ -106,6 +106,34 @@ def test_url_model(spark):
         assert have[u] == pytest.approx(sum(math.log(prob(1, x) / prob(0, x)) for x in grams) / len(grams), abs=1e-6)
 
 
+def test_url_model_on_untrained_urls(spark, monkeypatch):
+    """URLs that were not trained on score the full difference of the smoothed models, by broadcast or by shuffle."""
+    trained = [(f"s://kept{i % 7}.net/common/{i}", True) for i in range(300)] + [(f"s://gone{i % 5}.net/shop?{i}", False) for i in range(200)]
+    count, context = [Counter(), Counter()], [Counter(), Counter()]
+    padded = lambda u: "\x02" * url_filter.ORDER + u + "\x03"
+    for u, g in trained:
+        p = padded(u)
+        for i in range(url_filter.ORDER, len(p)):
+            for k in range(1, url_filter.ORDER + 2):
+                count[g][p[i - k + 1 : i + 1]] += 1
+                context[g][p[i - k + 1 : i]] += 1
+
+    def prob(g, gram):
+        low = 1 / url_filter.ALPHABET if len(gram) == 1 else prob(g, gram[1:])
+        return (count[g][gram] + url_filter.BACKOFF * low) / (context[g][gram[:-1]] + url_filter.BACKOFF)
+
+    new = ["s://kept3.net/commoX", "s://gone9.net/comZ", "t://kept1.net/shop?7", "\u00fc\U0001f600", ""]
+    model = url_filter.train(spark.createDataFrame(trained, "_url string, _good boolean"))
+    for frequent in (16_384, 30, 0):
+        monkeypatch.setattr(url_filter, "FREQUENT", frequent)
+        have = {r["_url"]: r["_score"] for r in url_filter.score(spark.createDataFrame([(u,) for u in new], "_url string"), model).collect()}
+        assert set(have) == set(new)
+        for u in new:
+            p = padded(u)
+            grams = [p[i - url_filter.ORDER : i + 1] for i in range(url_filter.ORDER, len(p))]
+            assert have[u] == pytest.approx(sum(math.log(prob(1, x) / prob(0, x)) for x in grams) / len(grams), abs=1e-8)
+
+
 # --- 6 -----------------------------------------------------------------------------------------
 
 
