@@ -90,11 +90,11 @@ def n7(spark, d):
 _KIND = "CASE turn % 5 WHEN 0 THEN 'section_head' WHEN 1 THEN 'equation' WHEN 2 THEN 'list_item' WHEN 3 THEN 'table' ELSE 'paragraph' END"
 
 
-def turns(spark, d):
-    """Turns as blocks of five kinds, one line each."""
+def turns(spark, d, whole=False):
+    """Turns as blocks of five kinds: the first line of each, which SQL can follow, or the whole text."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("section_head", "equation", "list_item", "table", "paragraph")]), (F.col("turn") % 5 + 1).cast("int"))
     label = F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string"))
-    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), kind.alias("kind"), label.alias("equation_label"), F.split("text", "\n")[0].alias("text"))
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), kind.alias("kind"), label.alias("equation_label"), (F.col("text") if whole else F.split("text", "\n")[0]).alias("text"))
 
 
 @register("n3_by_kind", rf"SELECT conv_id AS doc_id, turn::INTEGER AS pos, trim(regexp_replace(string_split(text, chr(10))[1], '[ \t]{{2,}}', ' ', 'g')) AS text FROM conversations")
@@ -102,6 +102,11 @@ def n3(spark, d):
     return turns(spark, d).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
 
 
+@register("n3_by_kind_whole")
+def n3_whole(spark, d):
+    return turns(spark, d, True).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
+
+
 @register("n5_inline_titles")
 def n5(spark, d):
     glued = F.concat(F.lit("Start here. The Origin of Species Darwin went on. "), F.col("text"))
@@ -143,6 +148,16 @@ def c1(spark, d):
     return C.render_blocks(turns(spark, d)).where("rendered <> ''").select("doc_id", "pos", "rendered")
 
 
+@register("c1_render_whole")
+def c1_whole(spark, d):
+    return C.render_blocks(turns(spark, d, True)).where("rendered <> ''").select("doc_id", "pos", "rendered")
+
+
+@register("x4_heads_whole")
+def x4_whole(spark, d):
+    return X.propagate_heads(turns(spark, d, True)).select("doc_id", "pos", "head", "div_index")
+
+
 @register("x4_heads", f"""SELECT doc_id, pos, last_value(CASE WHEN kind = 'section_head' THEN s END IGNORE NULLS) OVER w AS head, greatest(sum((kind = 'section_head')::INTEGER) OVER w - 1, 0)::INTEGER AS div_index
 FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, string_split(text, chr(10))[1] AS s FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def x4(spark, d):

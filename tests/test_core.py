@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -188,3 +189,40 @@ def test_porter(spark):
     chunks = spark.createDataFrame([(1, "Foxes were jumping", None)], "chunk_id int, text string, text_norm string")
     q = spark.createDataFrame([(1, "fox jumps")], "query_id int, query string")
     assert L.fts_topk(q, L.build_postings(chunks, stemmed=True), 5, stemmed=True).count() == 1
+
+
+def test_whole_turns(spark):
+    """N3, C1 and X4 over every line of a turn, against plain Python."""
+    from docspark.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    ws = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029"
+    kinds = ("section_head", "equation", "list_item", "table", "paragraph")
+
+    def by_kind(s, kind):
+        s = (s or "").strip(ws)
+        if kind not in N.KEEP_LINES:
+            s = re.sub(r"(?<=\w)-\s*\n\s*(?=\w)", "", s)
+            s = re.sub(r"(?<=[A-Za-z]{2})-\s+(?=[a-z])", "", s)
+            s = re.sub(r"(?<!\n)\n(?!\n)", " ", s)
+        return re.sub(r"[ \t]{2,}", " ", s).strip(ws)
+
+    def render(s, kind, pos):
+        s = (s or "").strip(ws)
+        label = f"({pos}) " if pos % 2 else ""
+        return s and {"section_head": "## ", "equation": label, "list_item": "- ", "table": "Table: "}.get(kind, "") + s
+
+    rows = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.read.parquet(f"{d}/conversations.parquet").collect())
+    assert sum("\n" in r[2] for r in rows) > 10
+    have = {(r["doc_id"], r["pos"]): r["text"] for r in QUERIES["n3_by_kind_whole"](spark, d).collect()}
+    assert have == {(c, p): by_kind(s, kinds[p % 5]) for c, p, s in rows} and any("\n" in x for x in have.values())
+    have = {(r["doc_id"], r["pos"]): r["rendered"] for r in QUERIES["c1_render_whole"](spark, d).collect()}
+    assert have == {(c, p): x for c, p, s in rows if (x := render(s, kinds[p % 5], p))}
+    want, head, n, at = {}, None, 0, None
+    for c, p, s in rows:
+        head, n = (None, 0) if c != at else (head, n)
+        at = c
+        if kinds[p % 5] == "section_head":
+            head, n = s, n + 1
+        want[c, p] = (head, max(n - 1, 0))
+    assert {(r["doc_id"], r["pos"]): (r["head"], r["div_index"]) for r in QUERIES["x4_heads_whole"](spark, d).collect()} == want
