@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,28 +25,23 @@ def stream_index(docs: DataFrame, sink: str, checkpoint: str):
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_run_status(events: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
+def stream_run_status(events: DataFrame) -> DataFrame:
     """(run_id, status, cancel_requested, n_events) after each batch of (run_id, seq, status).
 
-    Terminal states are final; CANCEL sets a flag while a run is active.
+    The first terminal state by ``seq`` is final; CANCEL sets a flag while a run
+    is active. The state is order-free, so neither frames nor batches need to
+    arrive in order. Equal ``seq`` go by status, null ones come last.
     """
-
-    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        status, flag, n = state.get if state.exists else ("PENDING", False, 0)
-        for f in frames:
-            for s in f.sort_values("seq")["status"]:
-                n += 1
-                if status in TERMINAL:
-                    continue
-                if s == "CANCEL":
-                    flag = True
-                else:
-                    status = s
-        state.update((status, flag, n))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "cancel_requested": [flag], "n_events": [n]})
-
-    kind = events.schema["run_id"].dataType.simpleString()
-    return events.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, status string, cancel_requested boolean, n_events long", "status string, flag boolean, n long", "update", timeout)
+    at = [F.col("seq").isNull().alias("none"), F.col("seq").alias("seq")]
+    event, cancel = F.struct(*at, F.col("status").alias("status")), F.col("status") == "CANCEL"
+    seen = events.groupBy("run_id").agg(
+        F.min(F.when(F.col("status").isin(*TERMINAL), event)).alias("end"),
+        F.max(F.when(~cancel, event)).alias("last"),
+        F.min(F.when(cancel, F.struct(*at))).alias("asked"),
+        F.count(F.lit(1)).alias("n_events"),
+    )
+    flag = F.col("asked").isNotNull() & (F.col("end").isNull() | (F.col("asked") <= F.struct(F.col("end.none").alias("none"), F.col("end.seq").alias("seq"))))
+    return seen.select("run_id", F.coalesce("end.status", "last.status", F.lit("PENDING")).alias("status"), F.coalesce(flag, F.lit(False)).alias("cancel_requested"), "n_events")
 
 
 def stream_touch_chats(messages: DataFrame) -> DataFrame:

@@ -173,6 +173,26 @@ def test_streams(spark, tmp_path):
     assert got == {1: ("READY", True), 2: ("RUNNING", False)}
 
 
+def test_run_status_in_any_order(spark, tmp_path):
+    """The first terminal state by seq wins, however the rows of a run are dealt over frames and batches."""
+    from docspark.streaming import jobs
+
+    n = 25_000
+    status = F.when(F.col("id") == 20_000, "READY").when(F.col("id") == 20_001, "CANCEL").when(F.col("id") == 15_000, "FAILED").when(F.col("id") == 14_000, "CANCEL").otherwise("RUNNING")
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("run_id"), F.col("id").cast("int").alias("seq"), status.alias("status"))
+    more = spark.createDataFrame([(2, 9, "FAILED"), (2, 4, "CANCEL"), (3, 2, "CANCEL"), (3, 1, "READY"), (4, 5, "CANCEL")], "run_id long, seq int, status string")
+    late = spark.createDataFrame([(2, 3, "READY"), (4, 4, "PENDING"), (4, 6, "RUNNING")], "run_id long, seq int, status string")
+    rows.unionByName(more).orderBy(F.desc("seq")).coalesce(1).write.parquet(str(tmp_path / "ev"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+    events = spark.readStream.schema("run_id long, seq int, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev"))
+    q = jobs.stream_run_status(events).writeStream.format("memory").queryName("runs_any").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.awaitTermination(120)
+    got = {}
+    for r in spark.table("runs_any").collect():
+        got[r["run_id"]] = max(got.get(r["run_id"], (0,)), (r["n_events"], r["status"], r["cancel_requested"]))
+    assert got == {1: (n, "FAILED", True), 2: (3, "READY", False), 3: (2, "READY", False), 4: (3, "RUNNING", True)}
+
+
 @pytest.mark.parametrize("parts", [1, 8])
 def test_repartition_invariance(spark, parts):
     docs = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").repartition(parts)
