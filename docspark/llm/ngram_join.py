@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, stars, whole_groups, with_tiles
@@ -310,29 +310,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     )
 
 
+def row_key(doc_id: Column, kind: str) -> Column:
+    """Binary key of a row that sorts by id (null behind all others), then by the hash of its text, its last 16 bytes."""
+    known = F.unhex(F.lpad(F.hex(doc_id.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")) if kind in ("long", "integer", "short", "byte") else F.concat(F.encode(doc_id.cast("string"), "utf-8"), F.unhex(F.lit("00")))
+    behind = F.unhex(F.lit("FF" * 9))
+    return F.concat(F.coalesce(known, behind), F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each group, with the columns of ``docs``: the one with the smallest id.
+    """One row of each group, with the columns of ``docs``: the one with the smallest id, and of these the first by text.
 
-    Rows that repeat an id are one document: it goes if none of them is the
-    smallest of its group, and else its first row by text stays. A null id
-    stands behind all others, by the hash of its text.
+    Rows are told apart by id and text, so texts that share an id are decided
+    each for itself. A null id stands behind all others.
     """
-    behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
-    known = F.col("doc_id")
-    own = F.coalesce(known, behind) if docs.schema["doc_id"].dataType.typeName() == "long" else F.coalesce(known.cast("string"), F.concat(F.lit("\U0010ffff"), behind))
-    whole = docs.select(F.struct("*").alias("_row"), own.alias("doc_id"), "text")
-    found = near_duplicates(whole.select("doc_id", "text"), threshold)
-    ids = found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
-    ids = stage(ids.where("NOT kept OR n > 1"), "duplicates")
-    gone, many = ids.where("NOT kept").select("doc_id"), ids.where("kept").select("doc_id")
-    sizes = ids.agg(F.count(F.when(~F.col("kept"), 1)).alias("gone"), F.count(F.when(F.col("kept"), 1)).alias("many")).first()
+    whole = docs.select(F.struct("*").alias("_row"), row_key(F.col("doc_id"), docs.schema["doc_id"].dataType.typeName()).alias("_key"), "text")
+    found = near_duplicates(whole.select("_key", "text"), threshold, "_key")
+    own = lambda c: F.expr(f"substring({c}, 1, length({c}) - 16)")
+    keys = found.groupBy("_key").agg(F.min("component_id").alias("_group"), F.count(F.lit(1)).alias("n")).withColumn("first", own("_key") == own("_group"))
+    keys = stage(keys, "duplicates")
+    several = keys.where("first").groupBy("_group").agg(F.sum("n").alias("rows")).where("rows > 1").select("_group")
+    gone, many = keys.where("NOT first").select("_key"), stage(keys.where("first").join(several, "_group").select("_key", "_group"), "duplicates")
+    sizes = (gone.count(), many.count())
     hint = lambda df, n: F.broadcast(df) if n <= BROADCAST_IDS else df
-    left = whole.join(hint(gone, sizes["gone"]), "doc_id", "left_anti")
-    if sizes["many"]:
-        repeated = left.join(hint(many, sizes["many"]), "doc_id", "left_semi")
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first(), F.to_json("_row")))
-        once = repeated.withColumn("_nth", first).where("_nth = 1").drop("_nth")
-        left = left.join(hint(many, sizes["many"]), "doc_id", "left_anti").unionByName(once)
+    left = whole.join(hint(gone, sizes[0]), "_key", "left_anti")
+    if sizes[1]:
+        repeated = left.join(hint(many, sizes[1]), "_key")
+        once = repeated.groupBy("_group").agg(F.min_by("_row", F.struct("text", F.to_json("_row"))).alias("_row"))
+        left = left.join(hint(many.select("_key"), sizes[1]), "_key", "left_anti").select("_row").unionByName(once.select("_row"))
     return left.select("_row.*")
 
 

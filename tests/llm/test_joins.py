@@ -71,6 +71,15 @@ def test_keep_one(spark):
     assert J.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_decides_each_text_of_an_id(spark):
+    text = " ".join(f"b{i}" for i in range(60))
+    rows = [(5, text), (7, text + " x"), (5, "an unrelated text that sorts first"), (-4, "one text of an id"), (-4, "two unrelated words stay"), (9, "z " + text.replace("b", "c")), (9, "y " + text.replace("b", "c"))]
+    want = sorted(r for r in rows if r[0] != 7 and not r[1].startswith("z "))
+    for kind in ("long", "string"):
+        docs = spark.createDataFrame([(i if kind == "long" else str(i), x) for i, x in rows], f"doc_id {kind}, text string")
+        assert sorted((int(r["doc_id"]), r["text"]) for r in J.keep_one(docs).collect()) == want
+
+
 def test_posterior_bound():
     least = J.least_matches()
     assert sorted(least) == [32, 64, 96, 128, 160] and all(0 < m < n for n, m in least.items()) and least[160] / 160 < 0.8
