@@ -340,9 +340,18 @@ def rewrites(spark, d):
     return terms.withColumn("q_idx", n).where("q_idx < 2")
 
 
-def hits(spark, d):
+def whole_items(spark, d):
+    """Each benchmark item as one query: its first three words as a phrase, or any of its terms."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0))
+    phrase = F.concat(F.lit('"'), F.array_join(F.slice(F.col("w"), 1, 3), " "), F.lit('"'))
+    terms = F.filter(F.array_distinct("w"), lambda w: ~w.isin("or", *L.STOP_WORDS))
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w"))
+    return asked.select("query_id", F.lit(0).alias("q_idx"), F.array_join(F.concat(F.array(phrase), terms), " or ").alias("term"))
+
+
+def hits(spark, d, ask=rewrites):
     """Vector and text hits of every rewrite, TOPK each."""
-    r = rewrites(spark, d)
+    r = ask(spark, d)
     e = t(spark, d, "embeddings")
     asked = r.select("query_id", "q_idx").join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     asked = asked.select((F.col("query_id") * 10 + F.col("q_idx")).alias("query_id"), "embedding")
@@ -358,18 +367,29 @@ def l4(spark, d):
     return hits(spark, d)[1].drop("source")
 
 
+@register("l3_whole_items")
+def l3_whole(spark, d):
+    q = whole_items(spark, d).select("query_id", F.col("term").alias("query"))
+    return L.fts_match(L.build_postings(doc_chunks(spark, d)), L.parse_queries(q)).select("query_id", "chunk_id")
+
+
+@register("l4_whole_items")
+def l4_whole(spark, d):
+    return hits(spark, d, whole_items)[1].drop("source")
+
+
 @register("f1_minmax", f"SELECT query_id, q_idx, chunk_id, round(norm, 6) AS norm FROM {_NORM(_VEC)}")
 def f1(spark, d):
     return H.minmax_scores(hits(spark, d)[0]).select("query_id", "q_idx", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
-def hybrid(spark, d):
-    vec, fts = map(H.minmax_scores, hits(spark, d))
+def hybrid(spark, d, ask=rewrites):
+    vec, fts = map(H.minmax_scores, hits(spark, d, ask))
     return H.hybrid_scores(vec, fts)
 
 
-def ranked(spark, d):
-    fused = H.dedupe_rewrites(hybrid(spark, d)).withColumn("score", F.round("score", 9))
+def ranked(spark, d, ask=rewrites):
+    fused = H.dedupe_rewrites(hybrid(spark, d, ask)).withColumn("score", F.round("score", 9))
     return H.fuse_topk(fused, TOPK)
 
 
@@ -407,8 +427,8 @@ def f7(spark, d):
     return H.apply_rerank(r, order, 5).select("query_id", "chunk_id", "final_rank")
 
 
-def packs(spark, d):
-    return H.build_context_pack(H.hydrate(ranked(spark, d), doc_chunks(spark, d)))
+def packs(spark, d, ask=rewrites):
+    return H.build_context_pack(H.hydrate(ranked(spark, d, ask), doc_chunks(spark, d)))
 
 
 @register("f11_rerank_prompts", f"SELECT query_id, string_agg('#' || i || ' id=' || chunk_id || ' score=' || printf('%.6f', score) || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY i) AS prompt FROM (SELECT r.query_id, r.chunk_id, round(r.score, 9) AS score, d.text, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS i FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id) GROUP BY query_id")
@@ -427,6 +447,12 @@ def hybrid_context(spark, d):
     return H.render_context(packs(spark, d)).select("query_id", "context")
 
 
+@register("hybrid_context_whole_items")
+def hybrid_context_whole(spark, d):
+    """The flagship's steps with whole items as text queries."""
+    return H.render_context(packs(spark, d, whole_items)).select("query_id", "context")
+
+
 # --- query preparation -----------------------------------------------------------------------------------
 
 

@@ -246,3 +246,38 @@ def test_whole_turns(spark):
             head, n = s, n + 1
         want[c, p] = (head, max(n - 1, 0))
     assert {(r["doc_id"], r["pos"]): (r["head"], r["div_index"]) for r in QUERIES["x4_heads_whole"](spark, d).collect()} == want
+
+
+def test_whole_item_queries(spark, tmp_path):
+    """L3 and L4 of whole items against all pairs in plain Python."""
+    from docspark.plans.registry import QUERIES, TOPK
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["ash", "birch", "cedar", "elm", "fir", "or", "the", "oak", "pine"]
+    docs = [(i, " ".join(rng.choice(vocabulary, 12))) for i in range(30)] + [(30, "nothing in common"), (31, "Ash birch, the cedar")]
+    items = [(1, "Ash birch cedar or the elm"), (2, "the oak"), (3, "pine fir or - pine \"oak\""), (4, "absent words"), (5, "birch the cedar")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, [1.0, float(i)]) for i in range(32)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    split = lambda s: re.findall(r"\w+", s.lower())
+    want, ranks = set(), {}
+    for q, item in items:
+        terms = {w for w in split(item) if w not in L.STOP_WORDS and w != "or"}
+        phrase = [(i, w) for i, w in enumerate(split(item)[:3]) if w not in L.STOP_WORDS]
+        for c, text in docs:
+            words = split(text)
+            has = lambda s, w: 0 <= s < len(words) and words[s] == w
+            held = {w for w in terms if w in words}
+            if phrase and any(all(has(s + i, w) for i, w in phrase) for s in range(-3, len(words))):
+                held |= {w for _, w in phrase}
+            if not held:
+                continue
+            want.add((q, c))
+            windows = [(s, e) for s in range(len(words)) for e in range(s, len(words)) if held <= set(words[s : e + 1])]
+            least = [(s, e) for s, e in windows if not any((a, b) != (s, e) and s <= a and b <= e for a, b in windows)]
+            ranks.setdefault(q, []).append((-round(sum(0.1 / (1 + e - s + 1 - len(held)) for s, e in least), 6), c))
+    have = [tuple(r) for r in QUERIES["l3_whole_items"](spark, str(tmp_path)).select("query_id", "chunk_id").collect()]
+    assert len(have) == len(set(have)) and set(have) == want
+    got = sorted((r["query_id"], -r["score"], r["chunk_id"]) for r in QUERIES["l4_whole_items"](spark, str(tmp_path)).collect())
+    assert [(q, c) for q, _, c in got] == [(q, c) for q in sorted(ranks) for _, c in sorted(ranks[q])[:TOPK]]
+    assert [s for _, s, _ in got] == pytest.approx([s for q in sorted(ranks) for s, _ in sorted(ranks[q])[:TOPK]], abs=1e-6)
