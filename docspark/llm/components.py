@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import release, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -36,10 +36,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = large.join(low.select(own("u").alias("n"), "m"), F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
         after = stage(moved.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
         told = _state(after)
+        release(now)
         now, same, state = after, told == state, told
         if same:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out._folder = now._folder  # so that it can be released
+    return out
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -80,14 +83,13 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(rest, ignore_index=True)
 
 
-def with_tiles(df: DataFrame, count: str, key: str, tile: int) -> DataFrame:
-    """Deal the rows of a group of ``count`` rows to pairs of tiles, so that every two rows meet in exactly one pair.
+def with_tiles(df: DataFrame, tiles: Column, key: str) -> DataFrame:
+    """Deal the rows of a group of ``tiles`` tiles to pairs of tiles, so that every two rows meet in exactly one pair.
 
     Adds ``ti``, ``tj`` (ti <= tj) and ``side`` (0: of tile ti, 1: of tile tj). A group of one tile is not repeated.
     """
-    tiles = F.ceil(F.col(count) / tile).cast("int")
-    own = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.greatest(tiles, F.lit(1)).cast("long")).cast("int")
-    out = df.withColumns({"_own": own, "_tiles": F.greatest(tiles, F.lit(1))})
+    out = df.withColumn("_tiles", F.greatest(tiles.cast("int"), F.lit(1)))
+    out = out.withColumn("_own", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.col("_tiles").cast("long")).cast("int"))
     out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
     return out.withColumns({
         "ti": F.least("_own", "_other"), "tj": F.greatest("_own", "_other"), "side": F.when(F.col("_own") <= F.col("_other"), 0).otherwise(1),

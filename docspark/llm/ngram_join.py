@@ -3,8 +3,9 @@
 Documents are sets of five-word shingles. MinHash bands name candidate groups;
 inside a group, signatures are compared a few hashes at a time and a pair is
 dropped as soon as the posterior probability that its similarity reaches the
-threshold is below a tolerance. Documents joined by surviving pairs meet once
-more, and there every pair is decided by the exact similarity of its sets.
+threshold is below a tolerance. A pair counts in the first band it shares, so it
+survives in one group only. The survivors of a group, kept as bits beside its
+members, are then decided by the exact similarity of their sets, and no others.
 Pairs never become rows: tasks return links per document and spanning edges.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, stars, whole_groups, with_tiles
-from .staging import stage
+from .staging import release, stage
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -28,8 +29,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Hashes compared at a time, and the posterior probability below which a pair is dropped.
 CHUNK, TOLERANCE = 32, 1e-6
-#: Rows of one side of a comparison: of signatures, of shingle sets.
-SIGNATURE_TILE, SET_TILE = 1024, 256
+#: One side of a comparison on average: signatures, and bytes of shingle sets.
+SIGNATURE_TILE, SET_BYTES = 1024, 16 << 20
 #: Identifiers of candidates up to this many are broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -138,8 +139,8 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, ch
     return out
 
 
-def survivors(a: np.ndarray, b: np.ndarray | None, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of signature rows that no step of the comparison drops."""
+def survivors(a: np.ndarray, b: np.ndarray | None, least: dict[int, int], band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of signature rows that no step of the comparison drops and that share no band before ``band``."""
     other = a if b is None else b
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     steps = sorted(least)
@@ -153,6 +154,13 @@ def survivors(a: np.ndarray, b: np.ndarray | None, least: dict[int, int]) -> tup
         if b is None:
             up = i < j
             i, j, m = i[up], j[up], m[up]
+        for k in range(0, band * ROWS, ROWS):
+            if not len(i):
+                break
+            new = np.zeros(len(i), dtype=bool)
+            for t in range(0, len(i), 65536):
+                new[t : t + 65536] = (a[i[t : t + 65536], k : k + ROWS] != other[j[t : t + 65536], k : k + ROWS]).any(1)
+            i, j, m = i[new], j[new], m[new]
         done = steps[0]
         for n in steps[1:]:
             if not len(i):
@@ -166,48 +174,55 @@ def survivors(a: np.ndarray, b: np.ndarray | None, least: dict[int, int]) -> tup
     return np.concatenate(left), np.concatenate(right)
 
 
-def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of shingle sets with an exact Jaccard similarity of at least ``threshold``."""
-    every = sets_a if sets_b is None else sets_a + sets_b
-    size = np.array([len(x) for x in every], dtype=np.int64)
-    owner = np.repeat(np.arange(len(every)), size)
-    flat = np.concatenate(every)
+def reaches(common: np.ndarray, union: np.ndarray, threshold: float) -> np.ndarray:
+    """Whole numbers are compared, so a similarity that equals the threshold reaches it."""
+    return (common > 0) & (common >= threshold * union - 1e-9)
+
+
+def agree(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Which of the pairs (i, j) of shingle sets have an exact Jaccard similarity of at least ``threshold``.
+
+    Few pairs are merged one by one; where most of a group's sets meet, their
+    common shingles are counted by products of 0/1 blocks.
+    """
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    if len(i) <= 4 * len(sets):
+        common = np.zeros(len(i), dtype=np.int64)
+        for t in np.flatnonzero(np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9):
+            common[t] = len(np.intersect1d(sets[i[t]], sets[j[t]], assume_unique=True))
+        return reaches(common, size[i] + size[j] - common, threshold)
+    owner, flat = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, dtype=bool)
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, dtype=bool)
+    column = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+    shared = np.bincount(column)[column] > 1
     owner, column = owner[shared], column[shared]
-    n = len(sets_a)
-    m = n if sets_b is None else len(sets_b)
-    common = np.zeros((n, m), dtype=np.float32)
+    grids = np.zeros((len(sets), len(sets)), dtype=np.float32)  # whole numbers below 2**24 are exact
     if len(column):
         _, column = np.unique(column, return_inverse=True)
         for s in range(0, column[-1] + 1, 8192):
             lo, hi = np.searchsorted(column, [s, s + 8192])
-            grid = np.zeros((len(every), min(8192, column[-1] + 1 - s)), dtype=np.float32)
+            grid = np.zeros((len(sets), min(8192, column[-1] + 1 - s)), dtype=np.float32)
             grid[owner[lo:hi], column[lo:hi] - s] = 1
-            common += grid[:n] @ (grid.T if sets_b is None else grid[n:].T)
-    sa, sb = size[:n], size if sets_b is None else size[n:]
-    union = sa[:, None] + sb[None, :] - common
-    # whole numbers below 2**24 are exact in common; the comparison is made on whole numbers
-    i, j = np.nonzero((common > 0) & (common.astype(np.float64) >= threshold * union - 1e-9))
-    if sets_b is None:
-        i, j = i[i < j], j[i < j]
-    return i, j
+            grids += grid @ grid.T
+    common = grids[i, j].astype(np.int64)
+    return reaches(common, size[i] + size[j] - common, threshold)
 
 
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for b in batches:
-        keys, sigs, bands = [], [], []
+        keys, sigs, bands, sizes = [], [], [], []
         for t in b["_text"]:
             s = shingler(t if isinstance(t, str) else "")
             keys.append(class_key(s))
-            sig = signature(s)
-            sigs.append((sig & np.uint64(0xFFFF)).astype(np.uint16).tobytes() if len(s) else b"")
-            bands.append(band_keys(sig) if len(s) else np.zeros(0, dtype=np.int64))
-        yield pd.DataFrame({"_id": b["_id"], "key": pd.Series(keys, dtype=object), "sig": pd.Series(sigs, dtype=object), "bands": pd.Series(bands, dtype=object)})
+            sig = (signature(s) & np.uint64(0xFFFF)).astype(np.uint16)
+            sigs.append(sig.tobytes() if len(s) else b"")
+            bands.append(band_keys(sig.astype(np.uint64)) if len(s) else np.zeros(0, dtype=np.int64))
+            sizes.append(s.nbytes)
+        yield pd.DataFrame({
+            "_id": b["_id"], "key": pd.Series(keys, dtype=object), "sig": pd.Series(sigs, dtype=object), "bands": pd.Series(bands, dtype=object), "bytes": pd.Series(sizes, dtype="int64"),
+        })
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,90 +232,103 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": pd.Series([class_key(s) for s in sets], dtype=object), "shingles": pd.Series([s.tobytes() for s in sets], dtype=object)})
 
 
-def _halves(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-    if g["ti"].iloc[0] == g["tj"].iloc[0]:
-        return g, None
-    return g[g["side"] == 0], g[g["side"] == 1]
+TILE = ["band", "ti", "tj"]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``class_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``docs``.
+def candidates(classes: DataFrame, least: dict[int, int]) -> DataFrame:
+    """Members of the groups with surviving pairs: (band, ti, tj, at, key, n, pairs).
 
-    Documents with the same shingle set are one class (all texts without words
-    are one) and link with each other; classes link at an exact similarity of
-    at least ``threshold``. ``n_links`` counts the other rows linked directly,
-    ``component_id`` is the smallest id reachable. A null text is empty; a null
-    id takes part but is never the smallest; an empty table gives no rows.
+    ``at`` numbers the members of a tile with a surviving pair from 0; bit k of
+    ``pairs`` tells whether the pair with member k survives (k behind ``at``).
+    ``classes``: key, n, sig, bands, bytes. Bands that name the same members are
+    one group, named by the first of them: the first band a pair shares always
+    names its own group, so each pair is looked at in one group only.
     """
-    least = least_matches(threshold)
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = stage(source.mapInPandas(_sign, f"_id {kind}, key binary, sig binary, bands array<bigint>"), "signatures")
-    classes = stage(
-        rows.groupBy("key").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes"
-    )
-
-    # groups of two or more classes; bands that name the same group are one
-    banded = classes.select("key", F.explode("bands").alias("band"))
+    banded = classes.select("key", "bytes", F.posexplode("bands").alias("place", "band"))
     groups = banded.groupBy("band").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
-    ).where("c > 1").groupBy("c", "x", "y").agg(F.min("band").alias("band"))
-    members = banded.join(groups.select("band", "c"), "band").join(classes.select("key", "sig"), "key")
+        F.min("place").alias("place"), F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("all"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
+    ).where("c > 1").groupBy("c", "x", "y").agg(F.min_by(F.struct("band", "place", "all"), "place").alias("g")).select("g.band", "c", "g.all")
+    members = banded.select("key", "place", "band").join(groups, "band").join(classes.select("key", "sig", "n"), "key")
+    tiles = F.greatest(F.ceil(F.col("c") / SIGNATURE_TILE), F.ceil(F.col("all") / SET_BYTES))
+    tiled = with_tiles(members, tiles, "key").select(*TILE, "side", "place", "key", "n", "sig")
 
     def prune(batches):
-        for g in whole_groups(batches, ["band", "ti", "tj"]):
-            a, b = _halves(g)
+        for g in whole_groups(batches, TILE):
+            one = g["ti"].iloc[0] == g["tj"].iloc[0]
+            a, b = (g, None) if one else (g[g["side"] == 0], g[g["side"] == 1])
             if not len(a) or (b is not None and not len(b)):
                 continue
             sa = np.stack([np.frombuffer(s, dtype=np.uint16) for s in a["sig"]])
             sb = None if b is None else np.stack([np.frombuffer(s, dtype=np.uint16) for s in b["sig"]])
-            i, j = survivors(sa, sb, least)
+            i, j = survivors(sa, sb, least, int(g["place"].iloc[0]))
             if not len(i):
                 continue
-            keys = a["key"].to_numpy() if b is None else np.concatenate([a["key"].to_numpy(), b["key"].to_numpy()])
-            label = stars(len(keys), i, j if b is None else j + len(a))
-            some = np.flatnonzero(label != np.arange(len(keys)))
-            yield pd.DataFrame({"a": keys[some], "b": keys[label[some]]})
-
-    tiled = with_tiles(members, "c", "key", SIGNATURE_TILE).select("band", "ti", "tj", "side", "key", "sig")
-    likely = tiled.repartition("band", "ti", "tj").sortWithinPartitions("band", "ti", "tj").mapInPandas(prune, "a binary, b binary")
-    clusters = connected_components(likely)
-
-    # exact: each cluster's shingle sets meet once
-    nodes = clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(classes.select("key", "rep", "n"), "key")
-    counted = nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"))
-    nodes = stage(nodes.join(counted, "cluster"), "candidates")
-    ids = nodes.select(F.col("rep").alias("_rep")).distinct()
-    if nodes.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = source.join(ids, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").mapInPandas(_sets, "key binary, shingles binary")
-    sets = sets.groupBy("key").agg(F.first("shingles").alias("shingles"))
+            rows = a if b is None else pd.concat([a, b])
+            j = j if b is None else j + len(a)
+            some, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+            grid = np.zeros((len(some), len(some)), dtype=bool)
+            grid[place[: len(i)], place[len(i) :]] = True
+            kept = rows.iloc[some]
+            yield pd.DataFrame({
+                "band": kept["band"].to_numpy(), "ti": kept["ti"].to_numpy(), "tj": kept["tj"].to_numpy(), "at": np.arange(len(some), dtype=np.int32), "key": kept["key"].to_numpy(), "n": kept["n"].to_numpy(),
+                "pairs": pd.Series([r.tobytes() for r in np.packbits(grid, axis=1)], dtype=object),
+            })
+
+    dealt = tiled.repartition(*TILE).sortWithinPartitions(*TILE)
+    return stage(dealt.mapInPandas(prune, "band long, ti int, tj int, at int, key binary, n long, pairs binary"), "candidates")
+
+
+def verified(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, other, links) of the members of ``likely`` with a pair whose sets reach ``threshold``: links of the pairs it is in, and a member it is reached with."""
 
     def verify(batches):
-        for g in whole_groups(batches, ["cluster", "ti", "tj"]):
-            a, b = _halves(g)
-            if not len(a) or (b is not None and not len(b)):
-                continue
-            sa = [np.frombuffer(s, dtype=np.uint64) for s in a["shingles"]]
-            i, j = similar(sa, None if b is None else [np.frombuffer(s, dtype=np.uint64) for s in b["shingles"]], threshold)
+        for g in whole_groups(batches, TILE):
+            g = g.sort_values("at")
+            grid = np.unpackbits(np.stack([np.frombuffer(x, dtype=np.uint8) for x in g["pairs"]]), axis=1)
+            i, j = np.nonzero(grid)
+            good = agree([np.frombuffer(s, dtype=np.uint64) for s in g["shingles"]], i, j, threshold)
+            i, j = i[good], j[good]
             if not len(i):
                 continue
-            keys, n = a["key"].to_numpy(), a["n"].to_numpy()
-            if b is not None:
-                keys, n, j = np.concatenate([keys, b["key"].to_numpy()]), np.concatenate([n, b["n"].to_numpy()]), j + len(a)
-            links = np.zeros(len(keys), dtype=np.int64)
+            keys, n, links = g["key"].to_numpy(), g["n"].to_numpy(), np.zeros(len(g), dtype=np.int64)
             np.add.at(links, i, n[j])
             np.add.at(links, j, n[i])
             some = np.flatnonzero(links)
             yield pd.DataFrame({"key": keys[some], "other": keys[stars(len(keys), i, j)][some], "links": links[some]})
 
-    met = with_tiles(nodes.join(sets, "key"), "c", "key", SET_TILE).select("cluster", "ti", "tj", "side", "key", "n", "shingles")
-    found = met.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInPandas(verify, "key binary, other binary, links long")
-    found = stage(found, "links")
+    met = likely.join(sets, "key").select(*TILE, "at", "key", "n", "pairs", "shingles")
+    return stage(met.repartition(*TILE).sortWithinPartitions(*TILE).mapInPandas(verify, "key binary, other binary, links long"), "links")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``class_id``, ``n_links``, ``component_id``, ``kept`` for every row of ``docs``.
+
+    Documents with the same shingle set are one class (all texts without words
+    are one) and link with each other; classes link at an exact similarity of
+    at least ``threshold``. ``n_links`` counts the other rows linked directly,
+    ``component_id`` is the smallest id reachable. A null text is empty; a null
+    id takes part but is never the smallest; an empty table gives no rows. Very
+    long texts are read whole: tiles are cut by the bytes of their sets. Other
+    columns are not carried, so their names cannot clash.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = stage(source.mapInPandas(_sign, f"_id {kind}, key binary, sig binary, bands array<bigint>, bytes long"), "signatures")
+    same = [F.first(c).alias(c) for c in ("sig", "bands", "bytes")]
+    classes = stage(rows.groupBy("key").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"), *same), "classes")
+    likely = candidates(classes, least_matches(threshold))
+
+    # the sets of the members are made again from one text of each class
+    ids = likely.select("key").distinct().join(classes.select("key", "rep"), "key").select(F.col("rep").alias("_rep")).distinct()
+    ids = stage(ids, "candidate-ids")
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = source.join(wanted, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi").mapInPandas(_sets, "key binary, shingles binary")
+    found = verified(likely, sets.groupBy("key").agg(F.first("shingles").alias("shingles")), threshold)
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
     full = classes.select("key", "rep", "n").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left")
     full = stage(full.select("key", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("comp")), "components")
+    release(classes, likely, ids, found, comps)
     low = full.groupBy("comp").agg(F.min("rep").alias("component_id"))
     told = full.join(low, "comp").select("key", "rep", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("_id", "key").join(told, "key")
