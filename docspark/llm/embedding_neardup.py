@@ -2,17 +2,24 @@
 
 Unit vectors with cosine at least ``t`` are at most ``2 - 2t`` apart in squared
 distance. They are rotated (principal axes of a bounded sample, dealt over the
-blocks) and split into blocks; each block gets a part of that distance in
-proportion to its variance. By the pigeonhole principle a pair within the whole
-distance is within its part in some block. Each block is a range join: rows are
-cut into slices of the block's first axis, as wide as its radius, and meet in
-their own slice or the next one. Candidates are verified by exact cosine where
-they meet; a pair counts in the first block that finds it.
+blocks) and split into blocks of about eight axes; each block gets a part of
+that distance in proportion to its variance. By the pigeonhole principle a pair
+within the whole distance is within its part in some block. Each block is a
+range join: cells are boxes over as many of its axes as the table's size asks
+for, and a row that is within the block's radius below a cut is a guest of the
+next cell as well. Inside a cell, rows are sorted along the first axis and
+compared by the block's coordinates only; the pairs that are near enough there
+are the candidates, and their whole distance decides. A pair counts in the
+first block that finds it and in the cell of its upper corner.
+
+Rows travel with single-precision coordinates. Where these leave a pair in
+doubt, its cosine is computed in double precision from the vectors themselves.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, stars
-from .staging import stage
+from .staging import release, stage
 
 THRESHOLD = 0.95
-BLOCKS = 4
-#: Vectors whose axes give the rotation; it steers speed only, never the result.
+#: Blocks at most, and the axes that a block should have (of those that vary).
+BLOCKS, BLOCK_AXES = 8, 8
+#: Vectors whose axes give the rotation and the cuts; they steer speed only, never the result.
 SAMPLE = 4096
-#: Rows of one side of a comparison, and rows dealt at a time.
-TILE, DEALT = 8192, 500
-SLACK = 1e-7
+#: One side of a comparison: rows at most, and bytes of coordinates. Cells of a block at most; fuller cells are compared tile by tile.
+TILE, TILE_BYTES, CELLS = 65_536, 24 << 20, 4096
+#: Rows dealt at a time.
+DEALT = 500
+#: Room for single-precision rounding in a block's distance.
+SLACK = 1e-5
 
 
 def _unit(v) -> np.ndarray | None:
@@ -68,140 +79,236 @@ def rotation(sample: np.ndarray, blocks: int, budget: float) -> tuple[np.ndarray
     return axes[:, [i for c in deal for i in c]].copy(), [slice(a, b) for a, b in zip(ends[:-1], ends[1:])], budget * share / share.sum()
 
 
-def _rotated(units: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    # row by row in a fixed order of additions: equal input gives equal bits in every task
-    return np.einsum("ij,jk->ik", units, axes, optimize=False)
-
-
-class _Frame:
-    """Rotation by dimension; vectors of a dimension that the sample lacks keep their axes."""
-
-    def __init__(self, samples: dict[int, np.ndarray], threshold: float, blocks: int):
-        self.budget, self.blocks, self.known = 2 - 2 * threshold, blocks, {d: rotation(x, blocks, 2 - 2 * threshold) for d, x in samples.items()}
-
-    def of(self, d: int):
-        if d not in self.known:
-            self.known[d] = rotation(np.eye(d)[:1], self.blocks, self.budget)
-        return self.known[d]
-
-    def slices(self, units: np.ndarray) -> list[np.ndarray]:
-        axes, blocks, parts = self.of(units.shape[1])
-        r = _rotated(units, axes)
-        return [np.floor(r[:, c.start] / np.sqrt(p + 2 * SLACK)).astype(np.int64) for c, p in zip(blocks, parts)]
-
-
-def _by_dim(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    sizes = b["unit"].map(len).to_numpy() // 8
-    for d in np.unique(sizes):
-        rows = np.flatnonzero(sizes == d)
-        yield rows, np.stack([np.frombuffer(u, dtype=np.float64) for u in b["unit"].iloc[rows]])
-
-
-def pairs_within(a: np.ndarray, b: np.ndarray | None, block: int, frame, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of ``a`` and ``b`` (or of ``a`` alone, i < j) with cosine at least ``threshold`` that ``block`` is the first to find, some rows of ``a`` at a time."""
-    axes, blocks, parts = frame.of(a.shape[1])
-    ra = _rotated(a, axes)
-    other, rb = (a, ra) if b is None else (b, _rotated(b, axes))
-    c = blocks[block]
-    xa, xb = ra[:, c], rb[:, c]
-    nb = (xb * xb).sum(1)
-    for s in range(0, len(a), 128):
-        x = xa[s : s + 128]
-        i, j = np.nonzero((x * x).sum(1)[:, None] + nb - 2 * (x @ xb.T) <= parts[block] + 2 * SLACK)
-        i += s
-        if b is None:
-            i, j = i[i < j], j[i < j]
-        good = np.zeros(len(i), dtype=bool)
-        for t in range(0, len(i), 16384):
-            p, q = i[t : t + 16384], j[t : t + 16384]
-            gap = (ra[p] - rb[q]) ** 2
-            within = np.stack([gap[:, k].sum(1) <= e + SLACK for k, e in zip(blocks, parts)])
-            good[t : t + 16384] = within[block] & ~within[:block].any(0) & (np.einsum("ij,ij->i", a[p], other[q]) >= threshold)
-        if good.any():
-            yield i[good], j[good]
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def block_count(sample: np.ndarray) -> int:
+    """As many blocks as leave each about BLOCK_AXES axes that vary (by the participation ratio of the variances)."""
+    v = np.linalg.eigvalsh(np.cov(sample.T).reshape(sample.shape[1], -1)) if len(sample) > 1 else np.ones(sample.shape[1])
+    effective = v.sum() ** 2 / max((v * v).sum(), 1e-300)
+    return int(np.clip(round(effective / BLOCK_AXES), 1, BLOCKS))
+
+
+def cuts(values: np.ndarray, radius: float, cells: int) -> list[np.ndarray]:
+    """Cut points axis by axis (columns of ``values``): quantiles at least ``radius`` apart, until there are about ``cells`` boxes."""
+    out: list[np.ndarray] = []
+    for x in np.sort(values, axis=0).T:
+        if cells <= 1:
+            break
+        points: list[float] = []
+        for q in range(1, cells):
+            p = x[len(x) * q // cells]
+            if p > x[0] and (not points or p - points[-1] > radius * 1.001):
+                points.append(p)
+        out.append(np.array(points, dtype=np.float32))
+        cells = -(-cells // (len(points) + 1))
+    return out
+
+
+class Space:
+    """The blocks of vectors of one dimension: their columns, parts, radii and cuts."""
+
+    def __init__(self, sample: np.ndarray, threshold: float, rows: int, blocks: int | None = None):
+        d = sample.shape[1]
+        self.budget = 2 - 2 * threshold
+        self.axes, self.blocks, self.parts = rotation(sample, blocks or block_count(sample), self.budget)
+        self.tile = max(min(TILE, TILE_BYTES // (4 * d)), 1)
+        wanted = min(-(-rows // self.tile), CELLS)
+        rotated = (sample @ self.axes).astype(np.float32)
+        self.radii = np.sqrt(self.parts + 2 * SLACK)
+        self.cuts = [cuts(rotated[:, c], r, wanted) for c, r in zip(self.blocks, self.radii)]
+        #: more than rounding can change a sum of squared differences by
+        self.doubt = 2e-6 + 2e-8 * d
+
+    def corner(self, block: int, x: np.ndarray) -> np.ndarray:
+        """Own slice of each row along the cut axes of ``block``."""
+        first = self.blocks[block].start
+        return np.stack([np.searchsorted(c, x[:, first + k], side="right") for k, c in enumerate(self.cuts[block])], 1) if self.cuts[block] else np.zeros((len(x), 0), dtype=np.int64)
+
+    def number(self, block: int, corner: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(corner), dtype=np.int64)
+        for k, c in enumerate(self.cuts[block]):
+            out = out * (len(c) + 1) + corner[:, k]
+        return out
+
+    def cells(self, block: int, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of ``x`` with the number of each cell they belong to: their own, and those they are guests of."""
+        own, first = self.corner(block, x), self.blocks[block].start
+        near = np.stack([
+            (own[:, k] < len(c)) & (np.append(c, np.inf)[own[:, k]] - x[:, first + k] <= self.radii[block]) for k, c in enumerate(self.cuts[block])
+        ], 1) if self.cuts[block] else np.zeros((len(x), 0), dtype=bool)
+        for up in itertools.product((0, 1), repeat=own.shape[1]):
+            step = np.array(up, dtype=np.int64)
+            rows = np.flatnonzero((near | (step == 0)).all(1))
+            if len(rows):
+                yield rows, self.number(block, own[rows] + step)
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray | None, block: int, cell: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``a`` and ``b`` (or of ``a`` alone, each pair once) that ``block`` is the first to find and that meet in ``cell``, with their whole squared distance."""
+    c, part = space.blocks[block], np.float32(space.parts[block] + 2 * SLACK)
+    starts = [x.start for x in space.blocks]
+    limits = (space.parts + SLACK).astype(np.float32)
+    oa = np.argsort(a[:, c.start], kind="stable")
+    a = a[oa]
+    ob, b, self_join = (oa, a, True) if b is None else (order := np.argsort(b[:, c.start], kind="stable"), b[order], False)
+    ca = space.corner(block, a)
+    cb = ca if self_join else space.corner(block, b)
+    xa, xb = a[:, c], b[:, c]
+    # one product gives |x|^2 + |y|^2 - 2xy
+    left = np.concatenate([xa, (xa * xa).sum(1, keepdims=True), np.ones((len(a), 1), dtype=np.float32)], 1)
+    right = np.concatenate([-2 * xb, np.ones((len(b), 1), dtype=np.float32), (xb * xb).sum(1, keepdims=True)], 1).T.copy()
+    low = np.searchsorted(xb[:, 0], xa[:, 0] - np.float32(space.radii[block] + SLACK))
+    high = np.searchsorted(xb[:, 0], xa[:, 0] + np.float32(space.radii[block] + SLACK), side="right")
+    for s in range(0, len(a), 256):
+        e = min(s + 256, len(a))
+        for t in range(max(low[s], s if self_join else 0), high[e - 1], 2048):
+            u = min(t + 2048, high[e - 1])
+            at = np.flatnonzero((left[s:e] @ right[:, t:u]).reshape(-1) <= part)
+            for k in range(0, len(at), 16_384):
+                i, j = np.divmod(at[k : k + 16_384], u - t)
+                i, j = i + s, j + t
+                if self_join:
+                    i, j = i[i < j], j[i < j]
+                gap = a[i] - b[j]
+                blocks = np.add.reduceat(gap * gap, starts, axis=1)
+                within = blocks <= limits
+                good = within[:, block] & (within.argmax(1) == block)
+                i, j, total = i[good], j[good], blocks[good].sum(1, dtype=np.float64)
+                here = space.number(block, np.maximum(ca[i], cb[j])) == cell
+                near = here & (total <= space.budget + space.doubt)
+                if near.any():
+                    yield oa[i[near]], ob[j[near]], total[near]
+
+
+def _cosines(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([float(np.frombuffer(x, dtype=np.float64) @ np.frombuffer(y, dtype=np.float64)) for x, y in zip(a, b)], dtype="float64")
+
+
+def find_links(points: DataFrame, spaces: dict[int, Space]) -> DataFrame:
+    """(num, other, links, doubt): links of a vector found in a cell and a vector it is reached with; pairs in doubt one by one.
+
+    ``points``: num, n (rows of that vector), d, x (single-precision coordinates).
+    """
+
+    def stacked(b: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for d in b["d"].unique():
+            rows = np.flatnonzero(b["d"].to_numpy() == d)
+            yield int(d), rows, np.stack([np.frombuffer(x, dtype=np.float32) for x in b["x"].iloc[rows]])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for d, _, x in stacked(b):
+                for block in range(len(spaces[d].blocks)):
+                    for _, cell in spaces[d].cells(block, x):
+                        v, c = np.unique(cell, return_counts=True)
+                        out.append(pd.DataFrame({"d": d, "block": block, "cell": v, "n": c}))
+            yield pd.concat(out).astype({"d": "int32", "block": "int32"})
+
+    counted = points.select("d", "x").mapInPandas(count, "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"))
+    tiles = {(r["d"], r["block"], r["cell"]): -(-r["n"] // spaces[r["d"]].tile) for r in counted.where(F.col("n") > 1).collect()}  # at most CELLS a block
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in (whole.iloc[at : at + DEALT] for whole in batches for at in range(0, len(whole), DEALT)):
+            out = []
+            for d, at, x in stacked(b):
+                own = (b["num"].to_numpy()[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for block in range(len(spaces[d].blocks)):
+                    for rows, cells in spaces[d].cells(block, x):
+                        # a cell of one row has no tiles and is not sent
+                        for cell in np.unique(cells):
+                            g = tiles.get((d, block, int(cell)), 0)
+                            mine = rows[cells == cell]
+                            tile = (own[mine] % np.uint64(max(g, 1))).astype(np.int64)
+                            for other in range(g):
+                                out.append((d, block, cell, np.minimum(tile, other), np.maximum(tile, other), (tile > other).astype(np.int32), at[mine]))
+            if not out:
+                continue
+            row = np.concatenate([o[6] for o in out])
+            each = [len(o[6]) for o in out]
+            pick = b.iloc[row]
+            yield pd.DataFrame({
+                "d": np.repeat([o[0] for o in out], each).astype(np.int32), "block": np.repeat([o[1] for o in out], each).astype(np.int32), "cell": np.repeat([o[2] for o in out], each),
+                "ti": np.concatenate([o[3] for o in out]).astype(np.int32), "tj": np.concatenate([o[4] for o in out]).astype(np.int32), "side": np.concatenate([o[5] for o in out]),
+                "num": pick["num"].to_numpy(), "n": pick["n"].to_numpy(), "x": pick["x"].to_numpy(),
+            })
+
+    def join(key, group: pd.DataFrame) -> pd.DataFrame:
+        d, block, cell, ti, tj = map(int, key)
+        a, b = (group, None) if ti == tj else (group[group["side"] == 0], group[group["side"] == 1])
+        told = [pd.DataFrame({"num": np.zeros(0, dtype=np.int64), "other": np.zeros(0, dtype=np.int64), "links": np.zeros(0, dtype=np.int64), "doubt": np.zeros(0, dtype=bool)})]
+        if not len(a) or (b is not None and not len(b)):
+            return told[0]
+        floats = lambda g: np.stack([np.frombuffer(x, dtype=np.float32) for x in g["x"]])
+        space, every = spaces[d], a if b is None else pd.concat([a, b])
+        num, n, links, label = every["num"].to_numpy(), every["n"].to_numpy(), np.zeros(len(every), dtype=np.int64), np.arange(len(every))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def fold() -> np.ndarray:
+            i, j = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held.clear()
+            np.add.at(links, i, n[j])
+            np.add.at(links, j, n[i])
+            return stars(len(num), np.concatenate([np.arange(len(num)), i]), np.concatenate([label, j]))
+
+        for i, j, total in pairs_within(floats(a), None if b is None else floats(b), block, cell, space):
+            j = j if b is None else j + len(a)
+            sure = total < space.budget - space.doubt
+            if not sure.all():
+                told.append(pd.DataFrame({"num": num[i[~sure]], "other": num[j[~sure]], "links": 0, "doubt": True}))
+            held.append((i[sure], j[sure]))
+            if sum(len(h[0]) for h in held) >= 1 << 20:
+                label = fold()
+        if held:
+            label = fold()
+        some = np.flatnonzero(links)
+        told.append(pd.DataFrame({"num": num[some], "other": num[label[some]], "links": links[some], "doubt": False}))
+        return pd.concat(told).astype({"links": "int64", "doubt": "bool"})
+
+    dealt = points.mapInPandas(deal, "d int, block int, cell long, ti int, tj int, side int, num long, n long, x binary")
+    return stage(dealt.groupBy("d", "block", "cell", "ti", "tj").applyInPandas(join, "num long, other long, links long, doubt boolean"), "vector-found")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept`` and ``class_size`` for every row of ``vectors``.
 
     Null, empty, zero and non-finite vectors link with nothing and are their own
     components. Equal directions are one class, compared once. Vectors of
     different lengths never link. Repeated rows count as rows; a null id takes
-    part but is never the smallest. An empty table gives an empty result.
+    part but is never the smallest. An empty table gives an empty result. Other
+    columns are not carried, so their names cannot clash.
     """
     kind = vectors.schema[id_col].dataType.simpleString()
     rows = stage(vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).mapInPandas(_prepare, f"_id {kind}, key binary, unit binary"), "vectors")
-    classes = stage(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit")), "vector-classes")
-    many = classes.count()
-    part = min(1.0, SAMPLE / max(many, 1))
+    classes = rows.where("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("unit").alias("unit"))
+    classes = stage(classes.withColumn("num", F.monotonically_increasing_id()).withColumn("d", (F.octet_length("unit") / 8).cast("int")), "vector-classes")
+    many = {r["d"]: r["c"] for r in classes.groupBy("d").agg(F.count(F.lit(1)).alias("c")).collect()}  # one row a length
+    # a part of all by hash, and one of each length at least
+    part = min(1.0, SAMPLE / max(sum(many.values()), 1))
+    chosen = classes.where(F.xxhash64("key") / 2.0**64 + 0.5 < part).select("unit").limit(2 * SAMPLE).unionByName(classes.groupBy("d").agg(F.first("unit").alias("unit")).select("unit"))
     sample: dict[int, list] = {}
-    for r in classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < part * 1_000_000).select("unit").limit(2 * SAMPLE).collect():
+    for r in chosen.collect():
         u = np.frombuffer(bytes(r["unit"]), dtype=np.float64)
         sample.setdefault(len(u), []).append(u)
-    frame = _Frame({d: np.stack(x) for d, x in sample.items()}, threshold, blocks)
+    spaces = {d: Space(np.stack(x), threshold, many[d], blocks) for d, x in sample.items()}
 
-    def count_slices(batches):
+    def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for rows_, units in _by_dim(b):
-                for block, s in enumerate(frame.slices(units)):
-                    v, c = np.unique(s, return_counts=True)
-                    out += [(units.shape[1], block, int(x), int(y)) for x, y in zip(v, c)]
-            yield pd.DataFrame(out, columns=["d", "block", "slice", "n"])
-
-    counted = classes.select("unit").mapInPandas(count_slices, "d int, block int, slice long, n long").groupBy("d", "block", "slice").agg(F.sum("n").alias("n"))
-    tiles = {(r["d"], r["block"], r["slice"]): -(-r["n"] // TILE) for r in counted.collect()}  # blocks times slices, bounded by the radius
-
-    def deal(batches):
-        for b in (whole.iloc[at : at + DEALT] for whole in batches for at in range(0, len(whole), DEALT)):
-            jobs, sides, row = [], [], []
-            own = np.array([int.from_bytes(k[:8], "little") for k in b["key"]], dtype=np.uint64)
-            for rows_, units in _by_dim(b):
-                d = units.shape[1]
-                for block, s in enumerate(frame.slices(units)):
-                    for r, x in zip(rows_, s):
-                        x = int(x)
-                        g = tiles[d, block, x]
-                        i = int(own[r] % np.uint64(g))
-                        to = [(x, x, min(i, j), max(i, j), 0 if i <= j else 1) for j in range(g)]
-                        to += [(x, x + 1, i, j, 0) for j in range(tiles.get((d, block, x + 1), 0))]
-                        to += [(x - 1, x, j, i, 1) for j in range(tiles.get((d, block, x - 1), 0))]
-                        jobs += [f"{d},{block},{p},{q},{ti},{tj}" for p, q, ti, tj, _ in to]
-                        sides += [side for *_, side in to]
-                        row += [r] * len(to)
-            pick = b.iloc[row]
-            yield pd.DataFrame({"job": pd.Series(jobs, dtype=object), "side": pd.Series(sides, dtype="int32"), "key": pick["key"].to_numpy(), "n": pick["n"].to_numpy(), "unit": pick["unit"].to_numpy()})
-
-    def join(key, group):
-        _, block, p, q, ti, tj = map(int, key[0].split(","))
-        one = p == q and ti == tj
-        a, b = (group, None) if one else (group[group["side"] == 0], group[group["side"] == 1])
-        empty = pd.DataFrame({"key": pd.Series(dtype=object), "other": pd.Series(dtype=object), "links": pd.Series(dtype="int64")})
-        if not len(a) or (b is not None and not len(b)):
-            return empty
-        ua = np.stack([np.frombuffer(u, dtype=np.float64) for u in a["unit"]])
-        ub = None if one else np.stack([np.frombuffer(u, dtype=np.float64) for u in b["unit"]])
-        keys = a["key"].to_numpy() if one else np.concatenate([a["key"].to_numpy(), b["key"].to_numpy()])
-        n = a["n"].to_numpy() if one else np.concatenate([a["n"].to_numpy(), b["n"].to_numpy()])
-        links, every = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
-        label = every
-        for i, j in pairs_within(ua, ub, block, frame, threshold):
-            if not one:
-                j = j + len(a)
-            np.add.at(links, i, n[j])
-            np.add.at(links, j, n[i])
-            label = stars(len(keys), np.concatenate([every, i]), np.concatenate([label, j]))
-        some = np.flatnonzero(links)
-        if not len(some):
-            return empty
-        return pd.DataFrame({"key": keys[some], "other": keys[label[some]], "links": links[some]})
-
-    dealt = classes.select("key", "n", "unit").mapInPandas(deal, "job string, side int, key binary, n long, unit binary")
-    found = stage(dealt.groupBy("job").applyInPandas(join, "key binary, other binary, links long"), "vector-links")
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    comps = connected_components(found.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    full = classes.select("key", "rep", "n").join(links, "key", "left").join(comps.withColumnRenamed("node", "key"), "key", "left")
-    full = stage(full.select("key", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "key").alias("comp")), "vector-components")
+            out = [(np.frombuffer(u, dtype=np.float64) @ spaces[d].axes).astype(np.float32).tobytes() for u, d in zip(b["unit"], b["d"])]
+            yield pd.DataFrame({"num": b["num"], "n": b["n"], "d": b["d"], "x": pd.Series(out, dtype=object)})
+
+    # written once, so that every comparison reads the same bits
+    points = stage(classes.select("num", "n", "d", "unit").mapInPandas(rotate, "num long, n long, d int, x binary"), "vector-points")
+    found = find_links(points, spaces)
+    one = lambda side: classes.select(F.col("num").alias(side), F.col("n").alias(f"{side}_n"), F.col("unit").alias(f"{side}_u"))
+    doubts = found.where("doubt").select("num", "other").join(one("num"), "num").join(one("other"), "other")
+    doubts = doubts.where(F.pandas_udf(_cosines, "double")("num_u", "other_u") >= threshold)
+    both = F.explode(F.array(F.struct(F.col("num"), F.col("other"), F.col("other_n").alias("links")), F.struct(F.col("other").alias("num"), F.col("num").alias("other"), F.col("num_n").alias("links"))))
+    sure = stage(found.where("NOT doubt").select("num", "other", "links").unionByName(doubts.select(both.alias("l")).select("l.*")), "vector-links")
+    links = sure.groupBy("num").agg(F.sum("links").alias("links"))
+    comps = connected_components(sure, "num", "other")
+    full = classes.select("num", "key", "rep", "n").join(links, "num", "left").join(comps.withColumnRenamed("node", "num"), "num", "left")
+    full = stage(full.select("key", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "num").alias("comp")), "vector-components")
+    release(classes, points, found, sure, comps)
     least = full.groupBy("comp").agg(F.min("rep").alias("component_id"))
     told = full.join(least, "comp").select("key", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id")
     out = rows.select("_id", "key").join(told, "key", "left")

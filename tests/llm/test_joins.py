@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.llm import embedding_neardup as E
 from docspark.llm import ngram_join as J
@@ -48,7 +49,7 @@ def test_jaccard_all_pairs(spark):
 
 def test_jaccard_tiles_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(J, "SIGNATURE_TILE", 7)
-    monkeypatch.setattr(J, "SET_TILE", 5)
+    monkeypatch.setattr(J, "SET_BYTES", 4096)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 10_000, 120)]
     rows = [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "One  two"), (1005, "x" * 50_000), (1006, "one two three")]
@@ -111,3 +112,89 @@ def test_blocks_cover_the_distance():
     rng = np.random.default_rng(1)
     axes, blocks, parts = E.rotation(rng.normal(size=(50, 10)), 4, 0.1)
     assert np.allclose(axes.T @ axes, np.eye(10)) and sorted(i for b in blocks for i in range(b.start, b.stop)) == list(range(10)) and parts.sum() == pytest.approx(0.1)
+
+
+def test_cosine_of_a_decaying_spectrum(spark, monkeypatch):
+    """Cells over several axes, guests of two cells, tiles inside a dense cell, and pairs too near the threshold for single precision."""
+    monkeypatch.setattr(E, "TILE", 40)
+    rng = np.random.default_rng(8)
+    spread = 1 / np.arange(1, 33)
+    x = rng.normal(size=(600, 32)) * spread
+    x[450:] = x[0] + rng.normal(size=(150, 32)) * spread * 0.15
+    flat = np.eye(32)[0]
+    exact = [0.95 * flat + np.sqrt(1 - 0.95**2) * np.eye(32)[k] for k in range(1, 9)]  # cosines of 0.95, give or take a last bit
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate([*x, flat, *exact])]
+    units = np.stack([E._unit(v) for _, v in rows])
+    space = E.Space(units, 0.95, len(rows))
+    assert max(len(c) for c in space.cuts) > 1
+    cos = np.stack([units @ u for u in units])
+    links = [(a, b) for a, b in zip(*np.nonzero(np.triu(cos >= 0.95, 1)))]
+    assert len(links) > 5000
+    comp = components(range(len(rows)), links)
+    n = np.bincount(np.array(links).reshape(-1), minlength=len(rows))
+    border = set(range(600, len(rows)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in E.near_duplicates(df.repartition(3)).collect():
+        if r["vec_id"] not in border:
+            assert (r["n_links"], r["component_id"]) == (n[r["vec_id"]], comp[r["vec_id"]])
+        else:  # the cosine in double precision of such a pair is 0.95 but for its last bits
+            assert abs(r["n_links"] - sum(cos[r["vec_id"]] >= 0.95)) <= 8
+
+
+@pytest.mark.parametrize("block", [0, 1, 2])
+def test_every_near_pair_meets_once(block):
+    rng = np.random.default_rng(block)
+    x = rng.normal(size=(400, 24)) * 0.6 ** np.arange(24)
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    space = E.Space(units, 0.9, 20 * E.TILE, 3)
+    points = (units @ space.axes).astype(np.float32)
+    gap = ((points[:, None, space.blocks[block]] - points[None, :, space.blocks[block]]) ** 2).sum(2)
+    i, j = np.nonzero(np.triu(gap <= space.parts[block] + E.SLACK / 2, 1))
+    cells = {}
+    for rows, numbers in space.cells(block, points):
+        for r, c in zip(rows, numbers):
+            cells.setdefault(int(c), set()).add(int(r))
+    upper = space.number(block, np.maximum(space.corner(block, points)[i], space.corner(block, points)[j]))
+    assert len(i) > 100 and all(a in cells[int(c)] and b in cells[int(c)] for a, b, c in zip(i, j, upper))
+
+
+def test_chain_verifies_survivors_only(spark):
+    """A chain of 2,000 texts, each near its neighbours only, is one component; only pairs of near neighbours are decided exactly."""
+    words = [f"w{i}" for i in range(2000 * 4 + 100)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = J.near_duplicates(docs).toPandas()
+    near = sum(5 * (96 - 4 * k) >= 4 * (96 + 4 * k) for k in range(1, 24))  # texts k steps apart share 96 - 4k of 96 + 4k shingles
+    want = [min(i, near) + min(1999 - i, near) for i in out["doc_id"]]
+    assert near == 2 and (out["n_links"] == want).all() and (out["component_id"] == 0).all()
+    signed = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).mapInPandas(J._sign, "_id long, key binary, sig binary, bands array<bigint>, bytes long")
+    likely = J.candidates(signed.withColumn("n", F.lit(1).cast("long")), J.least_matches()).toPandas()
+    verified = sum(int(np.unpackbits(np.frombuffer(b, dtype=np.uint8)).sum()) for b in likely["pairs"])
+    assert near * 2000 - 3 <= verified < 8 * 2000  # of 1,999,000
+
+
+def test_agree_by_either_way():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.choice([5, 60, 150, 200], 30)]
+    i, j = np.triu_indices(30, 1)
+    want = [5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b])) for a, b in zip(i, j)]
+    assert J.agree(sets, i, j).tolist() == want and any(want)
+    assert J.agree(sets, i[:100], j[:100]).tolist() == want[:100]
+
+
+def test_staged_tables_go(spark):
+    import os
+
+    from docspark.llm import staging
+
+    folder = staging.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    J.near_duplicates(spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left == {"signatures", "components"}  # the result reads these
+    point = staging.mark()
+    kept = staging.stage(spark.range(3).toDF("a"), "kept")
+    staging.stage(spark.range(3).toDF("a"), "gone")
+    staging.release_since(point, spark, [kept])
+    assert kept.count() == 3 and not [x for x in os.listdir(folder) if x.startswith("gone-")]
+    staging.release(kept)
