@@ -19,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
     "op2_embedding_neardup": embedding_neardup.ORACLE_SQL,
     "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
