@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import free_name
+
 # The kinds in the order in which equal starts are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("url", "iban", "account", "ssn")
@@ -171,14 +173,16 @@ def _per_text(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with struct ``_pii``: counts by kind, digest of the base spans, and all spans.
+    """``docs`` and last the struct ``_pii``: counts by kind, digest of the base spans, and all spans.
 
-    Whole texts are read; null and empty texts have no spans; repeated rows
-    give equal results; other columns pass through.
+    Whole texts are read, in time that grows with their length; null and empty
+    texts have no spans; repeated rows give equal results; an empty table gives
+    no rows. Columns of ``docs`` stay whatever their names: if one is called
+    ``_pii``, the struct is ``_pii_``.
     """
     schema = ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
     found = F.pandas_udf(_per_text, schema)
-    return docs.withColumn("_pii", found(F.col(text_col)))
+    return docs.withColumn(free_name(docs.columns, "_pii"), found(F.col(text_col)))
 
 
 def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
