@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import free_name, mark, parallelism, release_since, stage
 
 # The rules (verdict, host, path prefix).
 RULES = (
@@ -113,6 +113,8 @@ def score(urls: DataFrame, model: DataFrame) -> DataFrame:
     of the URL's hash. Sums are of whole billionths, so they do not depend on the order.
     """
     texts = urls.select("_url").where(F.col("_url").isNotNull()).distinct().withColumn("_id", F.unhex(F.md5("_url")))
+    # written in many parts: a short table of URLs is a long one of characters
+    texts = stage(texts.repartition(parallelism(urls.sparkSession), "_id"), "url-texts")
     asked = stage(_grams(texts).groupBy("_gram").agg(F.count(F.lit(1)).alias("n")), "url-asked")
     total = asked.agg(F.sum("n")).first()[0] or 0
     told = log_ratios(asked, model).select(F.col("gram").alias("_gram"), F.round(F.col("llr") * 1e9).cast("long").alias("_nano"))
@@ -138,15 +140,20 @@ def calibrate(scored: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
-    """``pages`` with struct ``_url_verdict`` (host, path, rule, verdict, score, by_rule).
+    """``pages`` and last the struct ``_url_verdict`` (host, path, rule, verdict, score, by_rule).
 
     Null URLs and those without ``://`` have empty host and path and are judged
-    by the model (a null or empty one scores 0). Without rule-judged URLs of
-    both kinds every score is 0, and 0 is accepted. Repeated rows are judged
-    alike; equal URLs are scored once.
+    by the model (a null one scores 0, an empty one as the end of a URL).
+    Without rule-judged URLs of both kinds every score is 0, and 0 is accepted.
+    Repeated rows are judged alike; equal URLs are scored once. Very long URLs
+    are scored over all their characters. An empty table gives no rows. Columns
+    of ``pages`` stay whatever their names: if one is called ``_url_verdict``,
+    the struct is ``_url_verdict_``.
     """
+    spark, point = pages.sparkSession, mark()
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    ruled = pages.select(F.col(url_col).alias("_url")).distinct().withColumn("_rule", rule_of(host_of(F.col("_url")), path_of(F.col("_url")), rules))
+    ruled = pages.select(F.col(url_col).alias("_url")).distinct().repartition(parallelism(spark), "_url")
+    ruled = stage(ruled.withColumn("_rule", rule_of(host_of(F.col("_url")), path_of(F.col("_url")), rules)), "urls")
     taught = ruled.where(F.col("_rule").isNotNull() & F.col("_url").isNotNull()).select("_url", (F.col("_rule.verdict") == "allow").alias("_good"), (F.pmod(F.xxhash64("_url"), F.lit(HOLD_OUT)) == 0).alias("_held"))
     seen = taught.where(~F.col("_held"))
     kinds = seen.agg(F.bool_or("_good").alias("good"), F.bool_or(~F.col("_good")).alias("bad")).first()
@@ -155,6 +162,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
     model = model if both else model.where(F.lit(False))
     scores = stage(score(ruled, model), "url-scores")
     threshold = calibrate(taught.where("_held").join(scores, "_url")) if both else 0.0
+    release_since(point, spark, [scores])
     scored = pages.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url"), host.alias("_host"), path.alias("_path")).withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     joined = scored.join(scores.withColumnRenamed("_url", "_scored_url"), F.col("_url") == F.col("_scored_url"), "left")
     value = F.coalesce(F.col("_score"), F.lit(0.0))
@@ -163,7 +171,7 @@ def judge(pages: DataFrame, rules=RULES, url_col: str = "url") -> DataFrame:
         F.coalesce(F.col("_rule.verdict"), F.when(value >= threshold, "allow").otherwise("block")).alias("verdict"),
         value.alias("score"), F.col("_rule").isNotNull().alias("by_rule"),
     )
-    return joined.select("_row.*", told.alias("_url_verdict"))
+    return joined.select("_row.*", told.alias(free_name(pages.columns, "_url_verdict")))
 
 
 def report(pages: DataFrame) -> DataFrame:
