@@ -1,9 +1,11 @@
 """Sharding along a Hilbert curve through metadata space.
 
-Each metadata dimension is quantised to ``bits`` bits in an order that keeps
-neighbours together; the cells' places on a Hilbert curve give one sort order;
-that order is cut into runs of equal row counts. A shard then covers a compact
-box, so minimum/maximum statistics of its file prune on every dimension.
+Each metadata dimension is quantised to ``bits`` bits: names by their rank among
+the distinct names, weighted by their rows where there are more names than
+steps, numbers by their logarithm. The cells' places on a Hilbert curve give one
+sort order, names break ties inside a cell, and that order is cut into runs of
+equal row counts. A shard then covers a compact box, so minimum/maximum
+statistics of its files prune on every dimension.
 """
 
 from __future__ import annotations
@@ -11,11 +13,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import free_name, parallelism, stage
 
-#: Rows of one curve cell are spread over so many sub-runs, so that a cell of a third of all rows is many groups.
-SUB_RUNS = 1024
+#: Rows of a curve cell are spread over sub-runs of about so many, so that a cell of a third of all rows is many groups.
+RUN_ROWS = 16_384
 DIMENSION_BITS = 4
+#: Names up to this many are broadcast with their steps; more are joined by a shuffle.
+BROADCAST_NAMES = 50_000
+#: Rows of a written file.
+FILE_ROWS = 1_000_000
 
 
 def _xor(a: str, b: str) -> str:
@@ -71,8 +77,8 @@ def with_hilbert(df: DataFrame, dims: list[Column], bits: int = DIMENSION_BITS)
     cell = F.lit(0).cast("long")
     for d in dims:
         cell = cell * (1 << bits) + d.cast("long")
-    table = curve(df.sparkSession, len(dims), bits).withColumnRenamed("cell", "_cell")
-    return df.withColumn("_at", cell).join(F.broadcast(table), F.col("_at") == F.col("_cell"), "left").drop("_at", "_cell")
+    table = curve(df.sparkSession, len(dims), bits).withColumnRenamed("cell", "_place")
+    return df.withColumn("_at", cell).join(F.broadcast(table), F.col("_at") == F.col("_place"), "left").drop("_at", "_place")
 
 
 def quantise_log(value: Column, bits: int = DIMENSION_BITS) -> Column:
@@ -80,51 +86,91 @@ def quantise_log(value: Column, bits: int = DIMENSION_BITS) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.length(F.bin(F.greatest(F.coalesce(value, F.lit(0)).cast("long"), F.lit(0)))) - 1)
 
 
-def quantise_name(name: Column, bits: int = DIMENSION_BITS) -> Column:
-    """A name's step: its last number if it has one, else its first letter; null is step 0."""
-    number = F.regexp_extract(F.coalesce(name, F.lit("")), r"([0-9]{1,9})[^0-9]*\z", 1)
-    first = F.greatest(F.ascii(F.lower(F.coalesce(name, F.lit("")))) - 96, F.lit(0))
-    return F.pmod(F.when(number != "", number.cast("int")).otherwise(first), F.lit(1 << bits)).cast("int")
+def name_steps(df: DataFrame, column: str, bits: int = DIMENSION_BITS) -> DataFrame:
+    """(``_name``, ``_step``) of the distinct names: their order cut into ``2**bits`` steps.
+
+    Names that fit the steps get one each, spread evenly; more names get the
+    step at which their rows begin, so a frequent name has a step to itself.
+    Names are ordered over ranges of values, whose number is bounded, not in one task.
+    """
+    counted = df.groupBy(F.col(column).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = stage(counted.repartitionByRange("_name").withColumn("_part", F.spark_partition_id()), "names")
+    parts = counted.groupBy("_part").agg(F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_c"))
+    before, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    zero = F.lit(0).cast("long")
+    starts = parts.select(
+        "_part", *[F.coalesce(F.sum(c).over(before), zero).alias(f"{c}0") for c in ("_m", "_c")], *[F.sum(c).over(every).alias(f"{c}1") for c in ("_m", "_c")]
+    )
+    inside = Window.partitionBy("_part").orderBy(F.col("_name").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.join(F.broadcast(starts), "_part").select(
+        "_name", "_m1", "_c1", (F.col("_m0") + F.coalesce(F.sum("_n").over(inside), zero)).alias("_rows"), (F.col("_c0") + F.count(F.lit(1)).over(inside)).alias("_rank")
+    )
+    steps = 1 << bits
+    step = F.when(F.col("_c1") <= steps, F.expr(f"_rank * {steps} div _c1")).otherwise(F.expr(f"_rows * {steps} div _m1"))
+    return stage(placed.select("_name", step.cast("int").alias("_step")), "name-steps")
 
 
-def exact_ranks(df: DataFrame, cell: Column, order: list[Column], spread: Column) -> DataFrame:
-    """Add ``_rank`` (long, gapless from 0) and ``_total`` in the order of (cell, sub-run, ``order``).
+def exact_ranks(df: DataFrame, cell: str, names: list[str], order: list[Column], spread: Column) -> DataFrame:
+    """Add ``_rank`` (long, gapless from 0) and ``_total`` in the order of (cell, names, sub-run, ``order``).
 
     Counts are summed before anything moves; sums run over sub-runs inside a
     cell, then over cells (bounded by the curve). Rows are only sorted within a sub-run.
     """
-    keyed = df.withColumns({"_cell": cell, "_sub": F.pmod(spread, F.lit(SUB_RUNS)).cast("int")})
-    runs = keyed.groupBy("_cell", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    cells = runs.groupBy("_cell").agg(F.sum("_n").alias("_m"))
+    total = F.sum("_m").over(Window.partitionBy())
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("_cell", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_at"), F.sum("_m").over(Window.partitionBy()).alias("_total"))
-    inside = Window.partitionBy("_cell").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, "_cell").select(
-        "_cell", "_sub", (F.col("_at") + F.col("_in")).alias("_offset"), "_total"
+    cells = df.groupBy(F.col(cell).alias("_cell")).agg(F.count(F.lit(1)).alias("_m")).select(
+        "_cell", F.ceil(F.col("_m") / RUN_ROWS).alias("_subs"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_at"), total.alias("_total")
     )
-    row = F.row_number().over(Window.partitionBy("_cell", "_sub").orderBy(*order))
-    return keyed.withColumn("_row", row).join(offsets, ["_cell", "_sub"]).withColumn("_rank", F.col("_offset") + F.col("_row") - 1).drop("_offset", "_row", "_cell", "_sub")
+    cells = stage(cells, "cells")
+    keyed = df.join(F.broadcast(cells.select("_cell", "_subs")), F.col(cell) == F.col("_cell")).withColumn("_sub", F.pmod(spread, F.col("_subs"))).drop("_subs")
+    group = ["_cell", *names, "_sub"]
+    runs = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy("_cell").orderBy(*[F.col(n).asc_nulls_first() for n in names], "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(cells), "_cell").select(
+        *[F.col(g).alias(f"_o{k}") for k, g in enumerate(group)], (F.col("_at") + F.col("_in")).alias("_offset"), "_total"
+    )
+    row = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    same = [F.col(g).eqNullSafe(F.col(f"_o{k}")) for k, g in enumerate(group)]
+    return keyed.withColumn("_row", row).join(offsets, same).withColumn("_rank", F.col("_offset") + F.col("_row") - 1)
 
 
-def assign_shards(docs: DataFrame, n_shards: int, dims: list[Column], bits: int = DIMENSION_BITS, keys: tuple[str, ...] = ("doc_id", "text_crc32")) -> DataFrame:
-    """``docs`` with ``hilbert``, ``shard`` and ``slot``: runs of the curve order, counts at most one apart.
+def assign_shards(docs: DataFrame, n_shards: int, names: tuple[str, ...], dims: tuple[Column, ...] = (), bits: int = DIMENSION_BITS, keys: tuple[str, ...] = ("doc_id", "text_crc32")) -> DataFrame:
+    """``docs`` and last ``hilbert``, ``shard`` and ``slot``: runs of the curve order, counts at most one apart.
 
-    ``keys`` break ties within a cell; rows equal in all keys may swap places.
-    An empty table gives an empty result; fewer rows than shards leave some empty.
+    Dimensions are the columns ``names``, quantised by rank, and ``dims``,
+    expressions for steps within ``[0, 2**bits)``. Names, then ``keys`` break
+    ties within a cell; rows equal in all of them may swap places. Nulls are
+    names and keys of their own. An empty table gives an empty result; fewer
+    rows than shards leave some empty. Texts are not read here. Columns of
+    ``docs`` stay whatever their names: an added column whose name is taken
+    gets underscores behind it.
     """
-    names = [f"_y{i}" for i in range(len(keys))]
-    own = [f"_q{i}" for i in range(len(dims))]
-    whole = docs.select(F.struct("*").alias("_row_"), *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], *[d.alias(n) for d, n in zip(dims, own)])
-    placed = with_hilbert(whole, [F.col(n) for n in own], bits)
-    ranked = exact_ranks(placed, F.col("hilbert"), [F.col(n).asc_nulls_first() for n in names], F.xxhash64(*names))
+    own = [f"_d{i}" for i in range(len(names))]
+    steps = [f"_q{i}" for i in range(len(names) + len(dims))]
+    tied = [f"_y{i}" for i in range(len(keys))]
+    whole = docs.select(
+        F.struct("*").alias("_row_"), *[F.col(f"`{c}`").alias(n) for c, n in zip(names, own)], *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, tied)], *[d.alias(q) for d, q in zip(dims, steps[len(names) :])]
+    )
+    for n, q in zip(own, steps):
+        table = name_steps(whole, n, bits)
+        table = F.broadcast(table) if table.count() <= BROADCAST_NAMES else table
+        whole = whole.join(table, F.col(n).eqNullSafe(F.col("_name"))).drop("_name").withColumnRenamed("_step", q)
+    placed = with_hilbert(whole, [F.col(q) for q in steps], bits)
+    ranked = exact_ranks(placed, "hilbert", own, [F.col(n).asc_nulls_first() for n in tied], F.xxhash64(*tied))
     shard = F.expr(f"_rank * {n_shards} div _total")
     first = F.expr(f"((_rank * {n_shards} div _total) * _total + {n_shards - 1}) div {n_shards}")
-    return ranked.select("_row_.*", "hilbert", shard.cast("int").alias("shard"), (F.col("_rank") - first).cast("long").alias("slot"))
+    added = {"hilbert": F.col("hilbert"), "shard": shard.cast("int"), "slot": (F.col("_rank") - first).cast("long")}
+    return ranked.select("_row_.*", *[c.alias(free_name(docs.columns, n)) for n, c in added.items()])
 
 
-def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, rows in slot order, so that file statistics prune."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(sharded: DataFrame, path: str, file_rows: int = FILE_ROWS, shard: str = "shard", slot: str = "slot") -> None:
+    """One folder per shard, rows in slot order, files of about ``file_rows`` rows, so that file statistics prune.
+
+    Tasks are ranges of (shard, slot): a large shard is many tasks, each with a run of slots.
+    """
+    tasks = max(parallelism(sharded.sparkSession), -(-sharded.count() // file_rows))
+    ordered = sharded.repartitionByRange(tasks, shard, slot).sortWithinPartitions(shard, slot)
+    ordered.write.option("maxRecordsPerFile", file_rows).partitionBy(shard).parquet(path)
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -137,6 +183,6 @@ def metadata(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     """Rows of query ``op6``: law ``rows``; curve over language, source and size; null texts count as empty."""
-    dims = [quantise_name(F.col("lang")), quantise_name(F.col("source")), quantise_log(F.col("size") / 16)]
-    out = assign_shards(metadata(docs), n_shards, dims)
+    narrow = stage(metadata(docs), "shard-metadata")
+    out = assign_shards(narrow, n_shards, ("lang", "source"), (quantise_log(F.col("size") / 16),))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
