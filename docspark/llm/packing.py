@@ -22,8 +22,8 @@ from .staging import stage
 
 CAPACITY = 1024
 END = 2
-#: Ranks inside a length are taken in so many runs by hash, so that a hot length is many groups.
-RUNS = 256
+#: Ranks inside a length are taken in runs of about so many pieces by hash, so that a hot length is many groups.
+RUN_ROWS = 16_384
 #: Characters for which both tokenizer libraries are known to split words alike; other texts take the slower one.
 PLAIN = r"[\t\n\r\x20-\x7E¡-ɏΑ-ώЀ-џ‐-‧‰-⁞€一-龥]*"
 
@@ -166,10 +166,11 @@ def _places(fillings) -> dict[int, tuple[np.ndarray, list]]:
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` must be a written table: it is read twice."""
-    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    fillings = plan({r["length"]: r["n"] for r in counts.collect()}, capacity)  # at most ``capacity`` rows
-    places = pieces.sparkSession.sparkContext.broadcast(_places(fillings))
-    keyed = pieces.withColumn("_run", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(RUNS)).cast("int"))
+    spark = pieces.sparkSession
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
+    places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))
+    runs_of = spark.createDataFrame([(n, -(-c // RUN_ROWS)) for n, c in histogram.items()], "_length long, _runs long")
+    keyed = pieces.join(F.broadcast(runs_of), F.col("length") == F.col("_length")).withColumn("_run", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.col("_runs")))
     runs = keyed.groupBy("length", "_run").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("length", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -202,8 +203,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text
     """Pieces of all ``docs`` with their places.
 
     Null and empty texts are one piece of one id; long ones are cut; repeated
-    rows are packed as often as they occur; an empty table gives no rows.
-    Other columns are not carried: pieces join back by id.
+    rows are packed as often as they occur; an empty table gives no rows. Very
+    long texts are tokenized whole. Other columns are not carried, so their
+    names cannot clash: pieces join back by id.
     """
     return place(stage(tokenize(docs, capacity, id_col, text_col), "pack-pieces"), capacity, id_col)
 
