@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .ngram_join import Shingler, _mix
 from .quality_rules import STOP_WORDS
+from .staging import free_name, release, stage
 
 BUCKETS = 1 << 16
-#: Documents at most that train the scorer; the vote model uses all.
-TRAIN_ROWS = 8192
+#: The scorer is trained on a sample by hash of about so many documents, and of these on so many as have this many feature values (64 MB); the vote model uses all.
+TRAIN_ROWS, TRAIN_VALUES = 8192, 8_000_000
 EPOCHS = 6
 GOOD, BAD, NONE = 1, 0, -1
 
@@ -132,11 +133,13 @@ def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> tuple[np.n
 
 
 def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with struct ``_quality``: weak_label (posterior of the votes), score (the linear scorer's), kept.
+    """``docs`` and last the struct ``_quality``: weak_label (posterior of the votes), score (the linear scorer's), kept.
 
     Null and empty texts are judged by the same votes (of no words) and features;
-    repeated rows are judged alike; an empty table gives no rows. ``kept`` is
-    ``score >= threshold``.
+    very long ones are read whole; repeated rows are judged alike; an empty table
+    gives no rows. ``kept`` is ``score >= threshold``. Columns of ``docs`` stay
+    whatever their names: if one is called ``_quality``, the struct is ``_quality_``.
+    Texts are read twice: for the counts of the votes, and to score them.
     """
     source = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -160,8 +163,13 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 "h": b["_h"], "ids": pd.Series([i.tobytes() for i, _ in rows], dtype=object), "value": pd.Series([v.tobytes() for _, v in rows], dtype=object), "y": [labels[g(t)] for t in texts],
             })
 
-    chosen = source.select("_text", F.xxhash64("_id", "_text").alias("_h")).where(F.pmod(F.col("_h"), F.lit(1_000_000)) < part * 1_000_000)
-    sample = chosen.mapInPandas(featured, "h long, ids binary, value binary, y double").collect()
+    chosen = source.select("_text", F.xxhash64("_id", "_text").alias("_h")).where(F.col("_h") / 2.0**64 + 0.5 < part)
+    kept = stage(chosen.mapInPandas(featured, "h long, ids binary, value binary, y double"), "quality-sample")
+    sizes = kept.groupBy("h").agg(F.sum(F.octet_length("ids") / 4).alias("n")).orderBy("h").collect()
+    room = np.cumsum([r["n"] for r in sizes]) <= TRAIN_VALUES if sizes else np.zeros(0, dtype=bool)
+    last = sizes[int(room.sum()) - 1]["h"] if room.any() else None
+    sample = kept.where(F.col("h") <= F.lit(last)).collect() if last is not None else []
+    release(kept)
     rows = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["value"], np.float32), r["y"]) for r in sorted(sample, key=lambda r: (r["h"], r["y"]))]
     model = docs.sparkSession.sparkContext.broadcast(train_scorer(rows))
 
@@ -176,7 +184,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
             yield pd.DataFrame(out, columns=["weak_label", "score"], dtype=np.float64)
 
     out = source.withColumn("_q", F.pandas_udf(scored, "weak_label double, score double")(F.col("_text")))
-    return out.select("_row.*", F.struct(F.col("_q.weak_label"), F.col("_q.score"), (F.col("_q.score") >= threshold).alias("kept")).alias("_quality"))
+    return out.select("_row.*", F.struct(F.col("_q.weak_label"), F.col("_q.score"), (F.col("_q.score") >= threshold).alias("kept")).alias(free_name(docs.columns, "_quality")))
 
 
 def report(docs: DataFrame) -> DataFrame:
