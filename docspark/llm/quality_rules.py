@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import free_name
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 #: Windows of a text are numbered in so many bits beside their hash.
@@ -61,12 +63,13 @@ def _repeat_words(words: Column, starts: Column) -> Column:
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``_m``, a struct of the whole-text measures, to ``docs``; a null text counts as empty.
+    """``docs`` and last ``_m`` (``_m_`` where that name is taken), a struct of the whole-text measures; a null text counts as empty.
 
     Windows of three words are found equal in two steps: a sort of short hashes
     names the candidates, and an exact comparison of their words decides.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    text = F.col("_t")
     words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     word = lambda i: F.get(F.col("_w"), i)
@@ -77,7 +80,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     every = F.sequence(F.lit(0), F.size("_w") - 3)
     spelled = lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("w"), i.alias("i"))
     step = (
-        docs.withColumns({"_w": words, "_l": lines})
+        whole.withColumns({"_w": words, "_l": lines})
         .withColumn(
             "_h",
             F.when(F.size("_w") < 3, F.array().cast("array<bigint>"))
@@ -106,7 +109,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }
     # a row number is never negative; it keeps a later filter from being moved below, where it would repeat this work
     once = F.monotonically_increasing_id() >= 0
-    return step.withColumn("_m", F.when(once, F.struct(*[c.alias(k) for k, c in measures.items()]))).drop("_w", "_l", "_h", "_c", "_s", "_r")
+    told = step.withColumn("_m", F.when(once, F.struct(*[c.alias(k) for k, c in measures.items()])))
+    return told.select("_row.*", F.col("_m").alias(free_name(docs.columns, "_m")))
 
 
 def base_failed(m: str = "_m") -> Column:
@@ -128,20 +132,21 @@ def compile_rules(rules=RULES, m: str = "_m") -> dict[str, Column]:
 
 
 def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """``docs`` with structs ``_m`` (measures), ``_broken`` (one flag per rule) and ``_kept``.
+    """``docs`` and last the structs ``_m`` (measures), ``_broken`` (one flag per rule) and the flag ``_kept``.
 
-    Null and empty texts have no words and are rejected; repeated rows are
-    judged alike; an empty table gives an empty result. Other columns stay as
-    they are, but for one-letter names after an underscore, ``_broken`` and
-    ``_kept``; ``filter_quality`` keeps every column whatever its name.
+    Null and empty texts have no words and are rejected; very long ones are read
+    whole; repeated rows are judged alike; an empty table gives an empty result.
+    Columns of ``docs`` stay whatever their names: an added column whose name is
+    taken gets underscores behind it.
     """
+    m, b, kept = (free_name(docs.columns, n) for n in ("_m", "_broken", "_kept"))
     measured = measure(docs, text_col)
-    broken = compile_rules(rules)
-    flags = measured.withColumn("_broken", F.struct(*[c.alias(k) for k, c in broken.items()]))
-    failed = base_failed()
+    broken = compile_rules(rules, m)
+    flags = measured.withColumn(b, F.struct(*[c.alias(k) for k, c in broken.items()]))
+    failed = base_failed(m)
     for r in rules:
-        failed = failed | F.col(f"_broken.{r.name}")
-    return flags.withColumn("_kept", ~failed)
+        failed = failed | F.col(f"{b}.{r.name}")
+    return flags.withColumn(kept, ~failed)
 
 
 def filter_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
