@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import release, stage
 
 #: A word with at least one in so many of the training tokens is looked up in the task: at most so many words.
 FREQUENT = 65_536
@@ -236,8 +236,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
     A null text is empty: one token, its end. A null id counts as an empty id (in
     training). Words of any length are scored whole. Repeated rows count and are
     scored as often as they occur. Without training documents every count is 0
-    and pieces keep their starting weights. Rows must come from files or a
-    written table: they are numbered in the order they are read.
+    and pieces keep their starting weights. An empty table gives no rows. Other
+    columns are not carried, so their names cannot clash. Rows must come from
+    files or a written table: they are numbered in the order they are read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("string").alias("_id"), held_out(id_col).alias("_held"), F.col(text_col).alias("_text"))
@@ -277,6 +278,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece
             yield pd.Series(lattice.log_probability([b" " + w.encode() for w in b]) / ln10)
 
     table = stage(vocabulary.select("word", "c", F.pandas_udf(lattice_scores, "double")("word").alias("s")), "lm-scores")
+    release(vocabulary)
     top_scores = Lattice(pieces, logp).log_probability([b" " + w.encode() for w in top["word"]]) / ln10
     frequent = spark.sparkContext.broadcast((top["word"].tolist(), top["c"].to_numpy(dtype=np.float64), top_scores))
     scale = total + 0.5 * (distinct + 1)
