@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import mixing, ngram_join, packing, pii, quality_rules
-from docspark.llm.staging import read_table, stage
+from docspark.llm.staging import mark, read_table, release_since, stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights within the tokens there are; no document is repeated."""
-    return mixing.mix(docs, mixing.corpus_tree(), mixing.corpus_weight(), fraction=0.8, max_epochs=1).drop("_mix")
+    return mixing.resample(docs, mixing.corpus_tree(), mixing.corpus_weights(), fraction=0.8, max_epochs=1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for i, (name, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage(docs, name)
-    return docs
+    docs, point = read_table(spark, sf_dir, "documents"), mark()
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+        release_since(point, spark, [docs])  # all that this stage was made of
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: The order of mixing and the tokenizer's ids have no SQL form.
