@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,10 +13,19 @@ from docspark.sources.tables import CITATIONS, METRICS
 
 
 def project_catalog(projects: DataFrame, documents: DataFrame) -> DataFrame:
-    """M1: projects with their primary document, ``place`` from the newest by owner."""
+    """M1: projects with their primary document, ``place`` from the newest by owner.
+
+    Projects are ranked inside an hour of their owner; counts by hour, which are
+    small, give the places before it.
+    """
     docs = documents.select(F.col("id").alias("primary_document_id"), "original_filename")
-    place = F.row_number().over(Window.partitionBy("owner_id").orderBy(F.col("created_at").desc(), "id"))
-    return projects.join(docs, "primary_document_id").withColumn("place", place)
+    listed = projects.join(docs, "primary_document_id").withColumn("_hour", F.coalesce(F.floor(F.unix_seconds("created_at") / 3600), F.lit(-(1 << 62))))
+    hours = listed.groupBy("owner_id", "_hour").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("owner_id").orderBy(F.col("_hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col("owner_id").alias("_o"), F.col("_hour").alias("_h"), F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("owner_id", "_hour").orderBy(F.col("created_at").desc(), "id"))
+    placed = listed.withColumn("_in", inside).join(hours, F.col("owner_id").eqNullSafe(F.col("_o")) & (F.col("_hour") == F.col("_h")))
+    return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_hour", "_in", "_o", "_h", "_before")
 
 
 def apply_renames(projects: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,15 +41,28 @@ def owned(df: DataFrame, projects: DataFrame, owner: str = "owner_id") -> DataFr
     return df.join(projects.select(F.col("id").alias("project_id"), F.col("owner_id").alias("_o")), "project_id").where(F.col(owner) == F.col("_o")).drop("_o")
 
 
-def page_chats(chats: DataFrame, by=("owner_id", "project_id"), limit: int = 50, offset: int = 0) -> DataFrame:
-    """M3: newest updated first, rows offset+1 to offset+limit of each key."""
+def owned_chats(chats: DataFrame, projects: DataFrame, owner=None) -> DataFrame:
+    """Chats of projects that exist, with the project's owner as ``owner_id``; only ``owner``'s if given."""
+    rest = [c for c in chats.columns if c != "owner_id"]
+    out = chats.select(*rest).join(projects.select(F.col("id").alias("project_id"), "owner_id"), "project_id")
+    return out if owner is None else out.where(F.col("owner_id") == F.lit(owner))
+
+
+def page_chats(chats: DataFrame, by=("owner_id", "project_id"), limit: int = 50, offset: int = 0, projects: DataFrame | None = None, owner=None) -> DataFrame:
+    """M3: newest updated first, rows offset+1 to offset+limit of each key; with ``projects`` the owner is the project's."""
+    chats = chats if projects is None else owned_chats(chats, projects, owner)
     n = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("updated_at").desc(), "id"))
     return chats.withColumn("place", n).where((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
-def recent_messages(messages: DataFrame, n: int = 20, before: Column | None = None) -> DataFrame:
-    """M4: the last ``n`` messages of each chat (strictly before a time), ``place`` from the oldest."""
+def recent_messages(messages: DataFrame, n: int = 20, before: Column | None = None, chats: DataFrame | None = None, projects: DataFrame | None = None, owner=None) -> DataFrame:
+    """M4: the last ``n`` messages of each chat (strictly before a time), ``place`` from the oldest.
+
+    With ``chats`` and ``projects``: of chats whose project exists and is ``owner``'s, if given.
+    """
     df = messages if before is None else messages.where(F.col("created_at") < before)
+    if chats is not None:
+        df = df.join(owned_chats(chats, projects, owner).select(F.col("id").alias("chat_id")), "chat_id", "left_semi")
     last = F.row_number().over(Window.partitionBy("chat_id").orderBy(F.col("created_at").desc(), F.col("id").desc()))
     kept = df.withColumn("_r", last).where(F.col("_r") <= n)
     return kept.withColumn("place", F.count(F.lit(1)).over(Window.partitionBy("chat_id")) - F.col("_r") + 1).drop("_r")
@@ -55,8 +76,15 @@ def touch_chats(chats: DataFrame, new_messages: DataFrame, touch: bool = True) -
     return chats.join(newest, F.col("id") == F.col("chat_id"), "left").withColumn("updated_at", F.greatest("updated_at", F.coalesce("_at", "updated_at"))).drop("_at", "chat_id")
 
 
-def delete_messages(messages: DataFrame, chat_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M6: what stays, and the count deleted by chat. ``chat_ids``: chat_id of owned chats."""
+def delete_messages(messages: DataFrame, chat_ids: DataFrame, chats: DataFrame | None = None, projects: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """M6: what stays, and the count deleted by chat.
+
+    ``chat_ids``: chat_id of owned chats; or, with ``chats`` and ``projects``,
+    (chat_id, owner_id) as asked for, of which those of another owner's projects are left alone.
+    """
+    if chats is not None:
+        mine = owned_chats(chats, projects).select(F.col("id").alias("chat_id"), "owner_id")
+        chat_ids = chat_ids.join(mine, ["chat_id", "owner_id"], "left_semi").select("chat_id").distinct()
     gone = messages.join(chat_ids, "chat_id", "left_semi").groupBy("chat_id").agg(F.count(F.lit(1)).alias("deleted"))
     return messages.join(chat_ids, "chat_id", "left_anti"), gone
 
@@ -91,6 +119,18 @@ def hydrate_citations(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.join(chunks.select("index_id", "chunk_id", "text"), ["index_id", "chunk_id"], "left")
 
 
+def hydrated_messages(messages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every message with ``cited``: its citations, each chunk with its ``content`` (null where the chunk is gone); null without citations."""
+    found = hydrate_citations(messages, chunks).where("place IS NOT NULL")
+    one = F.struct("place", "chunk_id", "score", "matched_by", F.col("text").alias("content"))
+    lists = found.groupBy(F.col("message_id").alias("_m")).agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    out = parse_citations(messages).join(lists, F.col("message_id") == F.col("_m"), "left")
+    chunk = lambda x: F.struct(*[x[c].alias(c) for c in ("chunk_id", "score", "matched_by", "content")])
+    fields = [f.name for f in out.schema["cited"].dataType.fields if f.name != "chunks"]
+    cited = F.struct(*[F.col(f"cited.{f}").alias(f) for f in fields], F.transform(F.coalesce("_c", F.array().cast(lists.schema["_c"].dataType)), chunk).alias("chunks"))
+    return out.withColumn("cited", F.when(F.col("cited").isNotNull(), cited)).drop("_m", "_c")
+
+
 def parse_metrics(df: DataFrame, column: str = "metrics") -> DataFrame:
     """Token and latency totals; absent parts are 0, bad JSON is tolerated."""
     m = df.withColumn("_m", F.from_json(column, METRICS))
@@ -121,35 +161,51 @@ def latest_answer(messages: DataFrame) -> DataFrame:
     return messages.where("role = 'assistant'").groupBy("chat_id").agg(best.alias("m")).select("chat_id", "m.*")
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+# Fixed value: a run of word characters, or one character that is neither of a word nor white space.
+TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x1c-\x1f]"
 
 
-def regex_tokenizer(text: str) -> int:
-    return len(_TOKEN.findall(text))
-
-
-def count_tokens(df: DataFrame, text_col: str = "text", tokenizer: Callable[[str], int] = regex_tokenizer) -> DataFrame:
-    """``n_tokens``; null and empty are 0."""
+def token_count(text: Column, tokenizer: Callable[[str], int] | None = None) -> Column:
+    """Tokens of a text, built in unless a tokenizer is plugged in; null and empty are 0."""
+    if tokenizer is None:
+        return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN)).cast("long")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield pd.Series([tokenizer(t) if t else 0 for t in b], dtype="int64")
 
-    return df.withColumn("n_tokens", F.pandas_udf(run, "long")(F.col(text_col)))
+    return F.pandas_udf(run, "long")(text)
+
+
+def count_tokens(df: DataFrame, text_col: str = "text", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """``n_tokens``."""
+    return df.withColumn("n_tokens", token_count(F.col(text_col), tokenizer))
 
 
-def count_message_tokens(messages: DataFrame, by: str = "chat_id", tokenizer: Callable[[str], int] = regex_tokenizer) -> DataFrame:
+def count_message_tokens(messages: DataFrame, by: str = "chat_id", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
     """3 a message and its content, 1 more if it is named, 3 once for the reply."""
     named = F.when(F.col("name").isNotNull(), 1).otherwise(0) if "name" in messages.columns else F.lit(0)
     return count_tokens(messages, "content", tokenizer).groupBy(by).agg((F.sum(3 + F.col("n_tokens") + named) + 3).alias("n_tokens"))
 
 
-def prompt_breakdown(questions: DataFrame, history: DataFrame, tokenizer: Callable[[str], int] = regex_tokenizer) -> DataFrame:
-    """System, context, history and question tokens by question_id; blank turns do not count."""
-    part = lambda c: count_tokens(questions.select("question_id", F.col(c)), c, tokenizer).select("question_id", F.col("n_tokens").alias(f"{c}_tokens"))
+def history_tokens(messages: DataFrame, max_turns: int = 6, tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """``messages`` with ``history_tokens``: of the last ``max_turns`` messages of the chat before each, blank ones counting 0. One sort by chat, no join."""
+    before = Window.partitionBy("chat_id").orderBy("created_at", "id").rowsBetween(-max_turns, -1)
+    n = F.when(collapse_ws(F.col("content")) != "", F.col("_n")).otherwise(F.lit(0))
+    counted = messages.withColumn("_n", token_count(F.col("content"), tokenizer))
+    return counted.withColumn("history_tokens", F.coalesce(F.sum(n).over(before), F.lit(0))).drop("_n")
+
+
+def prompt_breakdown(questions: DataFrame, history: DataFrame | None = None, tokenizer: Callable[[str], int] | None = None) -> DataFrame:
+    """System, context, question and history tokens by question_id; blank turns do not count.
+
+    ``history``: turns (question_id, content) of each question; without it, ``questions`` has ``history_tokens``.
+    """
+    own = questions.select("question_id", *[token_count(F.col(c), tokenizer).alias(f"{c}_tokens") for c in ("system", "context", "question")], *([] if history is not None else ["history_tokens"]))
+    if history is None:
+        return own
     turns = count_tokens(history.where(collapse_ws(F.col("content")) != ""), "content", tokenizer).groupBy("question_id").agg(F.sum("n_tokens").alias("history_tokens"))
-    out = part("system").join(part("context"), "question_id").join(part("question"), "question_id").join(turns, "question_id", "left")
-    return out.withColumn("history_tokens", F.coalesce("history_tokens", F.lit(0)))
+    return own.join(turns, "question_id", "left").withColumn("history_tokens", F.coalesce("history_tokens", F.lit(0)))
 
 
 def assemble_answers(pieces: DataFrame) -> DataFrame:
@@ -159,7 +215,6 @@ def assemble_answers(pieces: DataFrame) -> DataFrame:
 
 
 def duplicate_users(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """New rows whose e-mail exists or repeats among the new."""
-    there = existing.select("email").distinct().withColumn("_there", F.lit(True))
-    n = F.count(F.lit(1)).over(Window.partitionBy("email"))
-    return new.withColumn("_n", n).join(there, "email", "left").where("_n > 1 OR _there").drop("_n", "_there")
+    """New rows whose e-mail exists or repeats among the new; null is no e-mail. Repeats are counted before they meet their rows."""
+    repeated = new.groupBy("email").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("email")
+    return new.join(existing.select("email").union(repeated).distinct(), "email", "left_semi")

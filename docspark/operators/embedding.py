@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,19 @@ def invalid_configs(df: DataFrame, column: str = "config") -> DataFrame:
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
-    """Offline: signed counts of hashed words, of unit length; a text without words is all zero."""
+    """Offline: signed counts of hashed words, of unit length; a text without words is all zero. Each different word of a call is hashed once."""
 
     def embed(texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            v = np.zeros(dimensions)
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-                v[h % dimensions] += 1 if h >> 63 else -1
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n else v)
-        return out
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        words, of = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words.dictionary.to_pylist()], dtype=np.uint64)
+        blank = np.array([not w for w in words.dictionary.to_pylist()], dtype=bool)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        sign = np.where(blank, 0.0, np.where(h >> np.uint64(63), 1.0, -1.0))
+        counts = np.bincount(of * dimensions + (h % np.uint64(dimensions)).astype(np.int64)[code], sign[code], minlength=len(texts) * dimensions) if len(code) else np.zeros(len(texts) * dimensions)
+        v = counts.reshape(len(texts), dimensions)
+        n = np.sqrt((v * v).sum(1, keepdims=True))
+        return list(np.divide(v, n, out=v, where=n > 0))
 
     return embed
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 W_VECTOR, W_TEXT = 0.65, 0.35
 SPREAD = 1e-12
@@ -62,10 +63,27 @@ def apply_rerank(ranked: DataFrame, order: DataFrame, top_n: int) -> DataFrame:
     return placed.withColumn("final_rank", again).where(F.col("final_rank") <= top_n).drop("pos", "_n")
 
 
-def build_context_pack(ranked: DataFrame, rank: str = "rank") -> DataFrame:
-    """a row per query with its chunks in rank order; a score that is absent is 0."""
-    chunk = F.struct(F.col(rank).alias("rank"), F.col("chunk_id"), F.col("text"), F.coalesce("score", F.lit(0.0)).alias("score"), "matched_by")
-    return ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+def build_context_pack(ranked: DataFrame, rank: str = "rank", queries: DataFrame | None = None) -> DataFrame:
+    """a row per query with its chunks in rank order; a score that is absent is 0.
+
+    A chunk has its index, its meta and, as citation, a copy of the meta (null
+    where that is null or empty), and the rewrites that found it. Columns that
+    ``ranked`` lacks are null. ``queries``: query_id and what else a pack shall
+    tell (index, project, question, rewrites, metric); queries without hits get no chunks.
+    """
+    there = {f.name: f.dataType for f in ranked.schema}
+    own = lambda c, kind: F.col(c) if c in there else F.lit(None).cast(kind)
+    meta = own("meta", "map<string,string>")
+    empty = F.size(meta) == 0 if there.get("meta", T.MapType(T.StringType(), T.StringType())).typeName() in ("map", "array") else meta.isNull()
+    chunk = F.struct(
+        F.col(rank).alias("rank"), F.col("chunk_id"), own("chunk_index", "int").alias("chunk_index"), F.col("text"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        own("matched_by", "array<int>").alias("matched_by"), F.to_json(meta).alias("meta"), F.when(~empty, F.to_json(meta)).alias("citation"),
+    )
+    packs = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("chunks"))
+    if queries is None:
+        return packs
+    none = F.array().cast(packs.schema["chunks"].dataType)
+    return queries.join(packs, "query_id", "left").withColumn("chunks", F.coalesce("chunks", none))
 
 
 def render_context(packs: DataFrame, max_chars: int = 12_000) -> DataFrame:
@@ -75,6 +93,17 @@ def render_context(packs: DataFrame, max_chars: int = 12_000) -> DataFrame:
 
 
 def rerank_prompts(packs: DataFrame) -> DataFrame:
-    """one card per candidate, numbered from 0, with its id and score."""
-    cards = F.transform("chunks", lambda x, i: F.format_string("#%d id=%s score=%.6f\n%s", i, x["chunk_id"].cast("string"), x["score"], x["text"]))
-    return packs.withColumn("prompt", F.array_join(cards, "\n---\n"))
+    """the supporting sub-queries, if ``packs`` has ``sub_queries`` that are not blank, and one card per candidate.
+
+    A card is numbered from 0 and tells id, chunk index, score and text, and as
+    signals the rewrites that found it, where these are known.
+    """
+    index = lambda x: F.when(x["chunk_index"].isNotNull(), F.concat(F.lit(" index="), x["chunk_index"].cast("string"))).otherwise("")
+    signals = lambda x: F.when(x["matched_by"].isNotNull(), F.concat(F.lit("\nsignals: matched_by=["), F.array_join(x["matched_by"].cast("array<string>"), ", "), F.lit("]"))).otherwise("")
+    card = lambda x, i: F.concat(F.lit("#"), i.cast("string"), F.lit(" id="), x["chunk_id"].cast("string"), index(x), F.format_string(" score=%.6f\n", x["score"]), x["text"], signals(x))
+    prompt = F.array_join(F.transform("chunks", card), "\n---\n")
+    if "sub_queries" in packs.columns:
+        asked = F.filter(F.transform("sub_queries", lambda q: F.trim(q)), lambda q: q != "")
+        head = F.concat(F.lit("Supporting sub-queries:\n"), F.array_join(F.transform(asked, lambda q: F.concat(F.lit("- "), q)), "\n"), F.lit("\n\n"))
+        prompt = F.concat(F.when(F.size(asked) > 0, head).otherwise(""), prompt)
+    return packs.withColumn("prompt", prompt)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.functions.stem import stem
+from docspark.sources.staging import stage
 
 # Frequent English words that carry no meaning of their own.
 STOP_WORDS = (
@@ -16,55 +17,78 @@ STOP_WORDS = (
     "their them they this to was we were what when which who will with you your"
 ).split()
 TERM = r"[\p{L}\p{N}]+"
+#: Different query terms up to this many are broadcast to the words of the chunks; more meet them by a shuffle.
+BROADCAST_TERMS = 500_000
 
 
-def build_postings(chunks: DataFrame, id_col: str = "chunk_id", stop_words=STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    """L1: (chunk_id, term, positions, tf), terms stemmed on demand. ``text_norm`` is read where there is one, else ``text``; stop words keep their position."""
+def build_postings(chunks: DataFrame, id_col: str = "chunk_id", stop_words=STOP_WORDS, stemmed: bool = False, by: tuple[str, ...] = (), only: DataFrame | None = None) -> DataFrame:
+    """L1: (chunk_id, the columns ``by``, term, positions, tf), terms stemmed on demand.
+
+    ``text_norm`` is read where there is one, else ``text``; stop words keep
+    their position. ``only`` (term): positions are gathered for these terms alone.
+    """
     source = F.coalesce("text_norm", "text") if "text_norm" in chunks.columns else F.col("text")
-    words = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(F.regexp_extract_all(F.lower(source), F.lit(TERM), F.lit(0))).alias("pos", "term"))
+    words = chunks.select(F.col(id_col).alias("chunk_id"), *by, F.posexplode(F.regexp_extract_all(F.lower(source), F.lit(TERM), F.lit(0))).alias("pos", "term"))
     kept = words.where(~F.col("term").isin(*stop_words))
-    kept = kept.withColumn("term", stem(F.col("term"))) if stemmed else kept
-    return kept.groupBy("chunk_id", "term").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"), F.count(F.lit(1)).alias("tf"))
+    if only is not None and not stemmed:
+        kept = kept.join(_hinted(only.select("term").distinct()), "term", "left_semi")
+    key = ["chunk_id", *by, "term"]
+    found = kept.groupBy(*key).agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"), F.count(F.lit(1)).alias("tf"))
+    if not stemmed:
+        return found.select(*key, "positions", "tf")
+    # each different term is stemmed once
+    stems = found.select(F.col("term").alias("_t")).distinct().withColumn("_s", stem(F.col("_t")))
+    if only is not None:
+        stems = stems.join(_hinted(only.select(F.col("term").alias("_s")).distinct()), "_s", "left_semi")
+    found = found.join(stems, F.col("term") == F.col("_t")).withColumn("term", F.col("_s"))
+    return found.groupBy(*key).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("tf").alias("tf")).select(*key, "positions", "tf")
+
 
+def _hinted(terms: DataFrame) -> DataFrame:
+    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
 
-def parse_queries(queries: DataFrame, stop_words=STOP_WORDS, stemmed: bool = False) -> DataFrame:
-    """L2: web-search syntax to (query_id, clause, kind, phrase, pos, term).
+
+def parse_queries(queries: DataFrame, stop_words=STOP_WORDS, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """L2: web-search syntax to (query_id, the columns ``by``, clause, kind, phrase, pos, term).
 
     Words are joined by and, ``or`` opens another clause, a quoted phrase keeps
     its word distances, a leading ``-`` forbids. Terms beyond stop words only.
     """
     piece = r'-?"[^"]*"|\S+'
-    rows = queries.select("query_id", F.posexplode(F.regexp_extract_all(F.lower("query"), F.lit(piece), F.lit(0))).alias("n", "piece"))
+    rows = queries.select("query_id", *by, F.posexplode(F.regexp_extract_all(F.lower("query"), F.lit(piece), F.lit(0))).alias("n", "piece"))
     opens = (F.col("piece") == "or").cast("int")
     clause = F.sum(opens).over(Window.partitionBy("query_id").orderBy("n"))
     rows = rows.withColumn("clause", clause).where("piece <> 'or'")
     kind = F.when(F.col("piece").startswith("-"), "not").when(F.col("piece").contains('"'), "phrase").otherwise("word")
-    terms = rows.select("query_id", F.col("clause").cast("int").alias("clause"), kind.alias("kind"), F.col("n").alias("phrase"), F.posexplode(F.regexp_extract_all("piece", F.lit(TERM), F.lit(0))).alias("pos", "term"))
+    terms = rows.select("query_id", *by, F.col("clause").cast("int").alias("clause"), kind.alias("kind"), F.col("n").alias("phrase"), F.posexplode(F.regexp_extract_all("piece", F.lit(TERM), F.lit(0))).alias("pos", "term"))
     terms = terms.where(~F.col("term").isin(*stop_words))
     return terms.withColumn("term", stem(F.col("term"))) if stemmed else terms
 
 
-def fts_match(postings: DataFrame, parsed: DataFrame) -> DataFrame:
+def _phrases_hold(rows: Column) -> Column:
+    """Whether each phrase among ``rows`` (phrase, pos, positions) has a start from which all its words stand at their places."""
+    of = lambda p: F.filter(rows, lambda r: r["phrase"] == p)
+    at = lambda words, s: F.forall(words, lambda r: F.array_contains(r["positions"], s + r["pos"]))
+    holds = lambda words: F.exists(F.get(words, F.lit(0))["positions"], lambda s: at(words, s - F.get(words, F.lit(0))["pos"]))
+    return F.forall(F.array_distinct(F.transform(rows, lambda r: r["phrase"])), lambda p: holds(of(p)))
+
+
+def fts_match(postings: DataFrame, parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """L3: (query_id, chunk_id, hits) of chunks that hold every term of a clause, at phrase distances, and no forbidden term.
 
-    Terms meet postings by an equi-join, which Spark can split where a term is frequent.
+    Terms meet postings of the same ``by`` by one equi-join, which Spark can
+    split where a term is frequent; the rest is decided inside a clause and chunk.
     """
-    wanted = parsed.where("kind <> 'not'")
-    need = wanted.groupBy("query_id", "clause").agg(F.countDistinct("term").alias("need"))
-    hits = wanted.join(postings, "term")
-    held = hits.groupBy("query_id", "clause", "chunk_id").agg(F.countDistinct("term").alias("held"), F.sort_array(F.flatten(F.collect_set("positions"))).alias("_p"), F.collect_set(F.struct("term", "positions")).alias("hits"))
-    full = held.join(need, ["query_id", "clause"]).where("held = need")
-    # a phrase holds where shifting each word's positions back by its place leaves one start in common
-    phrases = wanted.where("kind = 'phrase'")
-    many = phrases.groupBy("query_id", "clause", "phrase").agg(F.count(F.lit(1)).alias("words"))
-    starts = phrases.join(postings, "term").select("query_id", "clause", "phrase", "chunk_id", "pos", F.explode("positions").alias("at")).withColumn("start", F.col("at") - F.col("pos"))
-    met = starts.groupBy("query_id", "clause", "phrase", "chunk_id", "start").agg(F.countDistinct("pos").alias("met")).join(many, ["query_id", "clause", "phrase"]).where("met = words")
-    met = met.groupBy("query_id", "clause", "chunk_id").agg(F.countDistinct("phrase").alias("good"))
-    asked = many.groupBy("query_id", "clause").agg(F.count(F.lit(1)).alias("asked"))
-    full = full.join(asked, ["query_id", "clause"], "left").join(met, ["query_id", "clause", "chunk_id"], "left").where("asked IS NULL OR good = asked")
-    banned = parsed.where("kind = 'not'").join(postings, "term").select("query_id", "clause", "chunk_id").distinct()
-    kept = full.join(banned, ["query_id", "clause", "chunk_id"], "left_anti")
-    return kept.groupBy("query_id", "chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    clause = ["query_id", "clause"]
+    need = parsed.where("kind <> 'not'").groupBy(*clause).agg(F.countDistinct("term").alias("need"))
+    asked = parsed.join(need, clause)
+    wanted = F.col("kind") != "not"
+    held = asked.join(postings.select("chunk_id", *by, "term", "positions"), ["term", *by]).groupBy(*clause, "chunk_id").agg(
+        F.max("need").alias("need"), F.collect_set(F.when(wanted, F.struct("term", "positions"))).alias("hits"), F.bool_or(~wanted).alias("banned"),
+        F.collect_list(F.when(F.col("kind") == "phrase", F.struct("phrase", "pos", "positions"))).alias("phrases"),
+    )
+    full = held.where((F.size("hits") == F.col("need")) & ~F.col("banned")).where((F.size("phrases") == 0) | _phrases_hold(F.col("phrases")))
+    return full.groupBy("query_id", "chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
 
 
 def cover_density(lists: list[list[int]]) -> float:
@@ -90,11 +114,24 @@ def cover_density(lists: list[list[int]]) -> float:
 
 def _rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for b in batches:
-        yield pd.Series([cover_density([list(h["positions"]) for h in hits]) for hits in b], dtype="float64")
+        yield pd.Series([None if hits is None else cover_density([list(h["positions"]) for h in hits]) for hits in b], dtype="float64")
+
 
+def fts_topk(queries: DataFrame, postings: DataFrame, k: int, stemmed: bool = False, by: tuple[str, ...] = (), parsed: DataFrame | None = None) -> DataFrame:
+    """L4: query_id, chunk_id, score, rank by cover density, best first; blank queries and k <= 0 give nothing.
 
-def fts_topk(queries: DataFrame, postings: DataFrame, k: int, stemmed: bool = False) -> DataFrame:
-    """L4: query_id, chunk_id, score, rank by cover density, best first; blank queries and k <= 0 give nothing."""
-    scored = fts_match(postings, parse_queries(queries, stemmed=stemmed)).withColumn("score", F.round(F.pandas_udf(_rank, "double")("hits"), 6)).drop("hits")
+    Only chunks with the query's ``by`` (such as index_id) are ranked. Scores of
+    one term are built in; the helper sees chunks that hold several.
+    """
+    parsed = parse_queries(queries, stemmed=stemmed, by=by) if parsed is None else parsed
+    several = F.pandas_udf(_rank, "double")(F.when(F.size("hits") > 1, F.col("hits")))
+    score = F.when(F.size("hits") == 1, F.lit(0.1) * F.size(F.get("hits", F.lit(0))["positions"])).otherwise(several)
+    ranked = fts_match(postings, parsed, by).withColumn("score", F.round(score, 6)).drop("hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
+
+
+def search_text(queries: DataFrame, chunks: DataFrame, k: int, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """L1-L4 of chunks that have no postings yet: only the queries' terms are gathered from them."""
+    parsed = stage(parse_queries(queries, stemmed=stemmed, by=by), "parsed-queries")
+    return fts_topk(queries, build_postings(chunks, stemmed=stemmed, by=by, only=parsed.select("term")), k, stemmed, by, parsed)

@@ -11,6 +11,11 @@ STATUSES = ACTIVE + TERMINAL
 STEP_PROGRESS = {"QUEUED": 0, "EXTRACTING": 5, "CHUNKING": 20, "EMBEDDING": 60, "STORING": 85, "FINALIZING": 95}
 
 
+def _newest() -> list[Column]:
+    """Order keys whose minimum is the newest run and, of these, the one with the smallest id, which may be of any type."""
+    return [F.col("created_at").isNull().alias("_none"), (-F.unix_micros("created_at")).alias("_age"), F.col("id").alias("_tie")]
+
+
 def latest_runs(indexes: DataFrame, by: tuple[str, ...] = ("project_id",), statuses=None, signature: str | None = None, projects: DataFrame | None = None) -> DataFrame:
     """Newest run by key; one pass with map-side combine, no sort."""
     df = indexes
@@ -21,14 +26,14 @@ def latest_runs(indexes: DataFrame, by: tuple[str, ...] = ("project_id",), statu
     if projects is not None:
         df = scope_to_owner(df, projects)
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct("created_at", -F.col("id"))).alias("r")).select(*by, *[f"r.{c}" for c in rest])
+    return df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*_newest())).alias("r")).select(*by, *[f"r.{c}" for c in rest])
 
 
 def current_run(indexes: DataFrame, signature: str) -> DataFrame:
     """The newest READY run with the signature, else the newest active one."""
     rank = F.when((F.col("status") == "READY") & (F.col("embed_signature") == signature), 2).when(F.col("status").isin(*ACTIVE), 1)
     df = indexes.withColumn("_rank", rank).where("_rank IS NOT NULL")
-    best = F.max_by(F.struct("id", "status", "created_at"), F.struct("_rank", "created_at", -F.col("id")))
+    best = F.min_by(F.struct("id", "status", "created_at"), F.struct((-F.col("_rank")).alias("_first"), *_newest()))
     return df.groupBy("project_id").agg(best.alias("r")).select("project_id", "r.*")
 
 
@@ -72,17 +77,35 @@ def apply_cancels(indexes: DataFrame, requests: DataFrame) -> DataFrame:
     return out.withColumns({"cancel_requested": F.col("cancel_requested") | F.col("_hit"), "message": F.when(F.col("_hit"), "Cancellation requested")}).drop("_asked", "_hit")
 
 
-def cascade_delete(tables: dict[str, tuple[DataFrame, str, str | None]], ids: DataFrame) -> dict[str, DataFrame]:
+def _cascade(tables: dict[str, tuple], ids: DataFrame):
+    """(name, rows, column that points to the parent, keys of the parent that go) for each table, parents first."""
+    keys: dict[str, DataFrame] = {}
+    above = None
+    for name, (df, key, parent, *of) in tables.items():
+        gone = ids.select(F.col("id").alias("_gone")) if parent is None else keys[of[0] if of else above]
+        at = key if parent is None else parent
+        keys[name] = df.join(gone, F.col(at) == F.col("_gone"), "left_semi").select(F.col(key).alias("_gone"))
+        yield name, df, at, gone
+        above = name
+
+
+def cascade_delete(tables: dict[str, tuple], ids: DataFrame) -> dict[str, DataFrame]:
     """I8: removes ``ids`` (column id) from the first table, and in each next the rows whose parent is gone.
 
-    ``tables``: name to (rows, own key, key of the parent), parents first.
+    ``tables``: name to (rows, own key, key of the parent, name of the parent),
+    parents first; without a name the parent is the table before.
     """
-    out, gone = {}, ids.select(F.col("id").alias("_gone"))
-    for name, (df, key, parent) in tables.items():
-        at = key if parent is None else parent
-        out[name] = df.join(gone, F.col(at) == F.col("_gone"), "left_anti")
-        gone = df.join(gone, F.col(at) == F.col("_gone"), "left_semi").select(F.col(key).alias("_gone"))
-    return out
+    return {name: df.join(gone, F.col(at) == F.col("_gone"), "left_anti") for name, df, at, gone in _cascade(tables, ids)}
+
+
+def cascade_files(tables: dict[str, tuple], ids: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """I8: (name, path) of the stored files that go with the rows ``cascade_delete`` removes; ``paths``: table to its column."""
+    out = None
+    for name, df, at, gone in _cascade(tables, ids):
+        if name in paths:
+            files = df.join(gone, F.col(at) == F.col("_gone"), "left_semi").where(F.col(paths[name]).isNotNull()).select(F.lit(name).alias("name"), F.col(paths[name]).alias("path"))
+            out = files if out is None else out.unionByName(files)
+    return out.distinct()
 
 
 def check_integrity(rows: DataFrame, key: list[str], parent: DataFrame | None = None, foreign: str | None = None, checks: dict[str, Column] | None = None) -> DataFrame:
