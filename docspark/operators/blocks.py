@@ -117,12 +117,18 @@ def equation_labels(label: Column, n: Column) -> Column:
 BLOCK = r"(?s)<(h[1-6]|p|li|table|figcaption)\b[^>]*>(.*?)(?=</(?:h[1-6]|p|li|table|figcaption|article|ul|body)>|<(?:h[1-6]|p|li|table|figcaption)\b)"
 
 
+# The named characters that are decoded; the ampersand comes last, so nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """X1 for HTML: block tags in order; a heading opens a division; scripts, styles and comments are no text."""
     bare = F.regexp_replace(F.col(html_col), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "")
     found = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(bare, F.lit(BLOCK), F.lit(0))).alias("pos", "_raw"))
     tag = F.regexp_extract("_raw", r"^<(\w+)", 1)
-    text = F.regexp_replace(F.regexp_replace(F.col("_raw"), r"<[^>]*>", " "), "&amp;", "&")
+    text = F.regexp_replace(F.col("_raw"), r"<[^>]*>", " ")
+    for name, sign in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
     kind = F.when(tag.startswith("h"), "section_head").when(tag == "li", "list_item").when(tag == "table", "table").when(tag == "figcaption", "figure_caption").otherwise("paragraph")
     rows = found.select("doc_id", "pos", kind.alias("kind"), extract_targets(F.col("_raw")).alias("targets"), collapse_ws(text).alias("text")).where("text <> ''")
     return propagate_heads(rows).withColumn("text_norm", normalize_by_kind(F.col("text"), F.col("kind")))

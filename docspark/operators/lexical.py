@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,62 +78,84 @@ def _phrases_hold(rows: Column) -> Column:
 def fts_match(postings: DataFrame, parsed: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """L3: (query_id, chunk_id, hits) of chunks that hold every term of a clause, at phrase distances, and no forbidden term.
 
-    Terms meet postings of the same ``by`` by one equi-join, which Spark can
-    split where a term is frequent; the rest is decided inside a clause and chunk.
+    The rarest term of a clause names its candidates; only these meet the
+    postings of its other terms (of the same ``by``), by equi-joins that Spark
+    can split where a term is frequent. The rest is decided inside a clause and
+    chunk. ``postings`` is read three times and should be a table.
     """
     clause = ["query_id", "clause"]
-    need = parsed.where("kind <> 'not'").groupBy(*clause).agg(F.countDistinct("term").alias("need"))
-    asked = parsed.join(need, clause)
-    wanted = F.col("kind") != "not"
-    held = asked.join(postings.select("chunk_id", *by, "term", "positions"), ["term", *by]).groupBy(*clause, "chunk_id").agg(
-        F.max("need").alias("need"), F.collect_set(F.when(wanted, F.struct("term", "positions"))).alias("hits"), F.bool_or(~wanted).alias("banned"),
+    wanted = parsed.where("kind <> 'not'")
+    found = postings.select("term", *by, "chunk_id", "positions")
+    rows = found.groupBy("term", *by).agg(F.count(F.lit(1)).alias("df"))
+    # a clause with a term that no chunk holds has no chunk
+    leads = wanted.select(*clause, *by, "term").distinct().join(rows, ["term", *by], "left").groupBy(*clause, *by).agg(
+        F.count(F.lit(1)).alias("need"), F.count("df").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term")
+    ).where("need = known").select(*clause, *by, "need", "term")
+    candidates = leads.join(found.select("term", *by, "chunk_id"), ["term", *by]).select(*clause, "chunk_id", "need")
+    held = candidates.join(parsed, clause).join(found, ["term", *by, "chunk_id"]).groupBy(*clause, "chunk_id").agg(
+        F.max("need").alias("need"), F.collect_set(F.when(F.col("kind") != "not", F.struct("term", "positions"))).alias("hits"), F.bool_or(F.col("kind") == "not").alias("banned"),
         F.collect_list(F.when(F.col("kind") == "phrase", F.struct("phrase", "pos", "positions"))).alias("phrases"),
     )
     full = held.where((F.size("hits") == F.col("need")) & ~F.col("banned")).where((F.size("phrases") == 0) | _phrases_hold(F.col("phrases")))
     return full.groupBy("query_id", "chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
 
 
+def cover_scores(lists: pa.ListArray) -> np.ndarray:
+    """For each list of position lists, one a term: the sum over minimal covers (shortest windows with every term) of 0.1 / (1 + places in the window beyond the terms)."""
+    out = np.zeros(len(lists))
+    terms = lists.flatten()
+    row_of, many = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    number = np.arange(len(row_of)) - np.concatenate([[0], np.cumsum(many)])[row_of]
+    of = pc.list_parent_indices(terms).to_numpy(zero_copy_only=False)
+    pos = terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(pos):
+        return out
+    row, term = row_of[of], number[of]
+    base = row.astype(np.int64) * (pos.max() + 1)
+    order = np.argsort(base + pos, kind="stable")
+    row, term, at, base = row[order], term[order], (base + pos)[order], base[order]
+    # the window that ends at a word begins at the least of the last places of all terms
+    start = np.full(len(at), np.iinfo(np.int64).max)
+    for t in range(int(many.max())):
+        last = np.maximum.accumulate(np.where(term == t, at, -1))
+        asked = many[row] > t
+        start[asked] = np.minimum(start[asked], last[asked])
+    new = start >= base
+    new[1:] &= start[1:] != start[:-1]
+    width = at[new] - start[new] + 1 - many[row[new]]
+    return np.bincount(row[new], 0.1 / (1 + np.maximum(width, 0)), minlength=len(lists))
+
+
 def cover_density(lists: list[list[int]]) -> float:
-    """Sum over minimal covers (shortest windows with every term) of 0.1 / (1 + places in the window beyond the terms)."""
-    if not lists or any(len(p) == 0 for p in lists):
-        return 0.0
-    if len(lists) == 1:
-        return 0.1 * len(lists[0])
-    events = sorted((p, t) for t, positions in enumerate(lists) for p in positions)
-    last, total, best_start = [None] * len(lists), 0.0, None
-    for p, t in events:
-        last[t] = p
-        if None in last:
-            continue
-        start = min(last)
-        if best_start is not None and start <= best_start:
-            continue
-        best_start = start
-        # shrink from the right: the window [start, p] is minimal only if its end is needed
-        total += 0.1 / (1 + max(0, p - start + 1 - len(lists)))
-    return total
-
-
-def _rank(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    return float(cover_scores(pa.array([lists], pa.list_(pa.list_(pa.int32()))))[0]) if all(lists) else 0.0
+
+
+def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pd.Series([None if hits is None else cover_density([list(h["positions"]) for h in hits]) for hits in b], dtype="float64")
+        for s in range(0, b.num_rows, 2000):
+            part = b.slice(s, 2000)
+            lists = pa.concat_arrays([part["positions"]])
+            yield pa.RecordBatch.from_arrays([part["query_id"], part["chunk_id"], pa.array(cover_scores(lists))], ["query_id", "chunk_id", "score"])
 
 
 def fts_topk(queries: DataFrame, postings: DataFrame, k: int, stemmed: bool = False, by: tuple[str, ...] = (), parsed: DataFrame | None = None) -> DataFrame:
     """L4: query_id, chunk_id, score, rank by cover density, best first; blank queries and k <= 0 give nothing.
 
-    Only chunks with the query's ``by`` (such as index_id) are ranked. Scores of
-    one term are built in; the helper sees chunks that hold several.
+    Only chunks with the query's ``by`` (such as index_id) are ranked.
     """
     parsed = parse_queries(queries, stemmed=stemmed, by=by) if parsed is None else parsed
-    several = F.pandas_udf(_rank, "double")(F.when(F.size("hits") > 1, F.col("hits")))
-    score = F.when(F.size("hits") == 1, F.lit(0.1) * F.size(F.get("hits", F.lit(0))["positions"])).otherwise(several)
-    ranked = fts_match(postings, parsed, by).withColumn("score", F.round(score, 6)).drop("hits")
+    places = fts_match(postings, parsed, by).select("query_id", "chunk_id", F.transform("hits", lambda h: h["positions"]).alias("positions"))
+    kinds = ", ".join(f"{c} {places.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id"))
+    ranked = places.mapInArrow(_rank, f"{kinds}, score double").withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= max(k, 0))
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """L1-L4 of chunks that have no postings yet: only the queries' terms are gathered from them."""
+    """L1-L4 of chunks that have no postings yet: only the queries' terms are gathered from them, once."""
     parsed = stage(parse_queries(queries, stemmed=stemmed, by=by), "parsed-queries")
-    return fts_topk(queries, build_postings(chunks, stemmed=stemmed, by=by, only=parsed.select("term")), k, stemmed, by, parsed)
+    return fts_topk(queries, asked_postings(chunks, parsed, stemmed, by), k, stemmed, by, parsed)
+
+
+def asked_postings(chunks: DataFrame, parsed: DataFrame, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    return stage(build_postings(chunks, stemmed=stemmed, by=by, only=parsed.select("term")), "asked-postings")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.sources.staging import shared_folder as work_folder  # noqa: F401  the folder that all executors share
+
 CITATIONS = (
     "struct<index_id:string,embed_signature:string,metric:string,top_k:int,model:string,query:string,rewritten_query:string,"
     "rewritten_queries:array<string>,rewrite_strategy:string,original_query:string,"
@@ -28,14 +30,40 @@ def parse_storage_path(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumns({"owner_id": F.try_element_at(parts, F.lit(-3)), "project_id": F.try_element_at(parts, F.lit(-2)), "file_name": F.try_element_at(parts, F.lit(-1))})
 
 
-def load_tables(spark: SparkSession, folder: str, names) -> dict[str, DataFrame]:
-    """S3."""
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+EMBED_CONFIG = "struct<provider:string,model:string,batch_size:int,dimensions:int>"
+#: The eight tables of a deployment; ``meta`` and the JSON columns are read as text and parsed where they are used.
+SCHEMAS = {
+    "document_indexes": f"id string, project_id string, document_id string, storage_path string, status string, progress int, message string, error string, cancel_requested boolean, chunker_version string, embed_config {EMBED_CONFIG}, embed_signature string, meta string, created_at timestamp, updated_at timestamp",
+    "chunks": "id string, index_id string, chunk_index int, text string, text_norm string, meta string, created_at timestamp",
+    "chunk_embeddings": "id string, index_id string, chunk_id string, chunk_index int, embed_signature string, embedding array<float>, created_at timestamp",
+    "projects": "id string, owner_id string, name string, created_at timestamp, primary_document_id string",
+    "project_documents": "id string, project_id string, original_filename string, storage_path string, content_type string, size_bytes bigint, uploaded_at timestamp",
+    "chats": "id string, owner_id string, project_id string, title string, created_at timestamp, updated_at timestamp",
+    "chat_messages": "id string, chat_id string, role string, content string, created_at timestamp, citations string, metrics string",
+    "users": "id string, email string, name string, is_active boolean, created_at timestamp",
+}
+
+
+def load_tables(spark: SparkSession, folder: str, names=tuple(SCHEMAS), schemas: dict[str, str] = SCHEMAS) -> dict[str, DataFrame]:
+    """S3: tables by name; one that ``schemas`` knows has these columns and types whatever its files hold (a missing column is null)."""
+    at = lambda n: f"{folder}/{n}.parquet"
+    return {n: spark.read.schema(schemas[n]).parquet(at(n)) if n in schemas else spark.read.parquet(at(n)) for n in names}
+
 
+def load_database(spark: SparkSession, url: str, names=tuple(SCHEMAS), parts: int = 16, **options: str) -> dict[str, DataFrame]:
+    """S3 from a database that Spark reads by JDBC, each table in ``parts`` ranges of creation time where ``lowerBound`` and ``upperBound`` are given."""
+    ranged = {"partitionColumn": "created_at", "numPartitions": str(parts)} if {"lowerBound", "upperBound"} <= set(options) else {}
+    return {n: spark.read.format("jdbc").options(url=url, dbtable=n, **ranged, **options).load() for n in names}
 
-def write_chunks(df: DataFrame, path: str, by: tuple[str, ...] = ("index_id",)) -> None:
-    """Append; nothing happens for no rows."""
-    df.write.mode("append").partitionBy(*by).parquet(path)
+
+def write_chunks(df: DataFrame, path: str, by: tuple[str, ...] = ("index_id",), batch: int | None = None) -> None:
+    """Append; nothing happens for no rows. With ``batch`` the rows have a folder of their own, so writing them again replaces them."""
+    if df.isEmpty():
+        return
+    if batch is None:
+        df.write.mode("append").partitionBy(*by).parquet(path)
+    else:
+        df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/batch={batch}")
 
 
 def nest_blocks(blocks: DataFrame, key: list[str], order: str = "pos") -> DataFrame:
@@ -99,13 +127,3 @@ def chats(spark: SparkSession, d: str) -> DataFrame:
 
 def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), c, F.lit('"'))
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; only a local master gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators.chunking import chunk_chars
-from docspark.operators.embedding import embed
+from docspark.operators.embedding import embed, upsert_embeddings
 from docspark.operators.runs import TERMINAL
 
 
@@ -17,7 +17,7 @@ def index_batch(docs: DataFrame, max_chars: int = 1200, overlap: int = 200) -> D
 
 
 def stream_index(docs: DataFrame, sink: str, checkpoint: str):
-    """Chunks and embeddings of documents as they arrive. A batch writes its own folder, so a replay replaces what it wrote."""
+    """Chunks and embeddings of documents as they arrive. A batch writes its own folder, so a replay replaces what it wrote; ``read_index`` upserts the batches."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         index_batch(batch).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
@@ -25,6 +25,13 @@ def stream_index(docs: DataFrame, sink: str, checkpoint: str):
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_index(spark: SparkSession, sink: str) -> DataFrame:
+    """What ``stream_index`` wrote, upserted by (index, chunk, signature): the newest batch of a key wins."""
+    rows = spark.read.parquet(sink)
+    columns = [c for c in rows.columns if c != "batch"]
+    return upsert_embeddings(rows.select(*columns).limit(0), rows.withColumnRenamed("batch", "seq"))
+
+
 def stream_run_status(events: DataFrame) -> DataFrame:
     """(run_id, status, cancel_requested, n_events) after each batch of (run_id, seq, status).
 
