@@ -13,7 +13,7 @@ STEP_PROGRESS = {"QUEUED": 0, "EXTRACTING": 5, "CHUNKING": 20, "EMBEDDING": 60,
 
 def _newest() -> list[Column]:
     """Order keys whose minimum is the newest run and, of these, the one with the smallest id, which may be of any type."""
-    return [F.col("created_at").isNull().alias("_none"), (-F.unix_micros("created_at")).alias("_age"), F.col("id").alias("_tie")]
+    return [F.col("created_at").isNull().alias("_none"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_age"), F.col("id").alias("_tie")]
 
 
 def latest_runs(indexes: DataFrame, by: tuple[str, ...] = ("project_id",), statuses=None, signature: str | None = None, projects: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from docspark.operators import questions as Q
 from docspark.operators import runs as R
 from docspark.operators import vector as V
 from docspark.sources import tables as S
+from docspark.sources.staging import stage
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,6 +40,32 @@ TOPK = 10
 # --- sources, normalisers ------------------------------------------------------------------------
 
 
+@register("s1_read_documents")
+def s1(spark, d):
+    """The files of all tables, as stored documents."""
+    files = S.read_documents(spark, f"{d}/*.parquet")
+    return S.parse_storage_path(files).select("file_name", "length")
+
+
+@register("s3_load_tables", "SELECT n.n_nationkey::BIGINT AS id, r.r_name AS region, NULL::VARCHAR AS message FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
+def s3(spark, d):
+    """Tables with the columns their schema names, one of which the files lack."""
+    kinds = {f.name: f.dataType.simpleString() for f in t(spark, d, "nation").schema}
+    got = S.load_tables(spark, d, ("nation", "region"), {"nation": ", ".join(f"{c} {kinds[c]}" for c in ("n_nationkey", "n_regionkey")) + ", message string"})
+    return got["nation"].join(got["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("id"), F.col("r_name").alias("region"), "message")
+
+
+@register("s4_write_chunks", "SELECT doc_id, lang, length(text)::BIGINT AS chars FROM documents")
+def s4(spark, d):
+    """Documents appended in two batches, of which one is written again, and one without rows."""
+    at = f"{S.work_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
+    even = F.col("doc_id") % 2 == 0
+    for batch, rows in ((1, even), (2, ~even), (2, ~even), (3, F.lit(False))):
+        S.write_chunks(docs.where(rows), at, ("lang",), batch)
+    return spark.read.parquet(at).select("doc_id", "lang", "chars")
+
+
 @register("s2_storage_path", "SELECT page_id, string_split(regexp_replace(url, '[?#].*', ''), '/')[-1] AS file_name, string_split(regexp_replace(url, '[?#].*', ''), '/')[-2] AS project_id FROM pages")
 def s2(spark, d):
     return S.parse_storage_path(t(spark, d, "pages"), "url").select("page_id", "file_name", "project_id")
@@ -65,6 +94,18 @@ def n2(spark, d):
     return t(spark, d, "documents").select("doc_id", N.normalize_prose(F.col("text")).alias("text"))
 
 
+def broken(text):
+    """Words of six letters and more, broken at a line's end or before a space."""
+    at_line = F.regexp_replace(text, "([a-z]{3})([a-z]{3})", "$1-\n$2")
+    return F.when(F.col("doc_id") % 2 == 0, at_line).otherwise(F.regexp_replace(text, "([a-z]{3})([a-z]{3})", "$1- $2"))
+
+
+@register("n2_broken_words", ORACLE_SQL["n2_normalize_prose"])
+def n2_broken(spark, d):
+    """Breaks put into all documents go again."""
+    return t(spark, d, "documents").select("doc_id", N.normalize_prose(broken(F.col("text"))).alias("text"))
+
+
 @register("n4_normalize_paragraphs", r"SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM documents")
 def n4(spark, d):
     return t(spark, d, "documents").select("doc_id", N.normalize_paragraphs(F.col("text")).alias("text"))
@@ -90,21 +131,22 @@ def n7(spark, d):
 _KIND = "CASE turn % 5 WHEN 0 THEN 'section_head' WHEN 1 THEN 'equation' WHEN 2 THEN 'list_item' WHEN 3 THEN 'table' ELSE 'paragraph' END"
 
 
-def turns(spark, d, whole=False):
-    """Turns as blocks of five kinds: the first line of each, which SQL can follow, or the whole text."""
+def turns(spark, d):
+    """Turns as blocks of five kinds."""
     kind = F.element_at(F.array(*[F.lit(k) for k in ("section_head", "equation", "list_item", "table", "paragraph")]), (F.col("turn") % 5 + 1).cast("int"))
     label = F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string"))
-    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), kind.alias("kind"), label.alias("equation_label"), (F.col("text") if whole else F.split("text", "\n")[0]).alias("text"))
+    return t(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("pos"), kind.alias("kind"), label.alias("equation_label"), "text")
 
 
-@register("n3_by_kind", rf"SELECT conv_id AS doc_id, turn::INTEGER AS pos, trim(regexp_replace(string_split(text, chr(10))[1], '[ \t]{{2,}}', ' ', 'g')) AS text FROM conversations")
-def n3(spark, d):
-    return turns(spark, d).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
+_BLANK = "' ' || chr(10) || chr(9) || chr(13)"
+_BY_KIND = rf"""SELECT doc_id, pos, trim(regexp_replace(CASE WHEN kind IN ('equation', 'table') THEN s ELSE regexp_replace(regexp_replace(s, '([^\n])\n([^\n])', '\1 \2', 'g'), '([^\n])\n([^\n])', '\1 \2', 'g') END, '[ \t]{{2,}}', ' ', 'g'), {_BLANK}) AS text
+FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, trim(coalesce(text, ''), {_BLANK}) AS s FROM conversations)"""
 
 
-@register("n3_by_kind_whole")
-def n3_whole(spark, d):
-    return turns(spark, d, True).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
+@register("n3_by_kind", _BY_KIND)
+@register("n3_by_kind_whole", _BY_KIND)
+def n3(spark, d):
+    return turns(spark, d).select("doc_id", "pos", N.normalize_by_kind(F.col("text"), F.col("kind")).alias("text"))
 
 
 @register("n5_inline_titles")
@@ -142,24 +184,22 @@ def x1_tei(spark, d):
     return X.extract_tei(tei(spark, d)).select("doc_id", "kind", "text")
 
 
-@register("c1_render", f"""SELECT doc_id, pos, CASE kind WHEN 'section_head' THEN '## ' || s WHEN 'equation' THEN CASE WHEN pos % 2 = 1 THEN '(' || pos || ') ' ELSE '' END || s WHEN 'list_item' THEN '- ' || s WHEN 'table' THEN 'Table: ' || s ELSE s END AS rendered
-FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, trim(string_split(text, chr(10))[1]) AS s FROM conversations) WHERE s <> ''""")
-def c1(spark, d):
-    return C.render_blocks(turns(spark, d)).where("rendered <> ''").select("doc_id", "pos", "rendered")
+_RENDERED = f"""SELECT doc_id, pos, CASE kind WHEN 'section_head' THEN '## ' || s WHEN 'equation' THEN CASE WHEN pos % 2 = 1 THEN '(' || pos || ') ' ELSE '' END || s WHEN 'list_item' THEN '- ' || s WHEN 'table' THEN 'Table: ' || s ELSE s END AS rendered
+FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, trim(text, {_BLANK}) AS s FROM conversations) WHERE s <> ''"""
 
 
-@register("c1_render_whole")
-def c1_whole(spark, d):
-    return C.render_blocks(turns(spark, d, True)).where("rendered <> ''").select("doc_id", "pos", "rendered")
+@register("c1_render", _RENDERED)
+@register("c1_render_whole", _RENDERED)
+def c1(spark, d):
+    return C.render_blocks(turns(spark, d)).where("rendered <> ''").select("doc_id", "pos", "rendered")
 
 
-@register("x4_heads_whole")
-def x4_whole(spark, d):
-    return X.propagate_heads(turns(spark, d, True)).select("doc_id", "pos", "head", "div_index")
+_HEADS = f"""SELECT doc_id, pos, last_value(CASE WHEN kind = 'section_head' THEN s END IGNORE NULLS) OVER w AS head, greatest(sum((kind = 'section_head')::INTEGER) OVER w - 1, 0)::INTEGER AS div_index
+FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, text AS s FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 
 
-@register("x4_heads", f"""SELECT doc_id, pos, last_value(CASE WHEN kind = 'section_head' THEN s END IGNORE NULLS) OVER w AS head, greatest(sum((kind = 'section_head')::INTEGER) OVER w - 1, 0)::INTEGER AS div_index
-FROM (SELECT conv_id AS doc_id, turn::INTEGER AS pos, {_KIND} AS kind, string_split(text, chr(10))[1] AS s FROM conversations) WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@register("x4_heads", _HEADS)
+@register("x4_heads_whole", _HEADS)
 def x4(spark, d):
     return X.propagate_heads(turns(spark, d)).select("doc_id", "pos", "head", "div_index")
 
@@ -202,9 +242,13 @@ def c7(spark, d):
     return C.chunk_chars(t(spark, d, "documents"), 1200, 200)
 
 
-@register("c8_paragraphs", r"SELECT doc_id, 0 AS para_index, (length(text) - length(ltrim(text, chr(10))))::INTEGER AS char_start, length(text)::INTEGER AS char_end, trim(text, ' ' || chr(10) || chr(9)) AS text FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> '' AND NOT contains(text, chr(10) || chr(10))")
+@register("c8_paragraphs", r"""
+WITH p AS (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10)) AS ps FROM documents)),
+a AS (SELECT *, coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, trim(p, ' ' || chr(10) || chr(9) || chr(13)) AS s FROM p)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS para_index, (st + length(p) - length(ltrim(p, chr(10))))::INTEGER AS char_start, (st + length(p))::INTEGER AS char_end, s AS text FROM a WHERE s <> ''""")
 def c8(spark, d):
-    return C.split_paragraphs(t(spark, d, "documents"))
+    """Documents with a blank line behind each sentence."""
+    return C.split_paragraphs(t(spark, d, "documents").select("doc_id", F.regexp_replace("text", "([.!?]) ", "$1\n\n").alias("text")))
 
 
 @register("c10_chunk_paragraphs")
@@ -226,12 +270,15 @@ def e1(spark, d):
     return t(spark, d, "embeddings").select("vec_id", E.embed_signature(F.lit("local"), F.concat(F.lit("m"), F.col("label")), F.lit(16), dims).alias("signature"))
 
 
-@register("e2_invalid_configs", "SELECT event_id, ['k'] [1] AS unknown_key FROM events")
+@register("e2_invalid_configs", "SELECT event_id, event_type AS unknown_key FROM events WHERE event_id % 3 <> 0")
 def e2(spark, d):
-    return E.invalid_configs(t(spark, d, "events"), "props").select("event_id", F.explode("unknown_keys").alias("unknown_key"))
+    """Configurations with known keys, and for two of three events one named like the event."""
+    extra = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(', "'), "event_type", F.lit('": 1'))).otherwise("")
+    config = F.concat(F.lit('{"provider": "local", "model": "m"'), extra, F.lit(', "batch_size": '), F.col("event_id") % 50, F.lit("}"))
+    return E.invalid_configs(t(spark, d, "events").withColumn("config", config)).select("event_id", F.explode("unknown_keys").alias("unknown_key"))
 
 
-@register("e3_embed")
+@register("e3_embed", r"SELECT doc_id, 64 AS dims, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm2 FROM documents")
 def e3(spark, d):
     return E.embed(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
@@ -247,9 +294,10 @@ def e4(spark, d):
     return E.alignment_errors(a, b).select("chunk_index", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("has_chunk", "has_vector")])
 
 
-@register("e5_dims", "SELECT label::VARCHAR AS index_id, (vec_id % 2)::VARCHAR AS embed_signature, count(DISTINCT len(embedding)) AS n_dims FROM embeddings GROUP BY ALL HAVING count(DISTINCT len(embedding)) > 1")
+@register("e5_dims", "SELECT label::VARCHAR AS index_id, (vec_id % 2)::VARCHAR AS embed_signature, count(DISTINCT CASE WHEN vec_id % 14 = 0 THEN 32 ELSE len(embedding) END) AS n_dims FROM embeddings GROUP BY ALL HAVING count(DISTINCT CASE WHEN vec_id % 14 = 0 THEN 32 ELSE len(embedding) END) > 1")
 def e5(spark, d):
-    return E.check_dims(stored(spark, d))
+    """Vectors of which every fourteenth has lost half its dimensions."""
+    return E.check_dims(stored(spark, d).withColumn("embedding", F.when(F.col("chunk_id") % 14 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))))
 
 
 @register("e6_upsert", "SELECT label::VARCHAR AS index_id, vec_id AS chunk_id, (CASE WHEN vec_id % 3 = 0 THEN vec_id + 1000 ELSE vec_id END)::INTEGER AS chunk_index FROM embeddings")
@@ -287,6 +335,22 @@ for _id, _metric in (("v1", "cosine"), ("v2", "l2"), ("v3", "inner_product")):
         return V.vector_topk(e.where("vec_id % 100 = 0"), e, TOPK, metric, "label", "vec_id", "vec_id")
 
 
+@register("v1_scoped", f"""
+WITH v AS (SELECT vec_id, label, vec_id % 2 AS sig, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v q JOIN v ON q.label = v.label AND q.sig = v.sig WHERE q.vec_id % 100 = 0)
+SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= {TOPK}""")
+def v1_scoped(spark, d):
+    """Within equal index and signature."""
+    return V.vector_topk(stored(spark, d).where("chunk_id % 100 = 0"), stored(spark, d), TOPK, "cosine", ["index_id", "embed_signature"], "chunk_id", "chunk_id")
+
+
+@register("v4_no_k", "SELECT vec_id AS query_id, vec_id AS chunk_id, 0::DOUBLE AS score, 1 AS rank FROM embeddings WHERE false")
+def v4(spark, d):
+    """k = 0 asks for nothing."""
+    e = t(spark, d, "embeddings")
+    return V.vector_topk(e, e, 0, "l2", "label", "vec_id", "vec_id")
+
+
 # --- text search ------------------------------------------------------------------------------------
 
 
@@ -308,21 +372,65 @@ def l2(spark, d):
     return L.parse_queries(t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).where("term <> 'or'").select("query_id", "term")
 
 
+#: Different terms of each benchmark item.
+_ITEM = rf"""(SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{L.TERM}')) AS term FROM benchmark) WHERE term NOT IN ({_STOP}))"""
+
+
 @register("l3_all_terms", rf"""
-WITH q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '{L.TERM}')) AS term FROM benchmark) WHERE term NOT IN ({_STOP})),
-n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1), p AS (SELECT DISTINCT chunk_id, term FROM {_TERMS})
+WITH q AS {_ITEM}, n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1), p AS (SELECT DISTINCT chunk_id, term FROM {_TERMS})
 SELECT q.query_id, p.chunk_id FROM q JOIN p USING (term) JOIN n ON n.query_id = q.query_id GROUP BY q.query_id, p.chunk_id HAVING count(*) = max(need)""")
 def l3(spark, d):
-    words = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(words, "(?i)\\bor\\b", "").alias("query"))
-    return L.fts_match(L.build_postings(doc_chunks(spark, d)), L.parse_queries(q)).select("query_id", "chunk_id")
-
-
-#: Two rewrites of each benchmark item: its longest and its second longest term.
-_REWRITE = rf"""(SELECT query_id, q_idx, term FROM (SELECT item_id AS query_id, term, (row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term) - 1)::INTEGER AS q_idx FROM (
-  SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{L.TERM}')) AS term FROM benchmark) WHERE term NOT IN ({_STOP}))) WHERE q_idx < 2)"""
-_FTS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_idx ORDER BY score DESC, chunk_id) AS rk FROM (SELECT r.query_id, r.q_idx, p.chunk_id, round(0.1 * count(*), 6)::DOUBLE AS score
-  FROM {_REWRITE} r JOIN {_TERMS} p USING (term) GROUP BY ALL)) WHERE rk <= {TOPK})"""
+    """Every term of the whole item, "or" being no operator."""
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "(?i)\\bor\\b", "").alias("query"))
+    return matched(spark, d, q)
+
+
+def matched(spark, d, q) -> DataFrame:
+    parsed = stage(L.parse_queries(q), "parsed-queries")
+    return L.fts_match(L.asked_postings(doc_chunks(spark, d), parsed), parsed).select("query_id", "chunk_id")
+
+
+@register("l3_syntax", rf"""
+WITH w AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '{L.TERM}') AS w FROM benchmark),
+ph AS (SELECT query_id, i, w[i] AS term FROM (SELECT query_id, w, unnest([1, 2, 3]) AS i FROM w) WHERE w[i] NOT IN ({_STOP})),
+np AS (SELECT query_id, count(*) AS n FROM ph GROUP BY 1),
+hit AS (SELECT query_id, chunk_id, pos - i AS s, count(*) AS n FROM ph JOIN {_TERMS} t USING (term) GROUP BY ALL),
+one AS (SELECT DISTINCT h.query_id, h.chunk_id FROM hit h JOIN np ON np.query_id = h.query_id AND np.n = h.n),
+tail AS (SELECT DISTINCT query_id, w[len(w) - i] AS term FROM (SELECT query_id, w, unnest([0, 1]) AS i FROM w) WHERE w[len(w) - i] NOT IN ({_STOP})),
+nt AS (SELECT query_id, count(*) AS n FROM tail GROUP BY 1),
+ban AS (SELECT w.query_id, t.chunk_id FROM w JOIN {_TERMS} t ON t.term = w.w[4] AND w.w[4] NOT IN ({_STOP})),
+two AS (SELECT query_id, chunk_id FROM tail JOIN {_TERMS} t USING (term) GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT n FROM nt WHERE nt.query_id = tail.query_id))
+SELECT query_id, chunk_id FROM one UNION SELECT query_id, chunk_id FROM two WHERE NOT EXISTS (SELECT 1 FROM ban WHERE ban.query_id = two.query_id AND ban.chunk_id = two.chunk_id)""")
+def l3_syntax(spark, d):
+    """A phrase of the item's first three words, or its last two words without its fourth."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0))
+    text = F.concat(F.lit('"'), F.array_join(F.slice(w, 1, 3), " "), F.lit('" or '), F.element_at(w, -2), F.lit(" "), F.element_at(w, -1), F.lit(" -"), F.element_at(w, 4))
+    return matched(spark, d, t(spark, d, "benchmark").where(F.size(w) > 3).select(F.col("item_id").alias("query_id"), text.alias("query")))
+
+
+#: Rewrites of each item as (query_id, q_idx, clause, term): all its terms; its two longest terms; either of these.
+_ASK = f"""(SELECT query_id, 0 AS q_idx, 0 AS clause, term FROM {_ITEM} UNION ALL SELECT query_id, unnest([1, 2]) AS q_idx, unnest([0, r]) AS clause, term FROM (
+  SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY length(term) DESC, term) AS r FROM {_ITEM}) WHERE r <= 2)"""
+
+
+def _ranked_sql(ask: str) -> str:
+    """Cover density of the clauses of ``ask`` in SQL: windows that end at a word begin at the least of the last places of all terms held."""
+    return f"""(
+  WITH ask AS (SELECT * FROM {ask}), p AS MATERIALIZED (SELECT * FROM {_TERMS} WHERE term IN (SELECT term FROM ask)),
+  need AS (SELECT query_id, q_idx, clause, count(*) AS n FROM ask GROUP BY ALL),
+  ok AS (SELECT a.query_id, a.q_idx, a.clause, p.chunk_id FROM ask a JOIN (SELECT DISTINCT chunk_id, term FROM p) p USING (term) JOIN need n ON n.query_id = a.query_id AND n.q_idx = a.q_idx AND n.clause = a.clause GROUP BY ALL HAVING count(*) = max(n.n)),
+  held AS (SELECT DISTINCT o.query_id, o.q_idx, o.chunk_id, a.term FROM ok o JOIN ask a ON a.query_id = o.query_id AND a.q_idx = o.q_idx AND a.clause = o.clause),
+  ev AS (SELECT h.*, p.pos FROM held h JOIN p ON p.chunk_id = h.chunk_id AND p.term = h.term),
+  k AS (SELECT query_id, q_idx, chunk_id, count(*) AS k FROM held GROUP BY ALL),
+  l AS (SELECT e.query_id, e.q_idx, e.chunk_id, e.pos, max(f.pos) AS last FROM ev e JOIN ev f ON f.query_id = e.query_id AND f.q_idx = e.q_idx AND f.chunk_id = e.chunk_id AND f.pos <= e.pos GROUP BY e.query_id, e.q_idx, e.chunk_id, e.pos, f.term),
+  w AS (SELECT l.query_id, l.q_idx, l.chunk_id, l.pos, min(last) AS s, max(k.k) AS k FROM l JOIN k ON k.query_id = l.query_id AND k.q_idx = l.q_idx AND k.chunk_id = l.chunk_id GROUP BY ALL HAVING count(*) = max(k.k)),
+  m AS (SELECT query_id, q_idx, chunk_id, s, k, min(pos) AS e FROM w GROUP BY ALL),
+  scored AS (SELECT query_id, q_idx, chunk_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - k, 0))), 6) AS score FROM m GROUP BY ALL)
+  SELECT query_id, q_idx::INTEGER AS q_idx, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_idx ORDER BY score DESC, chunk_id) AS rk FROM scored) WHERE rk <= {TOPK})"""
+
+
+_REWRITE = f"(SELECT DISTINCT query_id, q_idx FROM {_ASK})"
+_FTS = _ranked_sql(_ASK)
 _VEC = f"""(SELECT * FROM (SELECT r.query_id, r.q_idx, v.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY r.query_id, r.q_idx ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rk
   FROM {_REWRITE} r JOIN embeddings q ON q.vec_id = r.query_id JOIN embeddings v ON true) WHERE rk <= {TOPK})"""
@@ -333,11 +441,12 @@ _RANKED = f"(SELECT *, rank FROM (SELECT *, row_number() OVER (PARTITION BY quer
 
 
 def rewrites(spark, d):
-    from pyspark.sql import Window
-
-    terms = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0)))).alias("term")).where(~F.col("term").isin(*L.STOP_WORDS))
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("term").desc(), "term")) - 1
-    return terms.withColumn("q_idx", n).where("q_idx < 2")
+    """Three rewrites of each whole item: all its terms; its two longest terms; either of these."""
+    terms = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0))), lambda w: ~w.isin(*L.STOP_WORDS))
+    longest = F.slice(F.transform(F.array_sort(F.transform("w", lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"]), 1, 2)
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("w")).where(F.size("w") > 0)
+    texts = F.array(F.array_join("w", " "), F.array_join(longest, " "), F.array_join(longest, " or "))
+    return asked.select("query_id", F.posexplode(texts).alias("q_idx", "term"))
 
 
 def whole_items(spark, d):
@@ -349,33 +458,49 @@ def whole_items(spark, d):
     return asked.select("query_id", F.lit(0).alias("q_idx"), F.array_join(F.concat(F.array(phrase), terms), " or ").alias("term"))
 
 
+def text_hits(spark, d, r) -> DataFrame:
+    text = r.select((F.col("query_id") * 10 + F.col("q_idx")).alias("query_id"), F.col("term").alias("query"))
+    return L.search_text(text, doc_chunks(spark, d), TOPK).select(*_split(), F.lit("fts").alias("source"))
+
+
+def _split() -> list:
+    return [F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("q_idx"), "chunk_id", "score"]
+
+
 def hits(spark, d, ask=rewrites):
-    """Vector and text hits of every rewrite, TOPK each."""
+    """Vector and text hits of every rewrite, TOPK each, written once. An item is embedded by the vector of its number."""
     r = ask(spark, d)
     e = t(spark, d, "embeddings")
     asked = r.select("query_id", "q_idx").join(e.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     asked = asked.select((F.col("query_id") * 10 + F.col("q_idx")).alias("query_id"), "embedding")
-    split = [F.floor(F.col("query_id") / 10).cast("long").alias("query_id"), (F.col("query_id") % 10).cast("int").alias("q_idx"), "chunk_id", "score"]
-    vec = V.vector_topk(asked, e, TOPK, "cosine", None, "query_id", "vec_id").select(*split, F.lit("vector").alias("source"))
-    text = r.select((F.col("query_id") * 10 + F.col("q_idx")).alias("query_id"), F.col("term").alias("query"))
-    fts = L.fts_topk(text, L.build_postings(doc_chunks(spark, d)), TOPK).select(*split, F.lit("fts").alias("source"))
-    return vec, fts
+    vec = V.vector_topk(asked, e, TOPK, "cosine", None, "query_id", "vec_id").select(*_split(), F.lit("vector").alias("source"))
+    return stage(vec, "vector-hits"), stage(text_hits(spark, d, r), "text-hits")
 
 
 @register("l4_fts_topk", f"SELECT query_id, q_idx, chunk_id, score FROM {_FTS}")
 def l4(spark, d):
-    return hits(spark, d)[1].drop("source")
+    return text_hits(spark, d, rewrites(spark, d)).drop("source")
+
+
+@register("l4_scoped", f"""SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT query_id, chunk_id, round(0.1::DOUBLE * n, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.1::DOUBLE * n, 6) DESC, chunk_id) AS rank FROM (
+  SELECT q.query_id, p.chunk_id, count(*) AS n FROM (SELECT doc_id AS query_id, lang, source, unnest(list_slice(list_filter(regexp_extract_all(lower(text), '{L.TERM}'), lambda x: x NOT IN ({_STOP})), 1, 1)) AS term FROM documents WHERE doc_id % 100 = 0) q
+  JOIN {_TERMS} p USING (term) JOIN documents d ON d.doc_id = p.chunk_id AND d.lang = q.lang AND d.source = q.source GROUP BY ALL)) WHERE rank <= {TOPK}""")
+def l4_scoped(spark, d):
+    """The first term of every hundredth document asks within its language and source."""
+    docs = t(spark, d, "documents")
+    first = F.get(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0)), lambda w: ~w.isin(*L.STOP_WORDS)), F.lit(0))
+    q = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "lang", "source", first.alias("query")).where("query IS NOT NULL")
+    return L.search_text(q, docs.select(F.col("doc_id").alias("chunk_id"), "lang", "source", "text"), TOPK, by=("lang", "source"))
 
 
 @register("l3_whole_items")
 def l3_whole(spark, d):
-    q = whole_items(spark, d).select("query_id", F.col("term").alias("query"))
-    return L.fts_match(L.build_postings(doc_chunks(spark, d)), L.parse_queries(q)).select("query_id", "chunk_id")
+    return matched(spark, d, whole_items(spark, d).select("query_id", F.col("term").alias("query")))
 
 
 @register("l4_whole_items")
 def l4_whole(spark, d):
-    return hits(spark, d, whole_items)[1].drop("source")
+    return text_hits(spark, d, whole_items(spark, d)).drop("source")
 
 
 @register("f1_minmax", f"SELECT query_id, q_idx, chunk_id, round(norm, 6) AS norm FROM {_NORM(_VEC)}")
@@ -383,13 +508,13 @@ def f1(spark, d):
     return H.minmax_scores(hits(spark, d)[0]).select("query_id", "q_idx", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
-def hybrid(spark, d, ask=rewrites):
-    vec, fts = map(H.minmax_scores, hits(spark, d, ask))
+def hybrid(spark, d, ask=rewrites, found=None):
+    vec, fts = map(H.minmax_scores, found or hits(spark, d, ask))
     return H.hybrid_scores(vec, fts)
 
 
-def ranked(spark, d, ask=rewrites):
-    fused = H.dedupe_rewrites(hybrid(spark, d, ask)).withColumn("score", F.round("score", 9))
+def ranked(spark, d, ask=rewrites, found=None):
+    fused = H.dedupe_rewrites(hybrid(spark, d, ask, found)).withColumn("score", F.round("score", 9))
     return H.fuse_topk(fused, TOPK)
 
 
@@ -410,8 +535,8 @@ def f4(spark, d):
 
 @register("f5_stats", f"SELECT a.query_id, total_candidates, unique_candidates, least(unique_candidates, {TOPK}) AS selected FROM (SELECT query_id, count(*) AS total_candidates, count(DISTINCT chunk_id) AS unique_candidates FROM (SELECT query_id, chunk_id FROM {_VEC} UNION ALL SELECT query_id, chunk_id FROM {_FTS}) GROUP BY 1) a")
 def f5(spark, d):
-    vec, fts = hits(spark, d)
-    return H.fusion_stats(vec, fts, ranked(spark, d))
+    found = hits(spark, d)
+    return H.fusion_stats(*found, ranked(spark, d, found=found))
 
 
 @register("f6_hydrate", f"SELECT r.query_id, r.rank::INTEGER AS rank, d.doc_id AS chunk_id, d.text FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id")
@@ -422,23 +547,35 @@ def f6(spark, d):
 @register("f7_rerank", f"""WITH r AS (SELECT query_id, chunk_id, rank, count(*) OVER (PARTITION BY query_id) AS n FROM {_RANKED})
 SELECT query_id, chunk_id, final_rank::INTEGER AS final_rank FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 1 AND rank <= 3 THEN 3 - rank END NULLS LAST, rank) AS final_rank FROM r) WHERE final_rank <= 5""")
 def f7(spark, d):
-    r = ranked(spark, d)
+    r = stage(ranked(spark, d), "ranked")
     order = r.where("rank <= 3").groupBy("query_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("rank", "chunk_id")))), lambda x: x["chunk_id"]).alias("ranking"))
     return H.apply_rerank(r, order, 5).select("query_id", "chunk_id", "final_rank")
 
 
 def packs(spark, d, ask=rewrites):
-    return H.build_context_pack(H.hydrate(ranked(spark, d, ask), doc_chunks(spark, d)))
+    """Packs of every item: chunks with their index, and language and source as meta where the document has an even number."""
+    meta = F.when(F.col("chunk_id") % 2 == 0, F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")))
+    chunks = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source").withColumns({"meta": meta, "chunk_index": (F.col("chunk_id") % 1000).cast("int")})
+    sub_queries = rewrites(spark, d).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("q_idx", "term"))), lambda x: x["term"]).alias("sub_queries"))
+    return H.build_context_pack(H.hydrate(ranked(spark, d, ask), chunks.drop("lang", "source")), queries=sub_queries).where(F.size("chunks") > 0)
+
 
+_CARD = "'#' || i || ' id=' || chunk_id || ' index=' || chunk_id % 1000 || ' score=' || printf('%.6f', score) || chr(10) || text || chr(10) || 'signals: matched_by=[' || replace(matched_by, ',', ', ') || ']'"
+_SUB = rf"""(SELECT query_id, 'Supporting sub-queries:' || chr(10) || '- ' || array_to_string(ts, ' ') || chr(10) || '- ' || array_to_string(two, ' ') || chr(10) || '- ' || array_to_string(two, ' or ') || chr(10) || chr(10) AS head FROM (
+  SELECT query_id, list(term ORDER BY place) AS ts, list(term ORDER BY length(term) DESC, term)[1:2] AS two FROM (
+    SELECT item_id AS query_id, w[i] AS term, min(i) AS place FROM (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '{L.TERM}') AS w FROM benchmark)) WHERE w[i] NOT IN ({_STOP}) GROUP BY 1, 2) GROUP BY 1))"""
 
-@register("f11_rerank_prompts", f"SELECT query_id, string_agg('#' || i || ' id=' || chunk_id || ' score=' || printf('%.6f', score) || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY i) AS prompt FROM (SELECT r.query_id, r.chunk_id, round(r.score, 9) AS score, d.text, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS i FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id) GROUP BY query_id")
+
+@register("f11_rerank_prompts", f"""SELECT query_id, any_value(head) || string_agg({_CARD}, chr(10) || '---' || chr(10) ORDER BY i) AS prompt
+FROM (SELECT r.query_id, r.chunk_id, round(r.score, 9) AS score, r.matched_by, d.text, row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1 AS i FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id) JOIN {_SUB} s USING (query_id) GROUP BY query_id""")
 def f11(spark, d):
     return H.rerank_prompts(packs(spark, d)).select("query_id", "prompt")
 
 
-@register("f9_context_pack", f"SELECT query_id, rank::INTEGER AS rank, chunk_id, round(round(score, 9), 6) AS score, matched_by FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id")
+@register("f9_context_pack", f"""SELECT query_id, rank::INTEGER AS rank, chunk_id, (chunk_id % 1000)::INTEGER AS chunk_index, round(round(score, 9), 6) AS score, matched_by,
+  CASE WHEN chunk_id % 2 = 0 THEN '{{"lang":"' || lang || '","source":"' || source || '"}}' END AS citation FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id""")
 def f9(spark, d):
-    return packs(spark, d).select("query_id", F.inline("chunks")).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("matched_by", ",").alias("matched_by"))
+    return packs(spark, d).select("query_id", F.inline("chunks")).select("query_id", "rank", "chunk_id", "chunk_index", F.round("score", 6).alias("score"), F.array_join("matched_by", ",").alias("matched_by"), "citation")
 
 
 @register("hybrid_context", f"SELECT query_id, substring(string_agg('[' || i || '] ' || text, chr(10) || chr(10) ORDER BY i), 1, 12000) AS context FROM (SELECT r.query_id, d.text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM {_RANKED} r JOIN documents d ON d.doc_id = r.chunk_id) GROUP BY query_id")
@@ -456,26 +593,40 @@ def hybrid_context_whole(spark, d):
 # --- query preparation -----------------------------------------------------------------------------------
 
 
+_SENTENCES = r"list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '')"
+
+
 def asked(spark, d):
-    w = F.split("text", " ")
-    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.get(w, F.lit(0)), F.upper(F.get(w, F.lit(0))), F.lit("  "), F.get(w, F.lit(1)), F.lit("NLP of PDF")).alias("rewrites"), F.col("text").alias("original"))
+    """The sentences of each item as rewrites, the first once more in capitals, and a blank one."""
+    sentences = F.split("text", "[.!?]")
+    return t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(sentences, F.array(F.upper(F.get(sentences, F.lit(0))), F.lit("  "))).alias("rewrites"), F.col("text").alias("original"))
 
 
-@register("q1_rewrites", r"SELECT item_id AS query_id, CASE WHEN lower(w[1]) = lower(w[2]) THEN w[1] || '|NLP of PDF' ELSE w[1] || '|' || w[2] || '|NLP of PDF' END AS queries FROM (SELECT item_id, list_transform(string_split(text, ' '), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))) AS w FROM benchmark)")
+@register("q1_rewrites", rf"""SELECT query_id, array_to_string(CASE WHEN len(few) = 0 THEN [o] WHEN len(few) < 2 AND NOT list_contains(list_transform(few, lambda x: lower(x)), lower(o)) THEN list_append(few, o) ELSE few END, '|') AS queries FROM (
+  SELECT item_id AS query_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS o, list_filter(s, lambda x, i: list_position(list_transform(s, lambda y: lower(y)), lower(x)) = i)[1:4] AS few FROM (
+    SELECT item_id, text, list_filter(list_append({_SENTENCES}, upper(trim(regexp_replace(regexp_split_to_array(text, '[.!?]')[1], '\s+', ' ', 'g')))), lambda x: x <> '') AS s FROM benchmark))""")
 def q1(spark, d):
     return Q.normalize_rewrites(asked(spark, d)).select("query_id", F.array_join("queries", "|").alias("queries"))
 
 
-@register("q2_parse_rewrites", "SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'a|b' WHEN 1 THEN 'one' ELSE '' END AS rewrites, CASE WHEN item_id % 3 = 0 THEN 'multi' END AS strategy FROM benchmark")
+@register("q2_parse_rewrites", rf"""SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN array_to_string({_SENTENCES}, '|') WHEN 1 THEN text ELSE '' END AS rewrites, CASE WHEN item_id % 3 = 0 THEN 'multi' END AS strategy FROM benchmark""")
 def q2(spark, d):
-    reply = F.when(F.col("item_id") % 3 == 0, '{"queries": ["a", "b"], "strategy": "multi"}').when(F.col("item_id") % 3 == 1, '{"queries": "one"}').otherwise("not json")
+    """Replies with the item's sentences, with its whole text, and cut off in the middle."""
+    sentences = F.filter(F.transform(F.split("text", "[.!?]"), N.collapse_ws), lambda x: x != "")
+    many = F.to_json(F.struct(sentences.alias("queries"), F.lit("multi").alias("strategy")))
+    k = F.col("item_id") % 3
+    reply = F.when(k == 0, many).when(k == 1, F.to_json(F.struct(F.col("text").alias("queries")))).otherwise(F.substring(many, F.lit(1), F.floor(F.length(many) / 2).cast("int")))
     return Q.parse_rewrites(t(spark, d, "benchmark").withColumn("reply", reply)).select(F.col("item_id").alias("query_id"), F.array_join("rewrites", "|").alias("rewrites"), "strategy")
 
 
-@register("q3_expand", r"""SELECT query_id, (unnest(generate_series(0, len(a) - 1)))::INTEGER AS q_idx, unnest(a) AS text FROM (SELECT item_id AS query_id, list_concat([string_split(text, ' ')[1], text], list_filter(['NLP'], lambda x: true)) AS a FROM (SELECT item_id, 'NLP ' || text AS text FROM benchmark)) WHERE false
-UNION ALL SELECT item_id, unnest([0, 1, 2])::INTEGER, unnest(['what is NLP', text, 'NLP']) FROM benchmark WHERE len(regexp_extract_all(text, '\b[A-Z]{2,8}\b')) = 0""")
+@register("q3_expand", r"""SELECT query_id, (unnest(generate_series(0, len(a) - 1)))::INTEGER AS q_idx, unnest(a) AS text FROM (
+  SELECT item_id AS query_id, list_concat([string_split(text, '.')[1], text || ' ' || up], CASE WHEN regexp_matches(up, '^[A-Z]{2,8}$') THEN [up] ELSE [] END) AS a FROM (
+    SELECT item_id, text, upper(regexp_extract(text, '^[A-Za-z]+')) AS up FROM benchmark) WHERE len(regexp_extract_all(text, '\b[A-Z]{2,8}\b')) = 0)""")
 def q3(spark, d):
-    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.lit("what is NLP"), F.lit(" ")).alias("rewrites"), F.col("text").alias("original"))
+    """The first sentence as rewrite of the item with its first word in capitals behind it."""
+    up = F.upper(F.regexp_extract("text", "^[A-Za-z]+", 0))
+    plain = t(spark, d, "benchmark").where(F.regexp_count("text", F.lit(r"\b[A-Z]{2,8}\b")) == 0)
+    q = plain.select(F.col("item_id").alias("query_id"), F.array(F.get(F.split("text", r"\."), F.lit(0)), F.lit(" ")).alias("rewrites"), F.concat("text", F.lit(" "), up).alias("original"))
     return Q.expand_queries(q)
 
 
@@ -552,6 +703,16 @@ def i8(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register("i8_files", "SELECT DISTINCT 'orders' AS name, o_orderstatus || '/' || o_orderkey AS path FROM orders WHERE o_custkey % 7 = 0 UNION ALL SELECT DISTINCT 'events', '/events/' || event_id FROM events WHERE user_id % 7 = 0 AND user_id IN (SELECT c_custkey FROM customer)")
+def i8_files(spark, d):
+    """Files of the orders and events, which both hang on the customers that go."""
+    c = t(spark, d, "customer")
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat("o_orderstatus", F.lit("/"), "o_orderkey").alias("path"))
+    events = t(spark, d, "events").select("event_id", "user_id", F.concat(F.lit("/events/"), "event_id").alias("path"))
+    tables = {"customer": (c, "c_custkey", None), "orders": (orders, "o_orderkey", "o_custkey"), "events": (events, "event_id", "user_id", "customer")}
+    return R.cascade_files(tables, c.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id")), {"orders": "path", "events": "path"})
+
+
 @register("i9_integrity", "SELECT 'unique_key' AS rule, (SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS n UNION ALL SELECT 'foreign_key', (SELECT count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey)) UNION ALL SELECT 'quantity', (SELECT count(*) FROM lineitem WHERE l_quantity > 40)")
 def i9(spark, d):
     return R.check_integrity(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], t(spark, d, "orders"), "l_orderkey", {"quantity": F.col("l_quantity") <= 40})
@@ -577,6 +738,25 @@ def m3(spark, d):
     return M.page_chats(S.chats(spark, d), limit=2, offset=1).select("id", "place")
 
 
+@register("m3_owned_chats", "SELECT id, owner_id, place::INTEGER AS place FROM (SELECT q.conv_id AS id, c.c_nationkey::BIGINT AS owner_id, row_number() OVER (PARTITION BY c.c_nationkey, c.c_custkey ORDER BY q.conv_id DESC) AS place FROM (SELECT DISTINCT conv_id FROM conversations) q JOIN customer c ON c.c_custkey = q.conv_id % 50) WHERE place <= 3")
+def m3_owned(spark, d):
+    """Pages by the owner of the chat's project."""
+    return M.page_chats(S.chats(spark, d), limit=3, projects=S.projects(spark, d)).select("id", "owner_id", "place")
+
+
+@register("m4_owned_recent", "SELECT conv_id AS chat_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT q.*, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations q JOIN customer c ON c.c_custkey = q.conv_id % 50 AND c.c_nationkey = 3) WHERE r <= 3")
+def m4_owned(spark, d):
+    """Of the chats whose project is owner 3's."""
+    return M.recent_messages(S.messages(spark, d), 3, chats=S.chats(spark, d), projects=S.projects(spark, d), owner=3).select("chat_id", (F.col("id") % 1000).alias("turn"), "place")
+
+
+@register("m6_owned_delete", "SELECT q.conv_id AS chat_id, count(*) AS deleted FROM conversations q JOIN customer c ON c.c_custkey = q.conv_id % 50 AND c.c_nationkey = q.conv_id % 25 GROUP BY 1")
+def m6_owned(spark, d):
+    """Every chat is asked for by some owner; those of other owners' projects stay."""
+    asked = S.chats(spark, d).select(F.col("id").alias("chat_id"), (F.col("id") % 25).alias("owner_id"))
+    return M.delete_messages(S.messages(spark, d), asked, S.chats(spark, d), S.projects(spark, d))[1]
+
+
 @register("m4_recent", "SELECT conv_id AS chat_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3")
 def m4(spark, d):
     return M.recent_messages(S.messages(spark, d), 3).select("chat_id", (F.col("id") % 1000).alias("turn"), "place")
@@ -612,6 +792,16 @@ def m10(spark, d):
     return M.hydrate_citations(cited(spark, d), chunks).select("message_id", "place", "chunk_id", "score", "text")
 
 
+@register("m10_hydrated", "SELECT c.conv_id * 1000 + c.turn AS message_id, c.role = 'assistant' AS cited, CASE WHEN c.role = 'assistant' THEN 2 ELSE 0 END AS n, CASE WHEN c.role = 'assistant' THEN d.text END AS first_content FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id")
+def m10_hydrated(spark, d):
+    """All messages, the citations of each in one row again."""
+    chunks = t(spark, d, "documents").select(F.lit("x").alias("index_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    others = S.messages(spark, d).where("role <> 'assistant'").select(F.col("id").alias("message_id"), F.lit(None).cast("string").alias("citations"))
+    found = M.hydrated_messages(cited(spark, d).select("message_id", "citations").unionByName(others), chunks)
+    chunk = F.col("cited.chunks")
+    return found.select("message_id", F.col("cited").isNotNull().alias("cited"), F.when(F.col("cited").isNotNull(), F.size(chunk)).otherwise(0).alias("n"), F.get(chunk, F.lit(0))["content"].alias("first_content"))
+
+
 @register("m9_citations_json", "SELECT conv_id * 1000 + turn AS message_id, 'cosine' AS metric, 2 AS n, conv_id::VARCHAR AS first_chunk FROM conversations WHERE role = 'assistant'")
 def m9(spark, d):
     again = M.parse_citations(M.serialize_citations(M.parse_citations(cited(spark, d))))
@@ -649,17 +839,20 @@ def m14(spark, d):
     return M.latest_answer(S.messages(spark, d)).select("chat_id", "content")
 
 
-@register("m15_tokens")
+_COUNT = r"len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]'))"
+
+
+@register("m15_tokens", f"SELECT conv_id AS chat_id, (sum(3 + {_COUNT}) + 3)::BIGINT AS n_tokens FROM conversations GROUP BY 1")
 def m15(spark, d):
     return M.count_message_tokens(S.messages(spark, d))
 
 
-@register("m16_breakdown")
+@register("m16_breakdown", rf"""SELECT conv_id * 1000 + turn AS question_id, 5::BIGINT AS system_tokens, 0::BIGINT AS context_tokens, n::BIGINT AS question_tokens, coalesce(h, 0)::BIGINT AS history_tokens FROM (
+  SELECT *, sum(CASE WHEN regexp_matches(text, '\S') THEN n ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS h FROM (SELECT *, {_COUNT} AS n FROM conversations)) WHERE role = 'user'""")
 def m16(spark, d):
-    m = S.messages(spark, d)
-    q = m.where("role = 'user'").select(F.col("id").alias("question_id"), F.lit("Answer from the context.").alias("system"), F.lit("").alias("context"), F.col("content").alias("question"), "chat_id")
-    turns = q.select("question_id", "chat_id").join(m.select("chat_id", "content", "id"), "chat_id").where("id < question_id")
-    return M.prompt_breakdown(q, turns)
+    """Questions with the last six turns before each."""
+    m = M.history_tokens(S.messages(spark, d)).where("role = 'user'")
+    return M.prompt_breakdown(m.select(F.col("id").alias("question_id"), F.lit("Answer from the context.").alias("system"), F.lit("").alias("context"), F.col("content").alias("question"), "history_tokens"))
 
 
 @register("m17_assemble", "SELECT conv_id AS answer_id, string_agg(text, '' ORDER BY turn) AS text, sum(length(text))::BIGINT AS n_tokens FROM conversations GROUP BY 1")
@@ -678,8 +871,6 @@ def m18(spark, d):
 
 def ran(spark, stream, mode: str = "append") -> DataFrame:
     """The rows that every batch of a stream gave, from a written table."""
-    import uuid
-
     at = f"{S.work_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
@@ -698,10 +889,12 @@ SELECT doc_id AS index_id, count(*) AS chunks, sum(length(s))::BIGINT AS chars F
   SELECT doc_id, trim(substring(text, p + 1, 1200), ' ' || chr(10) || chr(9) || chr(13)) AS s, p, n FROM (
     SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 1000)) AS p FROM documents) WHERE p = 0 OR p - 1000 + 1200 < n) WHERE s <> '' GROUP BY 1""")
 def t1(spark, d):
-    from docspark.streaming.jobs import index_batch
+    """All documents through ``stream_index``, read as what the batches upsert to."""
+    from docspark.streaming.jobs import read_index, stream_index
 
-    rows = index_batch(streamed(spark, d, "documents").select("doc_id", "text"))
-    return ran(spark, rows).groupBy("index_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    at = f"{S.work_folder(spark)}/index-{uuid.uuid4().hex}"
+    stream_index(streamed(spark, d, "documents").select("doc_id", "text"), f"{at}/rows", f"{at}/state").awaitTermination()
+    return read_index(spark, f"{at}/rows").groupBy("index_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 @register("t2_run_status", f"""
