@@ -1,62 +1,12 @@
-"""Tables that cut lineage, written to the folder all executors share."""
+"""Tables that cut lineage, and names and parts for the operators."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: Folders written and not yet released, oldest first.
-_folders: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only a local master gets a folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Later jobs start from these files, so an executor lost afterwards costs a
-    re-read, and a plan used several times runs once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _folders.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folder = path
-    return out
-
-
-def mark() -> int:
-    """A point in the list of staged tables, for ``release_since``."""
-    return len(_folders)
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete the files of staged tables that no later job reads: what was made of them is written."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._folder)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        if t._folder in _folders:
-            _folders.remove(t._folder)
-
-
-def release_since(point: int, spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
-    """Delete the tables staged since ``point`` but those in ``keep``."""
-    kept = {t._folder for t in keep}
-    for folder in [f for f in _folders[point:] if f not in kept]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        _folders.remove(folder)
+from docspark.sources.staging import mark, read_table, release, release_since, shared_folder, stage  # noqa: F401
 
 
 def free_name(columns: Iterable[str], name: str) -> str:
@@ -70,7 +20,3 @@ def free_name(columns: Iterable[str], name: str) -> str:
 def parallelism(spark: SparkSession) -> int:
     """Parts for a small table whose rows are much work each."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
