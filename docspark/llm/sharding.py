@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .staging import free_name, parallelism, stage
 
 #: Rows of a curve cell are spread over sub-runs of about so many, so that a cell of a third of all rows is many groups.
-RUN_ROWS = 16_384
+RUN_ROWS = 4096
 DIMENSION_BITS = 4
 #: Names up to this many are broadcast with their steps; more are joined by a shuffle.
 BROADCAST_NAMES = 50_000
