@@ -100,6 +100,15 @@ def test_inline_titles(spark):
     assert column(spark, texts, N.split_inline_titles) == want
 
 
+def test_spans_of_one_long_text(spark):
+    text = "  " + " ".join(f"Sentence {i} of one long text." for i in range(60_000)) + "\n"
+    began = time.time()
+    rows = C.split_sentences(spark.createDataFrame([(1, text), (2, None), (3, " ")], "doc_id int, text string"), 600).drop("text").collect()
+    assert time.time() - began < 20
+    assert {r["doc_id"] for r in rows} == {1} and all(r["piece"] == text.strip()[r["start"] : r["end"]].strip() and len(r["piece"]) <= 600 for r in rows)
+    assert [r["start"] for r in rows[1:]] == [r["end"] for r in rows[:-1]] and rows[0]["start"] == 0 and rows[-1]["end"] == len(text.strip())
+
+
 def test_linear_cost(spark):
     """A million spaces inside a text, and a hundred thousand paragraphs, in seconds."""
     spaces = "a" + " " * 1_000_000 + "b"
