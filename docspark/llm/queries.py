@@ -1,14 +1,15 @@
 """Queries of the training-data operators, one for each, and their SQL where SQL can express them.
 
-``url_rules``, ``pii_counts`` and ``shard_sizes`` hold the parts of operators 4,
-3 and 6 that SQL can express, so that an engine of its own confirms them.
+``url_rules``, ``pii_counts``, ``shard_sizes`` and ``whitening_deviations`` hold
+the parts of operators 4, 3, 6 and 13 that SQL can express, so that an engine of
+its own confirms them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, url_filter
+from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, url_filter, whitening
 from .staging import read_table
 
 
@@ -26,6 +27,10 @@ def shard_sizes(spark, d):
     return out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
 
 
+def whitening_deviations(spark, d):
+    return whitening.report(read_table(spark, d, "embeddings")).where("component = 1").select("vec_id", "n", "deviation")
+
+
 QUERIES = {
     "op1_mix_sources": lambda spark, d: mixing.report(read_table(spark, d, "documents")),
     "op2_embedding_neardup": lambda spark, d: embedding_neardup.report(read_table(spark, d, "embeddings")),
@@ -37,9 +42,11 @@ QUERIES = {
     "op8_quality_classifier": lambda spark, d: quality_model.report(read_table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.report(read_table(spark, d, "documents")),
     "op10_subword_lattice": lambda spark, d: lm_scoring.report(read_table(spark, d, "documents")),
+    "op13_embedding_whitening": lambda spark, d: whitening.report(read_table(spark, d, "embeddings")),
     "pii_counts": pii_counts,
     "shard_sizes": shard_sizes,
     "url_rules": url_rules,
+    "whitening_deviations": whitening_deviations,
 }
 
 _RULES = " ".join(
@@ -61,4 +68,5 @@ ORACLE_SQL = {
       FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "shard_sizes": """SELECT s::INTEGER AS shard, n, n AS slots, 0::BIGINT AS "first", n - 1 AS "last" FROM (
       SELECT s, (((s + 1) * m + 39) // 40 - (s * m + 39) // 40)::BIGINT AS n FROM range(40) r(s), (SELECT count(*) AS m FROM documents)) WHERE n > 0""",
+    "whitening_deviations": whitening.DEVIATIONS_SQL,
 }
