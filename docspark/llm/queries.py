@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, url_filter, whitening
+from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, spelling, url_filter, whitening
 from .staging import read_table
 
 
@@ -42,6 +42,7 @@ QUERIES = {
     "op8_quality_classifier": lambda spark, d: quality_model.report(read_table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.report(read_table(spark, d, "documents")),
     "op10_subword_lattice": lambda spark, d: lm_scoring.report(read_table(spark, d, "documents")),
+    "op12_spelling_variants": lambda spark, d: spelling.report(read_table(spark, d, "documents")),
     "op13_embedding_whitening": lambda spark, d: whitening.report(read_table(spark, d, "embeddings")),
     "pii_counts": pii_counts,
     "shard_sizes": shard_sizes,
@@ -59,6 +60,7 @@ ORACLE_SQL = {
     "op2_embedding_neardup": embedding_neardup.ORACLE_SQL,
     "op5_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op12_spelling_variants": spelling.ORACLE_SQL,
     "url_rules": rf"""SELECT page_id, host, path, CASE {_RULES} END AS rule FROM (
       SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
     "pii_counts": rf"""SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
