@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, spelling, url_filter, whitening
+from . import embedding_neardup, lm_scoring, mixing, ngram_join, packing, pii, quality_model, quality_rules, sharding, spelling, toxicity, url_filter, whitening
 from .staging import read_table
 
 
@@ -42,6 +42,7 @@ QUERIES = {
     "op8_quality_classifier": lambda spark, d: quality_model.report(read_table(spark, d, "documents")),
     "op9_quality_rules": lambda spark, d: quality_rules.report(read_table(spark, d, "documents")),
     "op10_subword_lattice": lambda spark, d: lm_scoring.report(read_table(spark, d, "documents")),
+    "op11_toxicity": lambda spark, d: toxicity.report(read_table(spark, d, "documents"), read_table(spark, d, "labels")),
     "op12_spelling_variants": lambda spark, d: spelling.report(read_table(spark, d, "documents")),
     "op13_embedding_whitening": lambda spark, d: whitening.report(read_table(spark, d, "embeddings")),
     "pii_counts": pii_counts,
