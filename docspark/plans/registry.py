@@ -386,8 +386,8 @@ def l3(spark, d):
 
 
 def matched(spark, d, q) -> DataFrame:
-    parsed = stage(L.parse_queries(q), "parsed-queries")
-    return L.fts_match(L.asked_postings(doc_chunks(spark, d), parsed), parsed).select("query_id", "chunk_id")
+    parsed, chunks = stage(L.parse_queries(q), "parsed-queries"), doc_chunks(spark, d)
+    return L.fts_match(L.asked_postings(chunks, parsed), parsed, chunks=chunks).select("query_id", "chunk_id")
 
 
 @register("l3_syntax", rf"""
@@ -400,12 +400,52 @@ tail AS (SELECT DISTINCT query_id, w[len(w) - i] AS term FROM (SELECT query_id,
 nt AS (SELECT query_id, count(*) AS n FROM tail GROUP BY 1),
 ban AS (SELECT w.query_id, t.chunk_id FROM w JOIN {_TERMS} t ON t.term = w.w[4] AND w.w[4] NOT IN ({_STOP})),
 two AS (SELECT query_id, chunk_id FROM tail JOIN {_TERMS} t USING (term) GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT n FROM nt WHERE nt.query_id = tail.query_id))
-SELECT query_id, chunk_id FROM one UNION SELECT query_id, chunk_id FROM two WHERE NOT EXISTS (SELECT 1 FROM ban WHERE ban.query_id = two.query_id AND ban.chunk_id = two.chunk_id)""")
+loose AS (SELECT query_id, doc_id AS chunk_id FROM w, documents WHERE w[4] NOT IN ({_STOP}) AND query_id NOT IN (SELECT query_id FROM tail)),
+rest AS (SELECT * FROM two UNION SELECT * FROM loose)
+SELECT query_id, chunk_id FROM one UNION SELECT query_id, chunk_id FROM rest WHERE NOT EXISTS (SELECT 1 FROM ban WHERE ban.query_id = rest.query_id AND ban.chunk_id = rest.chunk_id)""")
 def l3_syntax(spark, d):
-    """A phrase of the item's first three words, or its last two words without its fourth."""
+    """A phrase of the item's first three words, or its last two words without its fourth: all chunks without that one where the last two are stop words."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0))
-    text = F.concat(F.lit('"'), F.array_join(F.slice(w, 1, 3), " "), F.lit('" or '), F.element_at(w, -2), F.lit(" "), F.element_at(w, -1), F.lit(" -"), F.element_at(w, 4))
-    return matched(spark, d, t(spark, d, "benchmark").where(F.size(w) > 3).select(F.col("item_id").alias("query_id"), text.alias("query")))
+    at = lambda i: F.get("w", i)
+    text = F.concat_ws(" ", F.concat(F.lit('"'), F.array_join(F.slice("w", 1, 3), " "), F.lit('" or')), at(F.size("w") - 2), at(F.size("w") - 1), F.concat(F.lit("-"), at(F.lit(3))))
+    return matched(spark, d, t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), w.alias("w")).select("query_id", text.alias("query")))
+
+
+#: The different terms of each item longest first: the longest, and the pair of words behind the first word as a phrase.
+_NEG = f"""(SELECT w.item_id AS query_id, w[1] AS lead, list_sort(list_transform(list_filter(list_distinct(w), lambda x: x NOT IN ({_STOP})), lambda x: (-len(x), x)))[1][2] AS longest,
+  list_filter(w[2:3], lambda x: x NOT IN ({_STOP})) AS pair, w[2] AS a, w[3] AS b FROM (SELECT item_id, regexp_extract_all(lower(text), '{L.TERM}') AS w FROM benchmark) w)"""
+
+
+def negations(spark, d) -> DataFrame:
+    """Two questions an item: its first word without the two words behind it as a phrase (10 times its number), and nothing but without its longest term (and 1)."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit(L.TERM), F.lit(0))
+    longest = F.get(F.transform(F.array_sort(F.transform(F.filter(F.array_distinct("w"), lambda x: ~x.isin(*L.STOP_WORDS)), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda y: y["x"]), F.lit(0))
+    texts = F.array(F.concat(F.get("w", F.lit(0)), F.lit(' -"'), F.array_join(F.slice("w", 2, 2), " "), F.lit('"')), F.concat(F.lit("-"), longest))
+    asked = t(spark, d, "benchmark").select(F.col("item_id"), w.alias("w")).select("item_id", F.posexplode(texts).alias("i", "query"))
+    return asked.where("query IS NOT NULL").select((F.col("item_id") * 10 + F.col("i")).alias("query_id"), "query")
+
+
+_POS = rf"p AS MATERIALIZED (SELECT * FROM {_TERMS} WHERE term IN (SELECT unnest([lead, longest, a, b]) FROM {_NEG}))"
+_PAIRED = "(SELECT chunk_id, x.pos AS pos, x.term AS a, y.term AS b FROM p x JOIN p y USING (chunk_id) WHERE y.pos = x.pos + 1)"
+
+
+@register("l3_negated_phrases", rf"""
+WITH n AS {_NEG}, {_POS}, held AS (SELECT DISTINCT n.query_id, p.chunk_id FROM n JOIN p ON p.term = n.lead AND n.lead NOT IN ({_STOP})),
+whole AS (SELECT DISTINCT n.query_id, t.chunk_id FROM n JOIN {_PAIRED} t ON t.a = n.a AND t.b = n.b WHERE len(n.pair) = 2),
+single AS (SELECT DISTINCT n.query_id, p.chunk_id FROM n JOIN p ON p.term = n.pair[1] WHERE len(n.pair) = 1)
+SELECT query_id * 10 AS query_id, chunk_id FROM held WHERE (query_id, chunk_id) NOT IN (SELECT * FROM whole) AND (query_id, chunk_id) NOT IN (SELECT * FROM single)
+UNION ALL SELECT query_id * 10, doc_id FROM n, documents WHERE lead IN ({_STOP}) AND len(pair) > 0 AND (query_id, doc_id) NOT IN (SELECT * FROM whole) AND (query_id, doc_id) NOT IN (SELECT * FROM single)""")
+def l3_negated(spark, d):
+    """The first word of each item where the two words behind it do not follow one another; a stop word asks for nothing."""
+    return matched(spark, d, negations(spark, d).where("query_id % 10 = 0"))
+
+
+@register("l4_negations", rf"""
+WITH n AS {_NEG}, {_POS}, free AS (SELECT n.query_id * 10 + 1 AS query_id, d.doc_id AS chunk_id FROM n JOIN documents d ON NOT EXISTS (SELECT 1 FROM p WHERE p.chunk_id = d.doc_id AND p.term = n.longest) WHERE longest IS NOT NULL)
+SELECT query_id, chunk_id, 0::DOUBLE AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM free) WHERE rank <= {TOPK}""")
+def l4_negations(spark, d):
+    """Chunks without the longest term of each item: all score alike."""
+    return L.search_text(negations(spark, d).where("query_id % 10 = 1"), doc_chunks(spark, d), TOPK)
 
 
 #: Rewrites of each item as (query_id, q_idx, clause, term): all its terms; its two longest terms; either of these.
@@ -414,18 +454,17 @@ _ASK = f"""(SELECT query_id, 0 AS q_idx, 0 AS clause, term FROM {_ITEM} UNION AL
 
 
 def _ranked_sql(ask: str) -> str:
-    """Cover density of the clauses of ``ask`` in SQL: windows that end at a word begin at the least of the last places of all terms held."""
+    """Cover density by its definition: of all stretches that hold every term of a clause that the chunk holds, those that hold no other such stretch. The shortest stretch of a clause that ends at a word begins at the least of its terms' last places."""
     return f"""(
   WITH ask AS (SELECT * FROM {ask}), p AS MATERIALIZED (SELECT * FROM {_TERMS} WHERE term IN (SELECT term FROM ask)),
   need AS (SELECT query_id, q_idx, clause, count(*) AS n FROM ask GROUP BY ALL),
-  ok AS (SELECT a.query_id, a.q_idx, a.clause, p.chunk_id FROM ask a JOIN (SELECT DISTINCT chunk_id, term FROM p) p USING (term) JOIN need n ON n.query_id = a.query_id AND n.q_idx = a.q_idx AND n.clause = a.clause GROUP BY ALL HAVING count(*) = max(n.n)),
-  held AS (SELECT DISTINCT o.query_id, o.q_idx, o.chunk_id, a.term FROM ok o JOIN ask a ON a.query_id = o.query_id AND a.q_idx = o.q_idx AND a.clause = o.clause),
-  ev AS (SELECT h.*, p.pos FROM held h JOIN p ON p.chunk_id = h.chunk_id AND p.term = h.term),
-  k AS (SELECT query_id, q_idx, chunk_id, count(*) AS k FROM held GROUP BY ALL),
-  l AS (SELECT e.query_id, e.q_idx, e.chunk_id, e.pos, max(f.pos) AS last FROM ev e JOIN ev f ON f.query_id = e.query_id AND f.q_idx = e.q_idx AND f.chunk_id = e.chunk_id AND f.pos <= e.pos GROUP BY e.query_id, e.q_idx, e.chunk_id, e.pos, f.term),
-  w AS (SELECT l.query_id, l.q_idx, l.chunk_id, l.pos, min(last) AS s, max(k.k) AS k FROM l JOIN k ON k.query_id = l.query_id AND k.q_idx = l.q_idx AND k.chunk_id = l.chunk_id GROUP BY ALL HAVING count(*) = max(k.k)),
-  m AS (SELECT query_id, q_idx, chunk_id, s, k, min(pos) AS e FROM w GROUP BY ALL),
-  scored AS (SELECT query_id, q_idx, chunk_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - k, 0))), 6) AS score FROM m GROUP BY ALL)
+  ok AS (SELECT a.query_id, a.q_idx, a.clause, p.chunk_id, max(n.n) AS n FROM ask a JOIN (SELECT DISTINCT chunk_id, term FROM p) p USING (term) JOIN need n ON n.query_id = a.query_id AND n.q_idx = a.q_idx AND n.clause = a.clause GROUP BY ALL HAVING count(*) = max(n.n)),
+  ev AS (SELECT o.*, a.term, p.pos FROM ok o JOIN ask a ON a.query_id = o.query_id AND a.q_idx = o.q_idx AND a.clause = o.clause JOIN p ON p.chunk_id = o.chunk_id AND p.term = a.term),
+  l AS (SELECT e.query_id, e.q_idx, e.clause, e.chunk_id, e.n, e.pos, max(f.pos) AS last FROM ev e JOIN ev f ON f.query_id = e.query_id AND f.q_idx = e.q_idx AND f.clause = e.clause AND f.chunk_id = e.chunk_id AND f.pos <= e.pos GROUP BY e.query_id, e.q_idx, e.clause, e.chunk_id, e.n, e.pos, f.term),
+  w AS (SELECT query_id, q_idx, clause, chunk_id, n, pos AS e, min(last) AS s FROM l GROUP BY ALL HAVING count(*) = n),
+  m AS MATERIALIZED (SELECT query_id, q_idx, chunk_id, s, e, max(n) AS n FROM w GROUP BY ALL),
+  least AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.query_id = m.query_id AND o.q_idx = m.q_idx AND o.chunk_id = m.chunk_id AND o.s >= m.s AND o.e <= m.e AND (o.s > m.s OR o.e < m.e))),
+  scored AS (SELECT query_id, q_idx, chunk_id, round(sum(0.1::DOUBLE / (1 + greatest(e - s + 1 - n, 0))), 6) AS score FROM least GROUP BY ALL)
   SELECT query_id, q_idx::INTEGER AS q_idx, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, q_idx ORDER BY score DESC, chunk_id) AS rk FROM scored) WHERE rk <= {TOPK})"""
 
 

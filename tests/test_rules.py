@@ -320,10 +320,140 @@ def test_text_scope(spark):
     chunks = spark.createDataFrame([(1, "i", "red fox"), (2, "j", "red fox red"), (3, "j", "a fox"), (4, None, "red")], "chunk_id int, index_id string, text string")
     q = spark.createDataFrame([(1, "i", "red"), (2, "j", "red or fox"), (3, "k", "red"), (4, "j", '"fox red" -blue'), (5, "j", "-red")], "query_id int, index_id string, query string")
     for out in (L.search_text(q, chunks, 5, by=("index_id",)), L.fts_topk(q, L.build_postings(chunks, by=("index_id",)), 5, by=("index_id",))):
-        assert [(r["query_id"], r["chunk_id"]) for r in out.orderBy("query_id", "rank").collect()] == [(1, 1), (2, 2), (2, 3), (4, 2)]
+        # the last query only forbids: all chunks of its scope without the word
+        assert [(r["query_id"], r["chunk_id"]) for r in out.orderBy("query_id", "rank").collect()] == [(1, 1), (2, 2), (2, 3), (4, 2), (5, 3)]
     assert L.search_text(q.drop("index_id"), chunks, 5).where("query_id = 1").count() == 3
 
 
+def clauses_of(query):
+    """A query as clauses of (kind, [(place, term)]), by a plain reading of the syntax."""
+    out = [[]]
+    for piece in re.findall(r'-?"[^"]*"|\S+', query.lower()):
+        if piece == "or":
+            out.append([])
+            continue
+        words = [(i, w) for i, w in enumerate(re.findall(r"[^\W_]+", piece)) if w not in L.STOP_WORDS]
+        if not words:
+            continue
+        if piece.startswith("-"):
+            out[-1].append(("forbid", words))
+        elif '"' in piece:
+            out[-1].append(("hold", words))
+        else:
+            out[-1] += [("hold", [w]) for w in words]
+    return [c for c in out if c]
+
+
+def brute_search(texts, query):
+    """chunk to score, by trying every stretch of places of every chunk."""
+    found = {}
+    for chunk, text in texts.items():
+        words = re.findall(r"[^\W_]+", text.lower())
+        spans = lambda parts: [(s, s + parts[-1][0] - parts[0][0]) for s in range(len(words)) if all(s - parts[0][0] + i in range(len(words)) and words[s - parts[0][0] + i] == w for i, w in parts)]  # noqa: B023, E731
+        held = [c for c in clauses_of(query) if all(bool(spans(parts)) == (kind == "hold") for kind, parts in c)]
+        if not held:
+            continue
+        asks = [([spans(parts) for kind, parts in c if kind == "hold"], len({w for kind, parts in c if kind == "hold" for _, w in parts})) for c in held]
+        inside = lambda s, e: [k for literals, k in asks if literals and all(any(s <= a and b <= e for a, b in lit) for lit in literals)]  # noqa: B023, E731
+        good = {(s, e): max(inside(s, e)) for s in range(len(words)) for e in range(s, len(words)) if inside(s, e)}
+        least = [x for x in good if not any(y != x and x[0] <= y[0] and y[1] <= x[1] for y in good)]
+        found[chunk] = round(sum(0.1 / (1 + max(0, e - s + 1 - good[s, e])) for s, e in least), 6)
+    return found
+
+
+def test_boolean_search(spark):
+    """Matches and ranks of generated questions against all stretches of generated texts."""
+    rng = np.random.default_rng(12)
+    words, odd = ["red", "fox", "blue", "dog", "the", "jumps", "or"], ["", "the", "state-run fox"]
+    texts = {i: " ".join(rng.choice(words, int(rng.integers(0, 14)))) for i in range(60)} | {60 + i: t for i, t in enumerate(odd)}
+    pieces = ["red", "fox", "blue", "dog", "the", '"red fox"', '"fox the dog"', '"blue blue"', "-red", "-dog", '-"red fox"', '-"fox the red"', "-the", '-"the dog"', "-state-run", "dog-fox", "or", "or", "-"]
+    queries = [" ".join(rng.choice(pieces, int(rng.integers(1, 7)))) for _ in range(150)]
+    queries += ["", "the", "-red", '-"red fox"', "red -red", "red red fox", 'red "red fox"', "red or red fox", "red fox or red", '"red fox" or fox', "or red", "red or", '"red', "-red or fox -dog", "Red OR Fox"]
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id int, text string")
+    asked = spark.createDataFrame(list(enumerate(queries)), "query_id int, query string")
+    rows = L.search_text(asked, chunks, len(texts)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], {})[r["chunk_id"]] = r["score"]
+    for i, q in enumerate(queries):
+        assert got.get(i, {}) == pytest.approx(brute_search(texts, q), abs=2e-6), q
+    top = L.search_text(asked, chunks, 3).collect()
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in top} == {(r["query_id"], r["chunk_id"], r["rank"]) for r in rows if r["rank"] <= 3}
+
+
+def test_search_that_was_wrong_before(spark):
+    chunks = spark.createDataFrame([(1, "climate policy"), (2, "climate change"), (3, "policy only"), (4, "alpha"), (5, "alpha " + "x " * 60 + "beta"), (6, "change of climate policy")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, 'policy -"climate change"'), (2, "alpha or beta"), (3, "-climate")], "query_id int, query string")
+    got = {}
+    for r in L.search_text(asked, chunks, 9).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    assert sorted(c for c, _ in got[1]) == [1, 3, 6] and got[2] == [(5, 0.2), (4, 0.1)] and got[3] == [(3, 0.0), (4, 0.0), (5, 0.0)]
+
+
+def test_postings_of_a_row_need_no_exchange(spark):
+    chunks = spark.createDataFrame([(1, "Red fox, red", "i"), (2, None, "i"), (3, "", "j"), (4, "the of", "j"), (5, "fox " * 5000 + "dog", None), (5, "fox", "k")], "chunk_id int, text string, index_id string")
+    out = L.build_postings(chunks, by=("index_id",))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = [tuple(r) for r in out.collect()]
+    assert [r for r in rows if r[0] != 5] == [(1, "i", "red", [1, 3], 2), (1, "i", "fox", [2], 1)]
+    assert sorted((r[1] or "", r[2], r[4]) for r in rows if r[0] == 5) == [("", "dog", 1), ("", "fox", 5000), ("k", "fox", 1)]
+    only = L.build_postings(chunks, only=spark.createDataFrame([("dog",), ("none",)], "term string")).collect()
+    assert [(r["chunk_id"], r["positions"]) for r in only] == [(5, [5001])]
+
+
+def test_many_terms_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(L, "BROADCAST_TERMS", 1)
+    monkeypatch.setattr(L, "QUERY_BLOCK", 1)
+    chunks = spark.createDataFrame([(1, "red fox"), (2, "blue dog")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "-red"), (3, "-dog"), (4, "-fox -dog")], "query_id int, query string")
+    assert sorted((r["query_id"], r["chunk_id"]) for r in L.search_text(asked, chunks, 9).collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_table_of_postings(spark, monkeypatch):
+    """Ten terms open their buckets only, and searching the table gives what searching the chunks gives."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    L.write_postings(L.build_postings(docs), "some_postings", 64)
+    terms = [r["term"] for r in L.build_postings(docs).groupBy("term").count().orderBy(F.xxhash64("term")).limit(10).collect()]
+    asked = spark.createDataFrame(list(enumerate(terms)), "query_id int, query string")
+    parsed = L.parse_queries(asked)
+    part = L.read_postings(spark, "some_postings", parsed)
+
+    def files(df):
+        """Files that the scan opens."""
+        parts = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).inputRDD().filePartitions()
+        return {f.filePath().toString() for i in range(parts.size()) for f in parts.apply(i).files()}
+
+    assert 1 <= len(files(part)) <= 10 and len(files(spark.table("some_postings"))) > 50
+    rows = lambda x: sorted((r["query_id"], r["chunk_id"], r["score"]) for r in x.collect())
+    want = rows(L.search_text(asked, docs, 20))
+    assert rows(L.fts_topk(asked, part, 20)) == want and len(want) > 10
+    monkeypatch.setattr(L, "BUCKET_TERMS", 3)
+    more = L.read_postings(spark, "some_postings", parsed)
+    assert sorted(map(str, more.collect())) == sorted(map(str, part.collect()))
+    spark.sql("DROP TABLE some_postings")
+
+
+# Words with their stems, from the published description of the algorithm and by its rules.
+STEMS = {
+    "consigned": "consign", "consignment": "consign", "consistency": "consist", "consistently": "consist", "consolatory": "consolatori", "consolidated": "consolid", "consolingly": "consol",
+    "conspicuously": "conspicu", "conspiracy": "conspiraci", "constables": "constabl", "constancy": "constanc", "knackeries": "knackeri", "knaves": "knave", "kneading": "knead", "knelt": "knelt",
+    "knightly": "knight", "knitting": "knit", "knives": "knive", "knockers": "knocker", "knotted": "knot", "generate": "generat", "generally": "general", "communism": "communism", "arsenic": "arsenic",
+    "hopping": "hop", "hoping": "hope", "bled": "bled", "luxuriated": "luxuri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "cries": "cri", "ties": "tie", "cry": "cri", "by": "by", "say": "say",
+    "news": "news", "skies": "sky", "innings": "inning", "proceed": "proceed", "rational": "ration", "relational": "relat", "happiness": "happi", "youth": "youth", "boyish": "boyish", "geology": "geolog",
+    "replacement": "replac", "adoption": "adopt", "formalize": "formal", "nationality": "nation", "dying": "die", "hopefully": "hope", "naïve": "naïve", "b2b": "b2b", "a": "a", "yes": "yes", "sky": "sky",
+}
+
+
+def test_english_stems(spark):
+    from docspark.functions.stem import ENGLISH_STOP_WORDS, english, stem
+
+    assert {w: english(w) for w in STEMS} == STEMS and len(set(ENGLISH_STOP_WORDS)) == len(ENGLISH_STOP_WORDS) == 127
+    assert column(spark, [*STEMS, None], stem) == [*STEMS.values(), None]
+    chunks = spark.createDataFrame([(1, "We were generally hoping"), (2, "hopefully a general hopes")], "chunk_id int, text string")
+    asked = spark.createDataFrame([(1, "hope"), (2, '"general hoped"'), (3, "were")], "query_id int, query string")
+    assert sorted((r["query_id"], r["chunk_id"]) for r in L.search_text(asked, chunks, 5, stemmed=True).collect()) == [(1, 1), (1, 2), (2, 2)]
+
+
 def test_stemmed_postings(spark):
     chunks = spark.createDataFrame([(1, "jump jumps jumping over"), (2, "jumped")], "chunk_id int, text string")
     got = {(r["chunk_id"], r["term"]): (r["positions"], r["tf"]) for r in L.build_postings(chunks, stemmed=True).collect()}
