@@ -399,7 +399,7 @@ one AS (SELECT DISTINCT h.query_id, h.chunk_id FROM hit h JOIN np ON np.query_id
 tail AS (SELECT DISTINCT query_id, w[len(w) - i] AS term FROM (SELECT query_id, w, unnest([0, 1]) AS i FROM w) WHERE w[len(w) - i] NOT IN ({_STOP})),
 nt AS (SELECT query_id, count(*) AS n FROM tail GROUP BY 1),
 ban AS (SELECT w.query_id, t.chunk_id FROM w JOIN {_TERMS} t ON t.term = w.w[4] AND w.w[4] NOT IN ({_STOP})),
-two AS (SELECT query_id, chunk_id FROM tail JOIN {_TERMS} t USING (term) GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT n FROM nt WHERE nt.query_id = tail.query_id))
+two AS (SELECT query_id, chunk_id FROM tail JOIN {_TERMS} t USING (term) GROUP BY 1, 2 HAVING count(DISTINCT term) = (SELECT n FROM nt WHERE nt.query_id = tail.query_id)),
 loose AS (SELECT query_id, doc_id AS chunk_id FROM w, documents WHERE w[4] NOT IN ({_STOP}) AND query_id NOT IN (SELECT query_id FROM tail)),
 rest AS (SELECT * FROM two UNION SELECT * FROM loose)
 SELECT query_id, chunk_id FROM one UNION SELECT query_id, chunk_id FROM rest WHERE NOT EXISTS (SELECT 1 FROM ban WHERE ban.query_id = rest.query_id AND ban.chunk_id = rest.chunk_id)""")
