@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.functions.normalize import collapse_ws, normalize_by_kind
+from docspark.functions.normalize import normalize_by_kind
+from docspark.operators.html import page_blocks
 
 SCHEMA = (
     "doc_id {id}, pos int, div_index int, tag string, div_type string, place string, head string, xml_id string, "
@@ -114,24 +115,21 @@ def equation_labels(label: Column, n: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(label), F.lit("")), n)
 
 
-BLOCK = r"(?s)<(h[1-6]|p|li|table|figcaption)\b[^>]*>(.*?)(?=</(?:h[1-6]|p|li|table|figcaption|article|ul|body)>|<(?:h[1-6]|p|li|table|figcaption)\b)"
-
+def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """X1 for HTML: a row for each block of text in reading order; all text that is shown is in some block (see ``html.Page``).
 
-# The named characters that are decoded; the ampersand comes last, so nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+    A page is read in its row, headings included, so nothing is shuffled. Null and
+    empty pages give no rows.
+    """
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(doc, *block) for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]) for block in page_blocks(source)]
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "targets", "text", "head", "div_index"])
 
-def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """X1 for HTML: block tags in order; a heading opens a division; scripts, styles and comments are no text."""
-    bare = F.regexp_replace(F.col(html_col), r"(?s)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    found = pages.select(F.col(id_col).alias("doc_id"), F.posexplode(F.regexp_extract_all(bare, F.lit(BLOCK), F.lit(0))).alias("pos", "_raw"))
-    tag = F.regexp_extract("_raw", r"^<(\w+)", 1)
-    text = F.regexp_replace(F.col("_raw"), r"<[^>]*>", " ")
-    for name, sign in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(sign))
-    kind = F.when(tag.startswith("h"), "section_head").when(tag == "li", "list_item").when(tag == "table", "table").when(tag == "figcaption", "figure_caption").otherwise("paragraph")
-    rows = found.select("doc_id", "pos", kind.alias("kind"), extract_targets(F.col("_raw")).alias("targets"), collapse_ws(text).alias("text")).where("text <> ''")
-    return propagate_heads(rows).withColumn("text_norm", normalize_by_kind(F.col("text"), F.col("kind")))
+    told = f"doc_id {pages.schema[id_col].dataType.simpleString()}, pos int, kind string, targets array<string>, text string, head string, div_index int"
+    rows = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col)).mapInPandas(run, told)
+    return rows.withColumn("text_norm", normalize_by_kind(F.col("text"), F.col("kind")))
 
 
 def propagate_heads(blocks: DataFrame) -> DataFrame:

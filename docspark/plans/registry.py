@@ -168,6 +168,17 @@ def x1(spark, d):
     return X.extract_html(t(spark, d, "pages")).select("doc_id", "pos", "kind", "head", "div_index", "text", "text_norm", F.array_join("targets", " ").alias("targets"))
 
 
+@register("x1_html_text", r"""
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS pos, t AS text FROM (
+  SELECT doc_id, i, trim(regexp_replace(replace(replace(replace(replace(b, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g')) AS t FROM (
+    SELECT doc_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (
+      SELECT page_id AS doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<head>.*?</head>|<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'gis'),
+        '</?(address|article|aside|blockquote|body|div|dl|dt|dd|figure|figcaption|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|ul)\b[^>]*>', chr(1), 'gi'), '<br\b[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g'), chr(1)) AS bs FROM pages)))
+WHERE t <> ''""")
+def x1_text(spark, d):
+    return X.extract_html(t(spark, d, "pages")).select("doc_id", "pos", "text")
+
+
 def tei(spark: SparkSession, d: str) -> DataFrame:
     """Documents as TEI: every line a paragraph, the source as heading."""
     esc = F.replace(F.replace(F.replace(F.regexp_replace(F.col("text"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " "), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
