@@ -245,6 +245,57 @@ def test_block_packing_by_hand(spark):
     assert any(r["has_overlap"] for r in out) and any(r["oversize"] for r in out)
 
 
+def random_blocks(n_docs, n_blocks, seed):
+    rng = np.random.default_rng(seed)
+    kinds = ["paragraph", "section_head", "table", "list_item", "equation", "footnote"]
+    rows = []
+    for d in range(n_docs):
+        div = None
+        for p in range(int(rng.integers(0, n_blocks))):
+            if rng.random() < 0.2:
+                div = int(rng.integers(0, 4)) if rng.random() < 0.8 else None
+            kind = str(rng.choice(kinds, p=[0.5, 0.12, 0.1, 0.14, 0.07, 0.07]))
+            text = " ".join("word." if rng.random() < 0.3 else "ab" for _ in range(int(rng.integers(0, 30)))) if rng.random() < 0.95 else None
+            rows.append((None if d == 0 else d, 3 * p, kind, div, f"h{div}", text))
+    return rows
+
+
+BLOCK_ROWS = "doc_id int, pos int, kind string, div_index int, head string, text string"
+
+
+@pytest.mark.parametrize(("tile", "as_shipped"), [(1, False), (7, True)])
+def test_packing_in_parts_equals_the_fold(spark, monkeypatch, tile, as_shipped):
+    blocks = spark.createDataFrame(random_blocks(10, 80, tile), BLOCK_ROWS)
+    rows = lambda: sorted((str(r["doc_id"]), r["chunk_index"], r["text"], r["text_norm"], r["div_index"], r["dominant_head"], r["has_overlap"], r["oversize"], r["chunk_char_len"], sorted(r["block_counts"].items())) for r in C.pack_blocks(blocks, 60, 20, as_shipped).collect())
+    whole = rows()
+    monkeypatch.setattr(C, "LONG_BLOCKS", 30)  # some documents are long, some are not
+    monkeypatch.setattr(C, "TILE", tile)
+    monkeypatch.setattr(C, "RUNS", 3)
+    assert rows() == whole and len(whole) > 100
+    assert C.pack_blocks(blocks.where("false")).count() == 0
+
+
+def test_packing_pages_in_parts(spark, monkeypatch):
+    blocks = X.extract_html(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    rows = lambda: sorted(map(str, C.pack_blocks(blocks).collect()))
+    whole = rows()
+    monkeypatch.setattr(C, "LONG_BLOCKS", 0)
+    monkeypatch.setattr(C, "TILE", 5)
+    monkeypatch.setattr(C, "RUNS", 1)
+    assert rows() == whole
+
+
+def test_a_long_document_is_many_groups(spark):
+    """30,000 blocks of one document, a heading before each tenth: packed by run, numbered through."""
+    n = 30_000
+    blocks = spark.range(n).selectExpr("1 AS doc_id", "cast(id AS int) AS pos", "if(id % 10 = 0, 'section_head', 'paragraph') AS kind", "cast(id div 10 AS int) AS div_index", "'h' AS head", "concat('text of ', id) AS text")
+    out = C.pack_blocks(blocks, 1200, 200)
+    told = out.agg(F.count(F.lit(1)).alias("n"), F.min("chunk_index").alias("a"), F.max("chunk_index").alias("b"), F.count_distinct("chunk_index").alias("d"), F.max(F.col("chunk_index") != F.col("div_index")).alias("moved")).first()
+    assert tuple(told) == (n // 10, 0, n // 10 - 1, n // 10, False)
+    runs = C._runs(C.split_oversize(blocks, 1200).selectExpr("doc_id", "pos", "0 AS split", "div_index", "kind", "rendered"), 1200)
+    assert runs.groupBy("run").count().agg(F.max("count")).first()[0] == 10 and runs.select("run").distinct().count() == n // 10
+
+
 def test_html_blocks_by_hand(spark):
     """X1 of all pages with Python's own parser: the same texts, kinds and headings, and no character of the body is lost."""
     from html.parser import HTMLParser
