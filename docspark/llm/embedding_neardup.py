@@ -282,7 +282,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     """``id_col``, ``n_links``, ``component_id``, ``kept`` and ``class_size`` for every row of ``vectors``.
 
     Null, empty, zero and non-finite vectors link with nothing and are their own
-    components. Equal directions are one class, compared once. Vectors of
+    components. Ids may be of any type that has an order; ``component_id`` is of the
+    same. Equal directions are one class, compared once. Vectors of
     different lengths never link. Repeated rows count as rows; a null id takes
     part but is never the smallest. An empty table gives an empty result. Other
     columns are not carried, so their names cannot clash.
@@ -303,8 +304,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
 
     def rotate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(np.frombuffer(u, dtype=np.float64) @ spaces[d].axes).astype(np.float32).tobytes() for u, d in zip(b["unit"], b["d"])]
-            yield pd.DataFrame({"num": b["num"], "n": b["n"], "d": b["d"], "x": pd.Series(out, dtype=object)})
+            for d, g in b.groupby("d"):
+                for s in range(0, len(g), DEALT):
+                    rows = g.iloc[s : s + DEALT]
+                    x = (np.frombuffer(b"".join(rows["unit"]), dtype=np.float64).reshape(-1, d) @ spaces[d].axes).astype(np.float32)
+                    yield pd.DataFrame({"num": rows["num"], "n": rows["n"], "d": rows["d"], "x": pd.Series([r.tobytes() for r in x], dtype=object, index=rows.index)})
 
     # written once, so that every comparison reads the same bits
     points = stage(classes.select("num", "n", "d", "unit").mapInPandas(rotate, "num long, n long, d int, x binary"), "vector-points")
@@ -324,14 +328,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     out = rows.select("_id", "key").join(told, "key", "left")
     comp = F.coalesce("component_id", "_id")
     return out.select(
-        F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.cast("long").alias("component_id"),
+        F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"),
         F.coalesce(F.col("_id") == comp, F.lit(False)).alias("kept"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
     )
 
 
 def report(vectors: DataFrame) -> DataFrame:
     """Rows of query ``op2``."""
-    return near_duplicates(vectors.select("vec_id", "embedding"))
+    return near_duplicates(vectors.select("vec_id", "embedding")).withColumn("component_id", F.col("component_id").cast("long"))
 
 
 ORACLE_SQL = """

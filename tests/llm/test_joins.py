@@ -198,3 +198,18 @@ def test_staged_tables_go(spark):
     staging.release_since(point, spark, [kept])
     assert kept.count() == 3 and not [x for x in os.listdir(folder) if x.startswith("gone-")]
     staging.release(kept)
+
+
+def test_embeddings_with_text_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 12))
+    rows = [(f"{'ab'[i % 2]}-{i}", (base[i % 6] + 0.02 * rng.normal(size=12)).tolist()) for i in range(30)] + [(None, base[0].tolist()), ("z", None)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if i is not None and v is not None}
+    links = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.95]
+    comp = components(list(unit), links)
+    got_ = {r["vec_id"]: r for r in E.near_duplicates(df).collect()}
+    assert got_["z"]["component_id"] == "z" and got_["z"]["n_links"] == 0
+    for i in unit:
+        assert got_[i]["component_id"] == comp[i] and got_[i]["kept"] == (comp[i] == i)
+        assert got_[i]["n_links"] == sum(i in p for p in links) + int(unit[i] @ (base[0] / np.linalg.norm(base[0])) >= 0.95)
