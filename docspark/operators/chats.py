@@ -28,12 +28,24 @@ def project_catalog(projects: DataFrame, documents: DataFrame) -> DataFrame:
     return placed.withColumn("place", (F.col("_before") + F.col("_in")).cast("int")).drop("_hour", "_in", "_o", "_h", "_before")
 
 
-def apply_renames(projects: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """M2: renamed projects, and the updates whose trimmed name has not 1 to 200 characters."""
+def apply_renames(projects: DataFrame, updates: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """M2: renamed projects, and the updates that are refused.
+
+    A trimmed name has 1 to 200 characters. Of several renames of an id the one
+    with the largest ``order`` wins (a column such as ``seq`` or ``updated_at``).
+    Where there is no such column, or its largest value has different names, none
+    can be told to be the last, and all of these are refused.
+    """
     u = updates.withColumn("name", strip(F.coalesce("name", F.lit(""))))
     good = F.length("name").between(1, 200)
-    named = u.where(good).groupBy("id").agg(F.max("name").alias("_name"))
-    return projects.join(named, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name"), u.where(~good)
+    last = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at")) if order else F.lit(0)
+    tops = u.where(good).groupBy("id", last.alias("_at")).agg(F.min("name").alias("_name"), F.max("name").alias("_other"))
+    tops = tops.groupBy("id").agg(F.max_by(F.struct("_name", "_other"), "_at").alias("_n"), F.max("_at").alias("_at")).select("id", "_n.*", "_at")
+    clear = F.col("_name") == F.col("_other")
+    named = tops.where(clear).select("id", "_name")
+    doubt = tops.where(~clear).select(F.col("id").alias("_i"), F.col("_at").alias("_a"))
+    unclear = u.where(good).join(doubt, (F.col("id") == F.col("_i")) & (last == F.col("_a")), "left_semi")
+    return projects.join(named, "id", "left").withColumn("name", F.coalesce("_name", "name")).drop("_name"), u.where(~good).unionByName(unclear)
 
 
 def owned(df: DataFrame, projects: DataFrame, owner: str = "owner_id") -> DataFrame:
@@ -143,8 +155,40 @@ def parse_metrics(df: DataFrame, column: str = "metrics") -> DataFrame:
     return out.withColumns({"total_tokens": F.col("prompt_tokens") + F.col("completion_tokens"), "latency": latency}).drop("_m")
 
 
+#: Size of the quantile sketches: ranks are within about 1.65 % with 99 % confidence.
+SKETCH_K = 200
+
+
+def metrics_cube(parsed: DataFrame, sets: tuple[tuple[str, ...], ...] = (("chat_id",), ("project_id",), ())) -> DataFrame:
+    """Answers, total_tokens, latency sums and a quantile sketch by each of ``sets`` of columns, in one pass.
+
+    A column that a set does not have is null there; ``level`` is the number of
+    the set. Sketches can be merged, over days or levels, by ``merge_metrics``, and
+    read by ``latency_quantile``. Answers without a latency count, and are not in
+    its sum and sketch.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    kept = parsed.select(*columns, "total_tokens", F.col("latency").cast("double").alias("latency"))
+    level = F.grouping_id(*columns)
+    names = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in s): n for n, s in enumerate(sets)}
+    told = kept.groupingSets([list(s) for s in sets], *columns).agg(
+        level.alias("_id"), F.count(F.lit(1)).alias("answers"), F.sum("total_tokens").alias("total_tokens"), F.count("latency").alias("timed"), F.sum("latency").alias("latency"), F.kll_sketch_agg_double("latency", F.lit(SKETCH_K)).alias("sketch"),
+    )
+    number = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return told.select(number[F.col("_id").cast("int")].alias("level"), *columns, "answers", "total_tokens", "timed", "latency", "sketch")
+
+
+def merge_metrics(cubes: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Rows of ``metrics_cube`` added up by ``by``, their sketches merged."""
+    return cubes.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("answers", "total_tokens", "timed", "latency")], F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("sketch"))
+
+
+def latency_quantile(q: float) -> Column:
+    return F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(q)))
+
+
 def metrics_rollup(parsed: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """M12."""
+    """M12 of one level."""
     return parsed.groupBy(*by).agg(F.count(F.lit(1)).alias("answers"), F.sum("total_tokens").alias("total_tokens"), F.avg("latency").alias("avg_latency"), F.percentile_approx("latency", 0.5).alias("p50_latency"))
 
 

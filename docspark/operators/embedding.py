@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.sources.staging import release, stage
+
 CONFIG = ("batch_size", "dimensions", "model", "provider")
 KEY = ["index_id", "chunk_id", "embed_signature"]
 
@@ -89,6 +91,39 @@ def upsert_embeddings(target: DataFrame, updates: DataFrame) -> DataFrame:
     return every.withColumn("_r", newest).where("_r = 1").drop("_r", "_new", "_seq")
 
 
+def upsert_table(updates: DataFrame, path: str, replaced: DataFrame | None = None, parts: int | None = None, files: int = 8) -> None:
+    """E6 on a stored table: only the partitions of the indexes that change are read and written again, into few files.
+
+    The table is partitioned by ``index_id``, or by its hash into ``parts`` where
+    there are very many small indexes; ``parts`` must not change over its life. Rows
+    are upserted by key. Indexes that ``replaced`` (index_id) names are replaced:
+    what they had before goes, even if ``updates`` has nothing for them. The same
+    call again changes nothing. An index, or a part, is spread over ``files`` files.
+    """
+    spark = updates.sparkSession
+    rest = [c for c in updates.columns if c != "seq"]
+    cut = "index_id" if parts is None else "_part"
+    part = lambda df: df if parts is None else df.withColumn("_part", F.pmod(F.xxhash64("index_id"), F.lit(parts)).cast("int"))
+    new = stage(upsert_embeddings(updates.select(*rest).limit(0), updates), "upsert-new")
+    gone = None if replaced is None else replaced.select("index_id").distinct()
+    changed = new.select("index_id") if gone is None else new.select("index_id").unionByName(gone)
+    touched = stage(part(changed).select(cut).distinct(), "upsert-touched")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files_of = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    every = part(new)
+    if files_of.exists(folder):
+        now = spark.read.schema(every.schema).parquet(path).join(touched, cut, "left_semi").select(*rest)
+        now = now if gone is None else now.join(gone, "index_id", "left_anti")
+        every = part(upsert_embeddings(now, new))
+    # written apart first: a partition is not replaced while it is read
+    every = stage(every, "upsert-merged")
+    every.repartition(F.col(cut), F.pmod(F.xxhash64("chunk_id"), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(cut).parquet(path)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for r in touched.join(every.select(cut).distinct(), cut, "left_anti").toLocalIterator():  # nothing is left of these
+        files_of.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, names.getPartitionPathString(cut, str(r[0]))), True)
+    release(new, touched, every)
+
+
 def delete_embeddings(df: DataFrame, keys: DataFrame) -> DataFrame:
     """By index, or by index and signature if ``keys`` has it."""
     return df.join(keys.distinct(), [c for c in ("index_id", "embed_signature") if c in keys.columns], "left_anti")

@@ -29,10 +29,11 @@ def normalize_rewrites(df: DataFrame) -> DataFrame:
 
 
 def parse_rewrites(df: DataFrame, column: str = "reply") -> DataFrame:
-    """Q2: ``rewrites`` and ``strategy`` from JSON; a single string is one query; bad JSON has none."""
+    """Q2: ``rewrites`` and ``strategy`` from JSON; a single string is one query, whatever it begins with; bad JSON has none."""
     many = F.from_json(column, "queries array<string>, strategy string")
     one = F.from_json(column, "queries string, strategy string")
-    single = F.when(~one["queries"].startswith("["), F.array(one["queries"]))
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(column)), "$.queries", "variant"))
+    single = F.when(kind == "STRING", F.array(one["queries"]))
     return df.withColumns({"rewrites": F.coalesce(many["queries"], single, F.array().cast("array<string>")), "strategy": F.coalesce(many["strategy"], one["strategy"])})
 
 

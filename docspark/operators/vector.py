@@ -61,16 +61,18 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
 
     Returns query_id, chunk_id, score, rank; equal scores go by chunk id. Scores
     are rounded to 6 places before they are ranked. ``by`` may name any columns,
-    such as index_id and embed_signature; a null there matches nothing.
+    such as index_id and embed_signature; a null there matches nothing. Only
+    vectors of the query's length are compared, and none that is null, empty or
+    holds nulls: ``check_dims`` (E5) reports indexes where lengths differ.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     by = [by] if isinstance(by, str) else list(by or ())
     spark = queries.sparkSession
     schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, chunk_id {vectors.schema[chunk_id].dataType.simpleString()}, score double"
-    # one text that is equal where all columns are
-    scope = F.to_json(F.array(*[F.col(c).cast("string") for c in by])) if by else F.lit("")
-    known = lambda df: df.where(" AND ".join(["embedding IS NOT NULL", *[f"`{c}` IS NOT NULL" for c in by]]))
+    # one text that is equal where all columns and the lengths are: vectors of another length are not compared
+    scope = F.to_json(F.array(*[F.col(c).cast("string") for c in by], F.size("embedding").cast("string")))
+    known = lambda df: df.where(" AND ".join(["size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL)", *[f"`{c}` IS NOT NULL" for c in by]]))
     q = known(queries).select(F.col(query_id).alias("query_id"), F.col("embedding").cast("array<double>").alias("e"), scope.alias("s"))
     v = known(vectors).select(F.col(chunk_id).alias("chunk_id"), F.col("embedding").cast("array<double>").alias("e"), scope.alias("s"))
     if k <= 0:

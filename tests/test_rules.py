@@ -722,3 +722,140 @@ def test_embedder_words(spark):
         n = np.sqrt((want**2).sum())
         assert np.allclose(v, want / n if n else want)
     assert E.hashing_embedder()([]) == []
+
+
+def test_upsert_touches_what_changes(spark, tmp_path):
+    """E6 on a table: partitions without changes keep their files, the same updates again give the same table, replaced indexes lose their rows."""
+    schema = "index_id string, chunk_id int, embed_signature string, text string"
+    at = str(tmp_path / "table")
+    rows = lambda: sorted(tuple(r) for r in spark.read.schema(schema).parquet(at).select(*[c.split()[0] for c in schema.split(", ")]).collect())
+    files = lambda i: {f: os.stat(f"{at}/index_id={i}/{f}").st_mtime_ns for f in os.listdir(f"{at}/index_id={i}") if f.endswith(".parquet")}
+    first = [(i, c, "s", f"{i}{c}") for i in ("007", "b c", "x") for c in range(40)]
+    E.upsert_table(spark.createDataFrame(first, schema), at)
+    assert rows() == sorted(first)
+    kept = {i: files(i) for i in ("007", "x")}
+    change = spark.createDataFrame([("b c", 3, "s", "old", 1), ("b c", 3, "s", "new", 2), ("b c", 99, "s", "more", 1), ("b c", 3, "t", "other", 1)], f"{schema}, seq int")
+    want = sorted([r for r in first if r[:2] != ("b c", 3)] + [("b c", 3, "s", "new"), ("b c", 99, "s", "more"), ("b c", 3, "t", "other")])
+    for _ in range(2):
+        E.upsert_table(change, at)
+        assert rows() == want and {i: files(i) for i in ("007", "x")} == kept
+    E.upsert_table(change.limit(0), at)
+    assert rows() == want
+    E.upsert_table(spark.createDataFrame([("x", 1, "s", "only")], schema), at, replaced=spark.createDataFrame([("x",), ("b c",)], "index_id string"))
+    assert rows() == sorted([r for r in first if r[0] == "007"] + [("x", 1, "s", "only")]) and files("007") == kept["007"]
+
+
+def test_pages_stream_into_a_table(spark, tmp_path):
+    """T1 from markup: two batches of a page, fewer chunks than before, a page that is emptied, two versions in a batch, a batch again."""
+    from docspark.streaming import jobs
+
+    at, schema = str(tmp_path), "page_id string, html string, seq int"
+    page = lambda n: "<h1>T</h1>" + "".join(f"<p>{'word ' * 150}{i}</p>" for i in range(n))
+
+    def send(batch, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+        jobs.stream_index_pages(spark.readStream.schema(schema).parquet(f"{at}/in"), f"{at}/table", f"{at}/state", parts=4, order="seq").awaitTermination(120)
+        return sorted((r["index_id"], r["chunk_index"], r["text"]) for r in spark.read.parquet(f"{at}/table").collect())
+
+    def want(pages):
+        df = spark.createDataFrame([(k, v, 0) for k, v in pages.items()], schema)
+        return sorted((r["index_id"], r["chunk_index"], r["text"]) for r in jobs.index_pages(df).collect())
+
+    assert send(0, [("a", page(9), 1), ("b", page(3), 1), ("c", page(2), 1), (None, page(2), 1)]) == want({"a": page(9), "b": page(3), "c": page(2)})
+    now = send(1, [("a", page(2), 1), ("b", None, 1), ("d", page(1), 1), ("d", page(4), 2)])
+    assert now == want({"a": page(2), "c": page(2), "d": page(4)}) and len({k for k, *_ in now}) == 3
+    # the last batch is read again: its commit is lost
+    os.remove(f"{at}/state/commits/1")
+    os.remove(f"{at}/state/commits/.1.crc")
+    assert send(2, []) == now
+    assert {len(r["embedding"]) for r in spark.read.parquet(f"{at}/table").collect()} == {64}
+
+
+def test_run_states_end(spark, tmp_path):
+    """T2 with a state that ends: the rows of the aggregation in any order of frames, and finished runs are forgotten."""
+    from docspark.streaming import jobs
+
+    rng = np.random.default_rng(3)
+    status = ["PENDING", "RUNNING", "READY", "FAILED", "CANCEL", "CANCELLED", None]
+    rows = [(int(rng.integers(0, 12)), None if rng.random() < 0.1 else int(rng.integers(0, 9)), status[int(rng.integers(0, 7))]) for _ in range(90)]
+    schema, before = "run_id int, seq int, status string", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS_DB)
+    try:
+        for f in range(3):
+            spark.createDataFrame(rows[f::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+        def told(make, name, keep):
+            events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+            q = make(events).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
+            q.awaitTermination(120)
+            got = {}
+            for r in spark.table(name).collect():
+                got[r["run_id"]] = max(got.get(r["run_id"], (0,)), (r["n_events"], r["status"], r["cancel_requested"]))
+            return got, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+        states, _ = told(lambda e: jobs.stream_run_states(e, 3600), "states", 3600)
+        assert states == {r["run_id"]: (r["n_events"], r["status"], r["cancel_requested"]) for r in jobs.stream_run_status(spark.createDataFrame(rows, schema)).collect()}
+        # kept for no time at all: what was finished in one frame is forgotten in the next, and one run that goes on stays
+        spark.createDataFrame([(99, 1, "RUNNING")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        short, left = told(lambda e: jobs.stream_run_states(e, 0), "short", 0)
+        assert short[99] == (1, "RUNNING", False) and max(n for n, *_ in short.values()) <= max(n for n, *_ in states.values())
+        assert any(short[i][0] < states[i][0] for i in states)  # forgotten in between
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_replayed_messages(spark, tmp_path):
+    """A message that comes again within the watermark does not count twice; beyond it, its id is forgotten."""
+    from docspark.streaming import jobs
+
+    at = lambda m: dt.datetime(2025, 1, 1) + dt.timedelta(minutes=m)
+    schema = "id int, chat_id int, created_at timestamp"
+    batches = [[(1, 1, at(0)), (1, 1, at(0)), (2, 1, at(5))], [(1, 1, at(10)), (3, 2, at(20))], [(4, 2, at(400))], [(3, 2, at(500)), (2, 1, at(1))]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        jobs.stream_chat_activity(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), "1 hour").awaitTermination(120)
+    got = {r["chat_id"]: (r["n_messages"], r["updated_at"]) for r in jobs.read_chat_activity(spark, str(tmp_path / "out")).collect()}
+    # 3 is counted again after its hour; 2, far behind the watermark, is late and left out
+    assert got == {1: (2, at(5)), 2: (3, at(500))}
+
+
+def test_metrics_by_chat_and_project(spark):
+    """Every level in one pass, sketches within their error, and merged."""
+    rng = np.random.default_rng(9)
+    rows = [(i % 7, i % 7 % 3, int(rng.integers(0, 900)), None if i % 50 == 0 else float(rng.exponential(2))) for i in range(8000)]
+    df = spark.createDataFrame(rows, "chat_id int, project_id int, total_tokens int, latency double")
+    cube = M.metrics_cube(df).withColumn("p90", M.latency_quantile(0.9))
+    got = {(r["level"], r["chat_id"], r["project_id"]): r for r in cube.collect()}
+    assert len(got) == 7 + 3 + 1
+    for (level, chat, project), r in got.items():
+        part = [x for x in rows if (level != 0 or x[0] == chat) and (level != 1 or x[1] == project)]
+        timed = sorted(x[3] for x in part if x[3] is not None)
+        assert (r["answers"], r["total_tokens"], r["timed"]) == (len(part), sum(x[2] for x in part), len(timed)) and r["latency"] == pytest.approx(sum(timed))
+        assert abs(np.searchsorted(timed, r["p90"]) / len(timed) - 0.9) < 0.03
+    merged = M.merge_metrics(M.metrics_cube(df).where("level = 0").withColumn("project_id", F.col("chat_id") % 3), ("project_id",)).withColumn("p90", M.latency_quantile(0.9)).collect()
+    for r in merged:
+        one = got[1, None, r["project_id"]]
+        assert (r["answers"], r["total_tokens"], r["timed"]) == (one["answers"], one["total_tokens"], one["timed"]) and r["p90"] == pytest.approx(one["p90"], rel=0.15)
+    none = M.metrics_cube(spark.createDataFrame([(1, 1, 5, None)], df.schema)).withColumn("p", M.latency_quantile(0.5)).collect()
+    assert len(none) == 3 and all(r["p"] is None and r["answers"] == 1 for r in none) and M.metrics_cube(df.where("false")).where("level < 2").count() == 0
+
+
+def test_odd_vectors_questions_and_renames(spark):
+    v = spark.createDataFrame([(1, "i", [1.0, 0.0]), (2, "i", [1.0, 0.0, 0.0]), (3, "i", None), (4, "i", [None, 1.0]), (5, "i", []), (6, "i", [0.5, 0.5])], "chunk_id int, index_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "i", [1.0, 0.1]), (2, "i", [0.0, 0.0, 2.0]), (3, "i", [1.0])], "query_id int, index_id string, embedding array<double>")
+    for metric in V.METRICS:
+        for scope in ("index_id", None):
+            out = V.vector_topk(q, v, 9, metric, scope).collect()
+            assert sorted((r["query_id"], r["chunk_id"]) for r in out) == [(1, 1), (1, 6), (2, 2)]
+    from docspark.operators import questions as Q
+
+    replies = ['{"queries": "[draft] what", "strategy": "s"}', '{"queries": ["a", "b"]}', '{"queries": {"a": 1}}', '{"queries": 5}', '{"queries": null}', '{"queries": []}', "no", None, '{"queries": "plain"}']
+    got = [r["rewrites"] for r in Q.parse_rewrites(spark.createDataFrame(list(enumerate(replies)), "i int, reply string")).orderBy("i").collect()]
+    assert got == [["[draft] what"], ["a", "b"], [], [], [], [], [], [], ["plain"]]
+    p = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "id int, name string")
+    u = spark.createDataFrame([(1, "z", 1), (1, "a", 2), (2, "x", 1), (2, "y", 1), (3, " ", 1), (3, "ok", None), (1, "a", 2)], "id int, name string, seq int")
+    named, refused = M.apply_renames(p, u, "seq")
+    assert sorted(tuple(r) for r in named.collect()) == [(1, "a"), (2, "two"), (3, "ok"), (4, "four")]
+    assert sorted((r["id"], r["name"]) for r in refused.collect()) == [(2, "x"), (2, "y"), (3, "")]
+    named, refused = M.apply_renames(p, u)
+    assert sorted(tuple(r) for r in named.collect()) == [(1, "one"), (2, "two"), (3, "ok"), (4, "four")] and refused.count() == 6
