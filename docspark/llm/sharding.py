@@ -86,18 +86,26 @@ def quantise_log(value: Column, bits: int = DIMENSION_BITS) -> Column:
     return F.least(F.lit((1 << bits) - 1), F.length(F.bin(F.greatest(F.coalesce(value, F.lit(0)).cast("long"), F.lit(0)))) - 1)
 
 
-def name_steps(df: DataFrame, column: str, bits: int = DIMENSION_BITS) -> DataFrame:
+def name_steps(df: DataFrame, column: str, bits: int = DIMENSION_BITS, weight: str | None = None, many: int | None = None) -> DataFrame:
     """(``_name``, ``_step``) of the distinct names: their order cut into ``2**bits`` steps.
 
+    ``weight``: rows that a row stands for; ``many``: the number of names, if known.
+
     Names that fit the steps get one each, spread evenly; more names get the
     step at which their rows begin, so a frequent name has a step to itself.
-    Names are ordered over ranges of values, whose number is bounded, not in one task.
+    More than ``BROADCAST_NAMES`` names are ordered over ranges of values, whose
+    number is bounded, not in one task.
     """
-    counted = df.groupBy(F.col(column).alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = df.groupBy(F.col(column).alias("_name")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("_n"))
+    zero, steps = F.lit(0).cast("long"), 1 << bits
+    step = F.when(F.col("_c1") <= steps, F.expr(f"_rank * {steps} div _c1")).otherwise(F.expr(f"_rows * {steps} div _m1")).cast("int").alias("_step")
+    if (counted.count() if many is None else many) <= BROADCAST_NAMES:
+        before, every = Window.orderBy(F.col("_name").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+        whole = counted.select("_name", F.coalesce(F.sum("_n").over(before), zero).alias("_rows"), F.count(F.lit(1)).over(before).alias("_rank"), F.sum("_n").over(every).alias("_m1"), F.count(F.lit(1)).over(every).alias("_c1"))
+        return whole.select("_name", step)
     counted = stage(counted.repartitionByRange("_name").withColumn("_part", F.spark_partition_id()), "names")
     parts = counted.groupBy("_part").agg(F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_c"))
     before, every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    zero = F.lit(0).cast("long")
     starts = parts.select(
         "_part", *[F.coalesce(F.sum(c).over(before), zero).alias(f"{c}0") for c in ("_m", "_c")], *[F.sum(c).over(every).alias(f"{c}1") for c in ("_m", "_c")]
     )
@@ -105,9 +113,7 @@ def name_steps(df: DataFrame, column: str, bits: int = DIMENSION_BITS) -> DataFr
     placed = counted.join(F.broadcast(starts), "_part").select(
         "_name", "_m1", "_c1", (F.col("_m0") + F.coalesce(F.sum("_n").over(inside), zero)).alias("_rows"), (F.col("_c0") + F.count(F.lit(1)).over(inside)).alias("_rank")
     )
-    steps = 1 << bits
-    step = F.when(F.col("_c1") <= steps, F.expr(f"_rank * {steps} div _c1")).otherwise(F.expr(f"_rows * {steps} div _m1"))
-    return stage(placed.select("_name", step.cast("int").alias("_step")), "name-steps")
+    return stage(placed.select("_name", step), "name-steps")
 
 
 def exact_ranks(df: DataFrame, cell: str, names: list[str], order: list[Column], spread: Column) -> DataFrame:
@@ -151,9 +157,12 @@ def assign_shards(docs: DataFrame, n_shards: int, names: tuple[str, ...], dims:
     whole = docs.select(
         F.struct("*").alias("_row_"), *[F.col(f"`{c}`").alias(n) for c, n in zip(names, own)], *[F.col(f"`{k}`").alias(n) for k, n in zip(keys, tied)], *[d.alias(q) for d, q in zip(dims, steps[len(names) :])]
     )
-    for n, q in zip(own, steps):
-        table = name_steps(whole, n, bits)
-        table = F.broadcast(table) if table.count() <= BROADCAST_NAMES else table
+    # one count of all combinations, from which each column's names are counted
+    combined = stage(whole.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")), "name-counts") if own else None
+    many = combined.agg(*[F.count_distinct(F.struct(n)) for n in own]).first() if own else ()
+    for n, q, m in zip(own, steps, many):
+        table = name_steps(combined, n, bits, "_n", m)
+        table = F.broadcast(table) if m <= BROADCAST_NAMES else table
         whole = whole.join(table, F.col(n).eqNullSafe(F.col("_name"))).drop("_name").withColumnRenamed("_step", q)
     placed = with_hilbert(whole, [F.col(q) for q in steps], bits)
     ranked = exact_ranks(placed, "hilbert", own, [F.col(n).asc_nulls_first() for n in tied], F.xxhash64(*tied))

@@ -361,3 +361,65 @@ def test_lattice_scores_by_hand(spark):
     want = sorted((-9 if i is None else i, round(end + sum(math.log10(forward((" " + w).encode(), p)[-1]) for w in ws), 5)) for i, ws in rows)
     got = sorted((-9 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm_scoring.score(docs_used).collect())
     assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-6, abs=1e-4)
+
+
+def hilbert_of(point, bits):
+    """Place of a cell on the curve, by halving the box bit by bit (axes to transposed index and its bits interleaved)."""
+    x, n = list(point), len(point)
+    for level in range(bits - 1, 0, -1):
+        q = 1 << level
+        for i in range(n):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+    for i in range(1, n):
+        x[i] ^= x[i - 1]
+    t = 0
+    for level in range(bits - 1, 0, -1):
+        if x[-1] & (1 << level):
+            t ^= (1 << level) - 1
+    out = 0
+    for b in range(bits - 1, -1, -1):
+        for v in x:
+            out = out << 1 | ((v ^ t) >> b & 1)
+    return out
+
+
+def plain_shards(rows, n_shards=40, bits=4):
+    """doc to (size, crc, shard, slot): every row placed by sorting all of them."""
+    import zlib
+
+    name = lambda v: (v is not None, v or "")  # noqa: E731  nulls first
+    step = {}
+    for c in ("lang", "source"):
+        names = sorted({r[c] for r in rows}, key=name)
+        before = 0
+        for rank, v in enumerate(names):
+            step[c, v] = (rank << bits) // len(names) if len(names) <= 1 << bits else (before << bits) // len(rows)
+            before += sum(r[c] == v for r in rows)
+    placed = []
+    for r in rows:
+        data = (r["text"] or "").encode()
+        size, crc = len(data) + 16, zlib.crc32(data)
+        at = hilbert_of((step["lang", r["lang"]], step["source", r["source"]], min((1 << bits) - 1, max(int(size / 16), 0).bit_length() - 1)), bits)
+        placed.append((at, name(r["lang"]), name(r["source"]), (r["doc_id"] is not None, r["doc_id"] or 0), crc, r["doc_id"], size))
+    out = []
+    for rank, (*_, crc, doc, size) in enumerate(sorted(placed)):
+        shard = rank * n_shards // len(rows)
+        out.append((doc, size, crc, shard, rank - -(-shard * len(rows) // n_shards)))
+    return out
+
+
+@pytest.mark.parametrize("names", [50_000, 3])
+def test_shards_of_all_documents_by_sorting(spark, monkeypatch, names):
+    """Operator 6 as a whole, with names ordered in one task and over ranges."""
+    from docspark.llm import sharding
+
+    monkeypatch.setattr(sharding, "BROADCAST_NAMES", names)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(-1, None, None, None), (-2, "", "", "s"), (-3, "x" * 70_000, "en", None), (None, "a", "en", "src1")], docs.schema)
+    every = docs.unionByName(odd)
+    got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.report(every).collect())
+    assert got == sorted((d is not None, d or 0, s, c, h, t) for d, s, c, h, t in plain_shards([r.asDict() for r in every.collect()]))
