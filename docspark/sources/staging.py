@@ -61,5 +61,20 @@ def release_since(point: int, spark: SparkSession, keep: Iterable[DataFrame] = (
         _delete(spark, folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table in few files is dealt out over the cores; any other stays as it is.
+
+    Parquet is split between row groups only, so a small table is often read by
+    one task, with all work that follows. Small means less than one split
+    (``spark.sql.files.maxPartitionBytes``) for each core, few at most one file
+    for two cores.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * split and 2 * len(df.inputFiles()) <= cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

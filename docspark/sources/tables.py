@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.sources.staging import read_table
 from docspark.sources.staging import shared_folder as work_folder  # noqa: F401  the folder that all executors share
 
 CITATIONS = (
@@ -86,7 +87,7 @@ def concat_pages(pages: DataFrame, key: str, order: str, text: str) -> DataFrame
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return read_table(spark, d, name)
 
 
 def projects(spark: SparkSession, d: str) -> DataFrame:
