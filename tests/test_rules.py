@@ -778,30 +778,35 @@ def test_run_states_end(spark, tmp_path):
     rng = np.random.default_rng(3)
     status = ["PENDING", "RUNNING", "READY", "FAILED", "CANCEL", "CANCELLED", None]
     rows = [(int(rng.integers(0, 12)), None if rng.random() < 0.1 else int(rng.integers(0, 9)), status[int(rng.integers(0, 7))]) for _ in range(90)]
-    schema, before = "run_id int, seq int, status string", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    schema, held = "run_id int, seq int, status string", {k: spark.conf.get(k) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKS_DB)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        for f in range(3):
-            spark.createDataFrame(rows[f::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in range(2):
+            spark.createDataFrame(rows[f::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-        def told(make, name, keep):
+        def told(make, name, n):
             events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-            q = make(events).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start()
-            q.awaitTermination(120)
+            q = make(events).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(tmp_path / name)).start()
+            until = time.time() + 100  # timers keep such a query awake, so it does not end by itself
+            while sum(p["numInputRows"] for p in q.recentProgress) < n and time.time() < until:
+                time.sleep(0.2)
+            q.stop()
             got = {}
             for r in spark.table(name).collect():
                 got[r["run_id"]] = max(got.get(r["run_id"], (0,)), (r["n_events"], r["status"], r["cancel_requested"]))
-            return got, q.lastProgress["stateOperators"][0]["numRowsTotal"]
+            return got
 
-        states, _ = told(lambda e: jobs.stream_run_states(e, 3600), "states", 3600)
+        states = told(lambda e: jobs.stream_run_states(e, 3600), "states", len(rows))
         assert states == {r["run_id"]: (r["n_events"], r["status"], r["cancel_requested"]) for r in jobs.stream_run_status(spark.createDataFrame(rows, schema)).collect()}
         # kept for no time at all: what was finished in one frame is forgotten in the next, and one run that goes on stays
         spark.createDataFrame([(99, 1, "RUNNING")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        short, left = told(lambda e: jobs.stream_run_states(e, 0), "short", 0)
+        short = told(lambda e: jobs.stream_run_states(e, 0), "short", len(rows) + 1)
         assert short[99] == (1, "RUNNING", False) and max(n for n, *_ in short.values()) <= max(n for n, *_ in states.values())
         assert any(short[i][0] < states[i][0] for i in states)  # forgotten in between
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in held.items():
+            spark.conf.set(k, v)
 
 
 def test_replayed_messages(spark, tmp_path):
