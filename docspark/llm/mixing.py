@@ -189,7 +189,7 @@ def mix(
 
 
 def resample(docs: DataFrame, *args, **kwargs) -> DataFrame:
-    """``mix`` with the columns of ``docs`` only."""
+    """``mix`` with the columns of ``docs`` only; nulls, empty and long texts, ties, repeated rows and an empty table as there."""
     mixed = mix(docs, *args, **kwargs)
     return mixed.drop(mixed.columns[-1])
 
@@ -230,7 +230,8 @@ def _filled(nodes: str, parent: str, keys: str) -> str:
 _NODES = "SELECT n.*, up.alloc AS target FROM ({nodes}) n JOIN {up} up ON {same}"
 ORACLE_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, CASE WHEN num = '' THEN 'other' ELSE 'domain' || (num::INTEGER % 4) END AS domain, lang, source, len(regexp_extract_all(t, '[^ 	-]+'))::BIGINT AS n_tokens, md5(t) AS h
+  SELECT doc_id, CASE WHEN num = '' THEN 'other' ELSE 'domain' || (num::INTEGER % 4) END AS domain, lang, source, len(regexp_extract_all(t, '[^ 	-
+]+'))::BIGINT AS n_tokens, md5(t) AS h
   FROM (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})\z', 1) AS num FROM documents)),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, 4 * sum(n_tokens)::DOUBLE AS cap, 1::DOUBLE AS weight FROM d GROUP BY domain, lang, source),
 langs AS (SELECT domain, lang, sum(cap) AS cap, (CASE WHEN lang = 'en' THEN 2 ELSE 1 END)::DOUBLE AS weight FROM leaf GROUP BY domain, lang),

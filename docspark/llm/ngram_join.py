@@ -349,7 +349,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group, with the columns of ``docs``: the one with the smallest id, and of these the first by text.
 
     Rows are told apart by id and text, so texts that share an id are decided
-    each for itself. A null id stands behind all others.
+    each for itself. A null id stands behind all others. Repeated rows (equal in
+    both) are copies: one of them stays, as does one of all null, empty and blank
+    texts, which have no shingles. Very long texts are compared whole. An empty
+    table gives no rows; other columns stay whatever their names.
     """
     whole = docs.select(F.struct("*").alias("_row"), row_key(F.col("doc_id"), docs.schema["doc_id"].dataType.typeName()).alias("_key"), "text")
     found = near_duplicates(whole.select("_key", "text"), threshold, "_key")

@@ -165,7 +165,13 @@ def _places(fillings) -> dict[int, tuple[np.ndarray, list]]:
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` must be a written table: it is read twice."""
+    """``pieces`` with ``sequence_id`` and ``offset``. ``pieces`` must be a written table: it is read twice.
+
+    Lengths must be from 1 to ``capacity`` (``tokenize`` gives no others, a null or
+    empty text one id). Pieces of one length are alike to the plan; their order by
+    id, number, start and checksum says which goes where, null ids first, and
+    rows equal in all of these may swap places. No pieces give no rows.
+    """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     places = spark.sparkContext.broadcast(_places(plan(histogram, capacity)))

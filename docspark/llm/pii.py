@@ -192,7 +192,12 @@ def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by a placeholder; the columns and their order stay."""
+    """``docs`` with every span replaced by a placeholder; the columns and their order stay, whatever their names.
+
+    Null and empty texts stay as they are, very long ones are masked whole,
+    repeated rows alike; of spans that overlap the first covers both. An empty
+    table gives no rows.
+    """
     return docs.withColumn(text_col, F.pandas_udf(_redacted, "string")(F.col(text_col)))
 
 

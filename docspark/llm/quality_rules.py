@@ -150,7 +150,12 @@ def apply_rules(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFra
 
 
 def filter_quality(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
+    """The documents that pass, with the columns they came with, whatever their names.
+
+    Null and empty texts have no words and are rejected; very long ones are
+    judged whole; repeated rows alike, all or none of them stay; a value that is
+    equal to a threshold passes. An empty table gives no rows.
+    """
     whole = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("text"))
     return apply_rules(whole, rules).where("_kept").select("_row.*")
 
