@@ -45,8 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, fraction: float =
     """Sources at their target weights within ``fraction`` of the tokens there are, no document more than ``max_epochs`` times.
 
     Null and empty texts have no tokens of their own; a very long text is taken
-    whole or not; repeated rows tie in a leaf's order and count each. An empty
-    table stays empty.
+    whole or not; repeated rows are in or out together. An empty table stays empty.
     """
     return mixing.resample(docs, mixing.corpus_tree(), mixing.corpus_weights(), fraction=fraction, max_epochs=max_epochs)
 
