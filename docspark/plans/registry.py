@@ -42,9 +42,9 @@ TOPK = 10
 
 @register("s1_read_documents")
 def s1(spark, d):
-    """The files of all tables, as stored documents."""
+    """The files of all tables, as stored documents, with a digest of what they hold."""
     files = S.read_documents(spark, f"{d}/*.parquet")
-    return S.parse_storage_path(files).select("file_name", "length")
+    return S.parse_storage_path(files).select("file_name", "length", F.sha2("content", 256).alias("sha256"))
 
 
 @register("s3_load_tables", "SELECT n.n_nationkey::BIGINT AS id, r.r_name AS region, NULL::VARCHAR AS message FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
@@ -123,6 +123,19 @@ def n6(spark, d):
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), N.is_title_line(F.col("line")).alias("is_title")).where("is_title")
 
 
+@register("n6_title_heads", r"""
+SELECT doc_id, line_no FROM (
+  SELECT doc_id, line_no, s, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '') AS ws FROM (
+    SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, trim(upper(left(replace(unnest(ls), 'ß', 'ss'), 40))) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+  LATERAL (SELECT list_filter(ws, lambda w: regexp_matches(w, '\p{L}')) AS al)
+WHERE s <> '' AND length(s) <= 80 AND NOT regexp_matches(s, '[.!?:;,]$') AND len(ws) >= 2 AND len(al) > 0 AND 10 * len(list_filter(al, lambda w: regexp_matches(w, '^\p{Lu}'))) >= 6 * len(al)""")
+def n6_heads(spark, d):
+    """The first forty characters of every line in capitals, as a heading might be: those that are titles."""
+    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    head = F.upper(F.substring(F.replace(F.col("line"), F.lit("ß"), F.lit("ss")), 1, 40))
+    return lines.where(N.is_title_line(head)).select("doc_id", F.col("line_no").cast("long").alias("line_no"))
+
+
 @register("n7_clip", "SELECT doc_id, CASE WHEN length(s) > 500 THEN left(s, 500) || '… [clipped]' ELSE s END AS text FROM (SELECT doc_id, trim(text, ' ' || chr(10) || chr(9)) AS s FROM documents)")
 def n7(spark, d):
     return t(spark, d, "documents").select("doc_id", N.clip_text(F.col("text"), 500).alias("text"))
@@ -294,6 +307,13 @@ def e3(spark, d):
     return E.embed(t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
+@register("e3_embed_with", "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS es, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS spaces FROM documents")
+def e3_with(spark, d):
+    """Vectors of an embedder of the caller's, in batches of 7: each text has its own."""
+    vectors = E.embed(t(spark, d, "documents").select("doc_id", "text"), embed_fn=lambda texts: [[float(len(x)), float(x.count("e")), float(x.count(" "))] for x in texts], batch_size=7)
+    return vectors.select("doc_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(("chars", "es", "spaces"))])
+
+
 def stored(spark, d):
     return t(spark, d, "embeddings").select(F.col("label").cast("string").alias("index_id"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").cast("int").alias("chunk_index"), (F.col("vec_id") % 2).cast("string").alias("embed_signature"), "embedding")
 
@@ -669,14 +689,17 @@ def q2(spark, d):
     return Q.parse_rewrites(t(spark, d, "benchmark").withColumn("reply", reply)).select(F.col("item_id").alias("query_id"), F.array_join("rewrites", "|").alias("rewrites"), "strategy")
 
 
-@register("q3_expand", r"""SELECT query_id, (unnest(generate_series(0, len(a) - 1)))::INTEGER AS q_idx, unnest(a) AS text FROM (
-  SELECT item_id AS query_id, list_concat([string_split(text, '.')[1], text || ' ' || up], CASE WHEN regexp_matches(up, '^[A-Z]{2,8}$') THEN [up] ELSE [] END) AS a FROM (
-    SELECT item_id, text, upper(regexp_extract(text, '^[A-Za-z]+')) AS up FROM benchmark) WHERE len(regexp_extract_all(text, '\b[A-Z]{2,8}\b')) = 0)""")
+_ACRONYMS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,8}}'))"
+
+
+@register("q3_expand", rf"""SELECT query_id, (unnest(generate_series(0, len(a) - 1)))::INTEGER AS q_idx, unnest(a) AS text FROM (
+  SELECT query_id, list_concat(b, list_filter(ac, lambda x, i: list_position(ac, x) = i AND NOT list_contains(b, x))) AS a FROM (
+    SELECT query_id, b, list_concat({_ACRONYMS.format("b[1]")}, {_ACRONYMS.format("b[2]")}) AS ac FROM (
+      SELECT item_id AS query_id, [string_split(text, '.')[1], text || ' ' || upper(regexp_extract(text, '^[A-Za-z]+'))] AS b FROM benchmark)))""")
 def q3(spark, d):
-    """The first sentence as rewrite of the item with its first word in capitals behind it."""
+    """The first sentence as rewrite of the item with its first word in capitals behind it; all acronyms of both follow."""
     up = F.upper(F.regexp_extract("text", "^[A-Za-z]+", 0))
-    plain = t(spark, d, "benchmark").where(F.regexp_count("text", F.lit(r"\b[A-Z]{2,8}\b")) == 0)
-    q = plain.select(F.col("item_id").alias("query_id"), F.array(F.get(F.split("text", r"\."), F.lit(0)), F.lit(" ")).alias("rewrites"), F.concat("text", F.lit(" "), up).alias("original"))
+    q = t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(F.get(F.split("text", r"\."), F.lit(0)), F.lit(" ")).alias("rewrites"), F.concat("text", F.lit(" "), up).alias("original"))
     return Q.expand_queries(q)
 
 
