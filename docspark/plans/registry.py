@@ -939,6 +939,16 @@ def m18(spark, d):
     return M.duplicate_users(new, t(spark, d, "customer").where("c_nationkey < 5").select(F.concat("c_custkey", F.lit("@x")).alias("email"))).select("id")
 
 
+@register("m12_cube", f"""SELECT CASE WHEN grouping(chat_id) = 0 THEN 0 WHEN grouping(project_id) = 0 THEN 1 ELSE 2 END AS level, coalesce(chat_id, -1) AS chat_id, coalesce(project_id, -1) AS project_id, count(*) AS answers, sum(total_tokens)::BIGINT AS total_tokens, count(latency) AS timed, sum(latency) AS latency, min(latency) AS fastest, max(latency) AS slowest
+FROM (SELECT user_id AS chat_id, user_id % 9 AS project_id, prompt_tokens + completion_tokens AS total_tokens, CASE WHEN latency IS NOT NULL THEN (event_id % 97) / 8::DOUBLE END AS latency FROM {_METRICS}) GROUP BY GROUPING SETS ((chat_id), (project_id), ())""")
+def m12_cube(spark, d):
+    """Chats, projects and all at once; the ends of the sketches are exact."""
+    parsed = M.parse_metrics(metered(spark, d)).select(F.col("user_id").alias("chat_id"), (F.col("user_id") % 9).alias("project_id"), "total_tokens", F.when(F.col("latency").isNotNull(), F.col("event_id") % 97 / 8.0).alias("latency"))
+    cube = M.metrics_cube(parsed)
+    named = [F.coalesce(c, F.lit(-1)).alias(c) for c in ("chat_id", "project_id")]
+    return cube.select("level", *named, "answers", "total_tokens", "timed", "latency", M.latency_quantile(0.0).alias("fastest"), M.latency_quantile(1.0).alias("slowest"))
+
+
 # --- streams, run until they have read what there is ---------------------------------------------------------
 
 
@@ -970,6 +980,16 @@ def t1(spark, d):
     return read_index(spark, f"{at}/rows").groupBy("index_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
+@register("t1_stream_pages")
+def t1_pages(spark, d):
+    """All pages from markup to vectors through ``stream_index_pages`` into a table."""
+    from docspark.streaming.jobs import stream_index_pages
+
+    at = f"{S.work_folder(spark)}/pages-{uuid.uuid4().hex}"
+    stream_index_pages(streamed(spark, d, "pages").select("page_id", "html"), f"{at}/table", f"{at}/state", parts=8).awaitTermination()
+    return spark.read.parquet(f"{at}/table").select("index_id", "chunk_index", "chunk_id", "text", "embed_signature", F.size("embedding").alias("dims"))
+
+
 @register("t2_run_status", f"""
 SELECT project_id AS run_id, coalesce(arg_min(status, id) FILTER (status IN ('READY', 'FAILED', 'CANCELLED')), arg_max(status, id)) AS status, count(*) AS n_events FROM {_RUNS} GROUP BY 1""")
 def t2(spark, d):
@@ -988,3 +1008,14 @@ def t3(spark, d):
     rows = streamed(spark, d, "conversations").select(F.col("conv_id").alias("chat_id"), F.timestamp_seconds(F.lit(1735689600) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"))
     told = ran(spark, stream_touch_chats(rows), "update").groupBy("chat_id").agg(F.max("updated_at").alias("at"))
     return told.select("chat_id", (F.unix_timestamp("at") - 1735689600).alias("seconds"))
+
+
+@register("t3_chat_activity", "SELECT conv_id AS chat_id, count(*) AS n_messages, (conv_id * 3600 + max(turn) * 60)::BIGINT AS seconds FROM conversations GROUP BY 1")
+def t3_activity(spark, d):
+    """Every message sent twice, counted once."""
+    from docspark.streaming.jobs import read_chat_activity, stream_chat_activity
+
+    at = f"{S.work_folder(spark)}/activity-{uuid.uuid4().hex}"
+    turns_ = streamed(spark, d, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), F.col("conv_id").alias("chat_id"), F.timestamp_seconds(F.lit(1735689600) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("created_at"))
+    stream_chat_activity(turns_.union(turns_), f"{at}/rows", f"{at}/state").awaitTermination()
+    return read_chat_activity(spark, f"{at}/rows").select("chat_id", "n_messages", (F.unix_timestamp("updated_at") - 1735689600).alias("seconds"))
