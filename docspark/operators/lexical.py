@@ -129,7 +129,7 @@ def parse_queries(queries: DataFrame, stop_words: Iterable[str] | None = None, s
 
 def _starts(rows: Column, phrase: Column) -> Column:
     """Where the first term of a phrase stands with all its others at their places; ``rows`` are the found terms (phrase, size, pos, positions)."""
-    own = F.filter(rows, lambda r: r["phrase"] == phrase)
+    own = F.array_distinct(F.filter(rows, lambda r: r["phrase"] == phrase))  # a repeated chunk has its postings twice
     lead = F.get(F.array_sort(own), F.lit(0))
     holds = lambda s: F.forall(own, lambda r: F.array_contains(r["positions"], s - lead["pos"] + r["pos"]))
     return F.when(F.size(own) == lead["size"], F.filter(lead["positions"], holds)).otherwise(F.array().cast("array<int>"))
@@ -161,7 +161,7 @@ def fts_match(postings: DataFrame, parsed: DataFrame, by: tuple[str, ...] = (),
     leads = parsed.where(asks).select(*clause, *by, "term").distinct().join(rows, ["term", *by], "left").groupBy(*clause, *by).agg(
         F.count(F.lit(1)).alias("need"), F.count("df").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term")
     ).where("need = known").select(*clause, *by, "need", "term")
-    candidates = leads.join(found.select("term", *by, "chunk_id"), ["term", *by]).select(*clause, "chunk_id", "need").distinct()
+    candidates = leads.join(found.select("term", *by, "chunk_id"), ["term", *by]).select(*clause, "chunk_id", "need")
     part = F.struct("phrase", "size", "pos", "positions")
     held = candidates.join(parsed, clause).join(found, ["term", *by, "chunk_id"]).groupBy(*clause, "chunk_id").agg(
         F.max("need").alias("need"), F.collect_set(F.when(asks, F.col("term"))).alias("terms"), F.collect_set(F.when(F.col("kind") == "word", F.struct(F.col("positions").alias("starts"), F.lit(1).alias("width")))).alias("words"),

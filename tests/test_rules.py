@@ -490,6 +490,8 @@ def test_search_that_was_wrong_before(spark):
     got = {}
     for r in L.search_text(asked, chunks, 9).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    twice = L.search_text(spark.createDataFrame([(1, '"climate change"'), (2, "change -\"climate policy\"")], "query_id int, query string"), chunks.union(chunks), 9)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in twice.collect()) == [(1, 2), (2, 2)]
     assert sorted(c for c, _ in got[1]) == [1, 3, 6] and got[2] == [(5, 0.2), (4, 0.1)] and got[3] == [(3, 0.0), (4, 0.0), (5, 0.0)]
 
 
