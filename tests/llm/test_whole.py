@@ -71,9 +71,10 @@ def test_weights_by_node(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, duck, name):
     show = lambda x: "NULL" if x is None or x != x else (repr(float(x)) if isinstance(x, float) else str(x))
-    rows = lambda df: sorted(tuple(show(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False))
-    got, want = queries.QUERIES[name](spark, DIR).toPandas(), duck.execute(queries.ORACLE_SQL[name]).fetchdf()
-    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+    rows = lambda found, columns: sorted(tuple(show(x) for _, x in sorted(zip(columns, r), key=lambda p: p[0])) for r in found)
+    got, told = queries.QUERIES[name](spark, DIR), duck.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in told.description]
+    assert sorted(got.columns) == sorted(columns) and rows(got.collect(), got.columns) == rows(told.fetchall(), columns)
 
 
 # --- 2, 5 ------------------------------------------------------------------------------------------
