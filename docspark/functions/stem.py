@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,7 +43,6 @@ def _swap(w: str, table: dict[str, str]) -> str:
     return w
 
 
-@lru_cache(maxsize=200_000)
 def porter(w: str) -> str:
     if len(w) <= 2 or not re.fullmatch("[a-z]+", w):
         return w
@@ -150,7 +148,6 @@ def _steps_2_to_5(w: str, r1: int, r2: int) -> str:
     return w[:-1] if w.endswith("ll") and len(w) > r2 else w
 
 
-@lru_cache(maxsize=200_000)
 def english(w: str) -> str:
     """The second version of Porter's algorithm; words of other letters than a-z stay as they are."""
     if len(w) <= 2 or not re.fullmatch("[a-z]+", w):
