@@ -31,17 +31,25 @@ def invalid_configs(df: DataFrame, column: str = "config") -> DataFrame:
 
 
 def hashing_embedder(dimensions: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
-    """Offline: signed counts of hashed words, of unit length; a text without words is all zero. Each different word of a call is hashed once."""
+    """Offline: signed counts of hashed words, of unit length; a blank text is all zero. Each different word of a call is hashed once.
+
+    A text whose counts cancel out, or that has nothing but rarer kinds of white space, counts as one word.
+    """
+    digest = lambda w: int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
 
     def embed(texts: list[str]) -> list[np.ndarray]:
         lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
         words, of = lists.flatten().dictionary_encode(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words.dictionary.to_pylist()], dtype=np.uint64)
+        h = np.array([digest(w) for w in words.dictionary.to_pylist()], dtype=np.uint64)
         blank = np.array([not w for w in words.dictionary.to_pylist()], dtype=bool)
         code = words.indices.to_numpy(zero_copy_only=False)
         sign = np.where(blank, 0.0, np.where(h >> np.uint64(63), 1.0, -1.0))
         counts = np.bincount(of * dimensions + (h % np.uint64(dimensions)).astype(np.int64)[code], sign[code], minlength=len(texts) * dimensions) if len(code) else np.zeros(len(texts) * dimensions)
         v = counts.reshape(len(texts), dimensions)
+        for i in np.flatnonzero(~v.any(1)):
+            if texts[i].strip(" \t\n\f\r"):
+                one = digest(texts[i].lower())
+                v[i, one % dimensions] = -1.0 if one >> 63 == 0 else 1.0
         n = np.sqrt((v * v).sum(1, keepdims=True))
         return list(np.divide(v, n, out=v, where=n > 0))
 
