@@ -115,7 +115,7 @@ def equation_labels(label: Column, n: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(label), F.lit("")), n)
 
 
-def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", closed: bool = False) -> DataFrame:
     """X1 for HTML: a row for each block of text in reading order; all text that is shown is in some block (see ``html.Page``).
 
     A page is read in its row, headings included, so nothing is shuffled. Null and
@@ -124,7 +124,7 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(doc, *block) for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]) for block in page_blocks(source)]
+            rows = [(doc, *block) for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]) for block in page_blocks(source, closed)]
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "targets", "text", "head", "div_index"])
 
     told = f"doc_id {pages.schema[id_col].dataType.simpleString()}, pos int, kind string, targets array<string>, text string, head string, div_index int"
