@@ -16,9 +16,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from docspark.functions.stem import ENGLISH_STOP_WORDS, english, stem
+from docspark.operators import rowsearch
 from docspark.sources.staging import stage
 
 # Frequent English words that carry no meaning of their own.
@@ -29,6 +31,8 @@ STOP_WORDS = (
 TERM = r"[\p{L}\p{N}]+"
 #: Different query terms up to this many are looked up in the row that holds the words; more meet the postings by a join.
 BROADCAST_TERMS = 500_000
+#: Questions of at most so many terms in all are sent to the rows of chunks that have no postings.
+QUESTION_TERMS = 200_000
 #: Clauses of negations only that meet all chunks of their scope at a time.
 QUERY_BLOCK = 10_000
 #: Different terms that a search of a table of postings names one by one.
@@ -46,8 +50,7 @@ def build_postings(
     ``only`` (term): positions are gathered for these terms (or stems) alone. Null
     and empty texts have no postings; a repeated row has its own again.
     """
-    source = F.coalesce("text_norm", "text") if "text_norm" in chunks.columns else F.col("text")
-    words = chunks.select(F.col(id_col).alias("chunk_id"), *by, F.regexp_extract_all(F.lower(source), F.lit(TERM), F.lit(0)).alias("words"))
+    words = _words(chunks, id_col, by)
     stop = frozenset((ENGLISH_STOP_WORDS if stemmed else STOP_WORDS) if stop_words is None else stop_words)
     asked, wanted = None, None
     if only is not None:
@@ -56,7 +59,7 @@ def build_postings(
     kept = ["chunk_id", *by]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(s, e - s) for b in batches for s, e in rowsearch.pieces(b, b["words"])):
             lists = pa.concat_arrays([b["words"]])  # from its first word
             flat = lists.flatten().dictionary_encode()
             known = flat.dictionary.to_pylist()
@@ -89,6 +92,11 @@ def build_postings(
     return out if asked is None or wanted is not None else out.join(asked, "term", "left_semi").select(*kept, "term", "positions", "tf")
 
 
+def _words(chunks: DataFrame, id_col: str, by: tuple[str, ...]) -> DataFrame:
+    source = F.coalesce("text_norm", "text") if "text_norm" in chunks.columns else F.col("text")
+    return chunks.select(F.col(id_col).alias("chunk_id"), *by, F.regexp_extract_all(F.lower(source), F.lit(TERM), F.lit(0)).alias("words"))
+
+
 def write_postings(postings: DataFrame, table: str, buckets: int = 200) -> None:
     """A table of postings in ``buckets`` files by the hash of the term, each sorted by term."""
     postings.repartition(buckets, "term").write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
@@ -191,6 +199,10 @@ def _covers(clause: np.ndarray, many: np.ndarray, literal: np.ndarray, start: np
     the last starts of all literals.
     """
     span = int(end.max()) + 2
+    alone = many[clause] == 1
+    if alone.any() and not alone.all():  # each place of the only literal is such a stretch: no need to sweep
+        swept = _covers(clause[~alone], many, literal[~alone], start[~alone], end[~alone])
+        return tuple(np.concatenate(x) for x in zip(swept, (clause[alone], start[alone], end[alone])))
     base = clause.astype(np.int64) * span
     order = np.argsort(base + end, kind="stable")
     clause, literal, base, first, end = clause[order], literal[order], base[order], (base + start)[order], end[order]
@@ -218,8 +230,13 @@ def query_scores(clauses: pa.ListArray) -> np.ndarray:
     if not len(start):
         return out
     end = start + numpy(pc.struct_field(every, "width"))[literal] - 1
-    clause, start, end = _covers(clause_of[literal], many, number[literal], start, end)
-    row, terms = row_of[clause], numpy(pc.struct_field(each, "terms"))[clause]
+    return density(len(out), row_of, numpy(pc.struct_field(each, "terms")), many, clause_of[literal], number[literal], start, end)
+
+
+def density(n: int, row_of: np.ndarray, terms_of: np.ndarray, many: np.ndarray, clause: np.ndarray, literal: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Cover density of ``n`` rows: clauses with their row, their terms and how many literals they have; entries as in ``_covers``."""
+    clause, start, end = _covers(clause, many, literal, start, end)
+    row, terms = row_of[clause], terms_of[clause]
     # of all clauses' stretches those stay that hold no other: from the right, each must end before all that begin behind it
     order = np.lexsort((-terms, end, -start, row))
     row, start, end, terms = row[order], start[order], end[order], terms[order]
@@ -227,7 +244,7 @@ def query_scores(clauses: pa.ListArray) -> np.ndarray:
     least = np.minimum.accumulate(placed)
     kept = np.concatenate([[True], placed[1:] < least[:-1]])
     width = (end - start + 1 - terms)[kept]
-    return np.bincount(row[kept], 0.1 / (1 + np.maximum(width, 0)), minlength=len(out))
+    return np.bincount(row[kept], 0.1 / (1 + np.maximum(width, 0)), minlength=n)
 
 
 def cover_scores(lists: pa.ListArray) -> np.ndarray:
@@ -265,9 +282,34 @@ def fts_topk(queries: DataFrame, postings: DataFrame, k: int, stemmed: bool = Fa
 
 
 def search_text(queries: DataFrame, chunks: DataFrame, k: int, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
-    """L1-L4 of chunks that have no postings yet: only the queries' terms are gathered from them, once."""
+    """L1-L4 of chunks that have no postings yet: they are searched in their rows, or from postings of the queries' terms where these are very many.
+
+    A chunk that is repeated counts once; rows of one id should hold the same text.
+    """
     parsed = stage(parse_queries(queries, stemmed=stemmed, by=by), "parsed-queries")
-    return fts_topk(queries, asked_postings(chunks, parsed, stemmed, by), k, stemmed, by, parsed, chunks)
+    found = _in_rows(chunks, parsed, max(k, 0), stemmed, by)
+    if found is None:
+        return fts_topk(queries, asked_postings(chunks, parsed, stemmed, by), k, stemmed, by, parsed, chunks)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id"))
+    return found.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def match_text(chunks: DataFrame, parsed: DataFrame, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """L1-L3 of chunks that have no postings yet: (query_id, chunk_id) of the chunks that satisfy a clause. ``parsed`` should be a table."""
+    found = _in_rows(chunks, parsed, None, stemmed, by)
+    return fts_match(asked_postings(chunks, parsed, stemmed, by), parsed, by, chunks).select("query_id", "chunk_id") if found is None else found.distinct()
+
+
+def _in_rows(chunks: DataFrame, parsed: DataFrame, k: int | None, stemmed: bool, by: tuple[str, ...]) -> DataFrame | None:
+    """Found chunks, with ``k`` the best of each task; nothing if the questions have too many terms to send them to the tasks."""
+    asked = parsed.limit(QUESTION_TERMS + 1).collect()
+    if len(asked) > QUESTION_TERMS:
+        return None
+    id_type = parsed.schema["query_id"].dataType
+    told = StructType([StructField("query_id", id_type), StructField("chunk_id", chunks.schema["chunk_id"].dataType), *([] if k is None else [StructField("score", DoubleType())])])
+    stop = pa.array(sorted(ENGLISH_STOP_WORDS if stemmed else STOP_WORDS), pa.string())
+    run = rowsearch.task(rowsearch.Questions(asked, by), by, stop, english if stemmed else None, k, density, to_arrow_type(id_type))
+    return _words(chunks.where("chunk_id IS NOT NULL"), "chunk_id", by).mapInArrow(run, told)
 
 
 def asked_postings(chunks: DataFrame, parsed: DataFrame, stemmed: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
