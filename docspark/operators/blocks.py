@@ -16,6 +16,8 @@ SCHEMA = (
     "doc_id {id}, pos int, div_index int, tag string, div_type string, place string, head string, xml_id string, "
     "targets array<string>, equation_label string, text string, error string"
 )
+#: Characters of markup whose blocks are handed on together.
+SLICE = 1_000_000
 REFERENCE_TAGS = ("ref", "ptr", "bibl", "biblStruct", "listBibl")
 
 
@@ -70,18 +72,24 @@ def extract_tei(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", o
     if on_error not in ("fail", "collect"):
         raise ValueError(on_error)
 
+    columns = [c.split()[0] for c in SCHEMA.format(id="x").split(", ")]
+    frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"pos": "int32", "div_index": "Int32"})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SCHEMA.format(id="x").split(", ")]
         for b in batches:
-            rows = []
+            rows, read = [], 0
             for doc, xml in zip(b.iloc[:, 0], b.iloc[:, 1]):
+                if read > SLICE:
+                    yield frame(rows)
+                    rows, read = [], 0
+                read += len(xml or "")
                 try:
                     rows += _walk(doc, xml, as_shipped)
                 except ET.ParseError as e:
                     if on_error == "fail":
                         raise ValueError(f"invalid markup in document {doc}") from e
                     rows.append((doc, 0, None, None, None, None, None, None, [], None, None, str(e)))
-            yield pd.DataFrame(rows, columns=columns).astype({"pos": "int32", "div_index": "Int32"})
+            yield frame(rows)
 
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(xml_col)).mapInPandas(run, SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()))
     typed = classify_blocks(flag_reference_sections(found))
@@ -122,10 +130,18 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     empty pages give no rows.
     """
 
+    columns = ["doc_id", "pos", "kind", "targets", "text", "head", "div_index"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(doc, *block) for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]) for block in page_blocks(source, closed)]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "targets", "text", "head", "div_index"])
+            rows, read = [], 0
+            for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]):
+                if read > SLICE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, read = [], 0
+                read += len(source or "")
+                rows += [(doc, *block) for block in page_blocks(source, closed)]
+            yield pd.DataFrame(rows, columns=columns)
 
     told = f"doc_id {pages.schema[id_col].dataType.simpleString()}, pos int, kind string, targets array<string>, text string, head string, div_index int"
     rows = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col)).mapInPandas(run, told)
