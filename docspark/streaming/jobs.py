@@ -13,6 +13,7 @@ from docspark.operators.blocks import extract_html
 from docspark.operators.chunking import chunk_chars, pack_blocks
 from docspark.operators.embedding import embed, upsert_embeddings, upsert_table
 from docspark.operators.runs import TERMINAL
+from docspark.sources.staging import release, stage
 
 
 def index_batch(docs: DataFrame, max_chars: int = 1200, overlap: int = 200) -> DataFrame:
@@ -42,7 +43,11 @@ INDEX_COLUMNS = "index_id, chunk_id, chunk_index, text, text_norm, dominant_head
 
 def index_pages(pages: DataFrame, max_chars: int = 1200, overlap: int = 200, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Chunks with vectors of whole pages: blocks (X1), normalised (N3), packed (C4), embedded (E3). An index is a page."""
-    chunks = pack_blocks(extract_html(pages, id_col, html_col), max_chars, overlap).withColumnRenamed("doc_id", "index_id")
+    return _indexed(extract_html(pages, id_col, html_col), max_chars, overlap)
+
+
+def _indexed(blocks: DataFrame, max_chars: int = 1200, overlap: int = 200) -> DataFrame:
+    chunks = pack_blocks(blocks, max_chars, overlap).withColumnRenamed("doc_id", "index_id")
     rows = embed(chunks.withColumn("chunk_id", F.sha2(F.concat_ws(":", "index_id", "chunk_index"), 256)), "text_norm")
     return rows.withColumn("embed_signature", F.lit("hash-64")).selectExpr(*INDEX_COLUMNS.split(", "))
 
@@ -61,7 +66,10 @@ def stream_index_pages(pages: DataFrame, table: str, checkpoint: str, parts: int
     def write(batch: DataFrame, batch_id: int) -> None:
         last = F.row_number().over(Window.partitionBy(id_col).orderBy(*[F.col(c).desc_nulls_last() for c in [order] if c], F.xxhash64(html_col), html_col))
         newest = batch.where(F.col(id_col).isNotNull()).withColumn("_n", last).where("_n = 1")
-        upsert_table(index_pages(newest, id_col=id_col, html_col=html_col), table, newest.select(F.col(id_col).alias("index_id")), parts)
+        # packing reads the blocks twice, and a page is parsed once
+        blocks = stage(extract_html(newest, id_col, html_col), "page-blocks")
+        upsert_table(_indexed(blocks), table, batch.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("index_id")), parts)
+        release(blocks)
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
