@@ -6,6 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,21 +131,27 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     empty pages give no rows.
     """
 
-    columns = ["doc_id", "pos", "kind", "targets", "text", "head", "div_index"]
+    names = ["doc_id", "pos", "kind", "targets", "text", "head", "div_index"]
+    types = [pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, read = [], 0
-            for doc, source in zip(b.iloc[:, 0], b.iloc[:, 1]):
-                if read > SLICE:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, read = [], 0
+            handed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [b.schema.field(0).type, *types])], names=names)  # noqa: B023, E731
+            # a page of the batch at a time: all of them as Python's own strings are several times the batch
+            for doc, source in zip(b.column(0), b.column(1)):
+                source = source.as_py()
                 read += len(source or "")
+                doc = doc.as_py()
                 rows += [(doc, *block) for block in page_blocks(source, closed)]
-            yield pd.DataFrame(rows, columns=columns)
+                if rows and read > SLICE:
+                    yield handed()
+                    rows, read = [], 0
+            if rows:
+                yield handed()
 
     told = f"doc_id {pages.schema[id_col].dataType.simpleString()}, pos int, kind string, targets array<string>, text string, head string, div_index int"
-    rows = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col)).mapInPandas(run, told)
+    rows = pages.select(F.col(id_col).alias("doc_id"), F.col(html_col)).mapInArrow(run, told)
     return rows.withColumn("text_norm", normalize_by_kind(F.col("text"), F.col("kind")))
 
 
