@@ -21,15 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+def stage(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder, in folders for the values of ``by``, and read it back.
 
     Later jobs start from these files, so an executor lost afterwards costs a
     re-read, and a plan used several times runs once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _folders.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path
